@@ -87,31 +87,45 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-def linked(buckets: DataFrame, attrs: list[str], near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components (node, component) of the graph whose edges are the confirmed pairs of ``buckets(k, node, attrs)`` that share a k.
-
-    A bucket never gives all its pairs. First each member meets the bucket's least member and the one before it;
-    confirmed links make components. Then only members outside their bucket's main component meet the bucket's
-    members of other components. A pair left out lies within one component already, so no component is lost.
-    ``near(a, b)`` is a cheap necessary condition on two structs of attributes; ``confirm`` keeps the true pairs of (a, b).
+def linked(buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+    """Components (node, component) of the graph whose edges are the confirmed pairs of ``buckets(k, node)`` that share a k.
+
+    A bucket never gives all its pairs. In each of ``rounds`` a bucket's members, in another order each time, meet its
+    first member and the one before them, if they are of other components so far; confirmed links make components. Then
+    only members outside their bucket's main component meet the bucket's members of other components. A pair left
+    out lies within one component already, so no component is lost. ``near(x, y)`` is a cheap necessary condition on
+    two structs of node and ``attrs(node, ...)``; ``confirm`` keeps the true pairs of (a, b).
     """
-    by = Window.partitionBy("k").orderBy("node")
-    one = F.struct("node", *attrs)
     shared = buckets.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("_n > 1").drop("_n")
-    shared = cut(shared)
-    met = shared.select(one.alias("x"), F.first(one).over(by).alias("_y"), F.lag(one).over(by).alias("_z")).select("x", F.explode(F.array("_y", "_z")).alias("y"))
-    pairs = met.where("y is not null and x.node <> y.node").where(near("x", "y"))
-    pairs = cut(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    edges = cut(confirm(pairs))
-    labels = components(edges)
-    placed = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("k", F.struct("node", *attrs).alias("x"), "comp", "node")
-    placed = placed.withColumns({"_main": F.first("comp").over(by), "_mixed": F.max("comp").over(Window.partitionBy("k")) > F.min("comp").over(Window.partitionBy("k"))}).where("_mixed")
-    placed = cut(placed.select("k", "x", "comp", "_main"))
-    others = placed.where("comp <> _main").select("k", "x", F.col("comp").alias("cx"))
-    rest = others.join(placed.select("k", F.col("x").alias("y"), F.col("comp").alias("cy")), "k").where("cx <> cy").where(near("x", "y"))
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(confirm(cut(rest)))
-    return components(edges.union(more)) if more.limit(1).count() else labels
+    one = F.struct("node", *[c for c in attrs.columns if c != "node"])
+    shared = cut(shared.join(attrs, "node").select("k", "node", one.alias("x")))
+    ordered = lambda df: df.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    placed, tried, edges, labels = shared.withColumn("comp", F.col("node")), None, None, None
+    for r in range(rounds + 1):
+        member = F.struct("x", "comp")
+        if r < rounds:
+            by = Window.partitionBy("k").orderBy(F.xxhash64("node", F.lit(r)), "node")
+            met = placed.select("x", "comp", F.first(member).over(by).alias("_y"), F.lag(member).over(by).alias("_z"))
+            met = met.select("x", "comp", F.explode(F.array("_y", "_z")).alias("m")).where("m is not null and m.comp <> comp").select("x", F.col("m.x").alias("y"))
+        else:
+            mine = placed.withColumn("_main", F.min("comp").over(Window.partitionBy("k")))
+            others = mine.where("comp <> _main").select("k", "x", F.col("comp").alias("cx"))
+            met = others.join(placed.select("k", F.col("x").alias("y"), F.col("comp").alias("cy")).hint("merge"), "k").where("cx <> cy").where(near("x", "y")).select("x", "y")
+        pairs = ordered(met.where(near("x", "y")))
+        pairs = cut(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        if not pairs.limit(1).count():
+            if r < rounds - 1:
+                continue
+            break
+        tried = pairs if tried is None else tried.union(pairs)
+        new = cut(confirm(pairs))
+        edges = new if edges is None else edges.union(new)
+        labels = components(edges)
+        if r < rounds:
+            placed = shared.join(labels, "node", "left").select("k", "node", "x", F.coalesce("component", "node").alias("comp"))
+            mixed = Window.partitionBy("k")
+            placed = cut(placed.withColumn("_mixed", F.max("comp").over(mixed) > F.min("comp").over(mixed)).where("_mixed").drop("_mixed"))
+    return labels if labels is not None else shared.select("node", F.col("node").alias("component")).where("false")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:

@@ -27,9 +27,10 @@ PERMUTATIONS = 96
 ROWS = 6
 SHINGLE = 5
 PERCENT = 80
-#: Of the 192 low bits of two signatures, at most so many differ for a candidate: 4.5 standard deviations above what 80 % allow.
-MOST_DIFFERENT = 38
-SIGNATURES = "id long, n long, key binary, bands array<long>, s0 long, s1 long, s2 long"
+#: Of the 192 values of two signatures, by their low four bits, at most so many differ for a candidate: 4.5 standard deviations above what 80 % allow.
+MOST_DIFFERENT = 60
+SKETCH = [f"s{j}" for j in range(12)]
+SIGNATURES = "id long, n long, key binary, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
 
 _rng = np.random.default_rng(20_240_601)
 _mul = _rng.integers(1, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,25 +67,26 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, n, key, bands, s0, s1, s2): set size, a digest of the set, band hashes and a sketch of the signature's low bits."""
+    """(id, n, key, bands, s0, ..., s11): set size, a digest of the set, band hashes and four bits of each value of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = sets_of([x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()], shingle)
             full = [k for k, s in enumerate(sets) if len(s)]
             bands: list = [[]] * len(sets)
-            sketch = np.zeros((len(sets), 3), np.int64)
+            sketch = np.zeros((len(sets), len(SKETCH)), np.int64)
             if full:
                 sig = np.stack([signature(sets[k]) for k in full])
-                sketch[full] = np.packbits((mixed(sig) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                low = (mixed(sig) & np.uint64(15)).astype(np.uint8)
+                sketch[full] = np.ascontiguousarray(low[:, 0::2] << 4 | low[:, 1::2]).view(np.int64)
                 cut_sig = sig[:, np.random.default_rng(1).permutation(sig.shape[1])[: sig.shape[1] // ROWS * ROWS]].reshape(len(full), -1, ROWS)
                 hashed = mixed((cut_sig * _band_mul).sum(2, dtype=np.uint64) + np.arange(cut_sig.shape[1], dtype=np.uint64)).view(np.int64)
                 for k, h in zip(full, hashed):
                     bands[k] = h
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(3))],
-                ["id", "n", "key", "bands", "s0", "s1", "s2"],
+                 pa.array(bands, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(len(SKETCH)))],
+                ["id", "n", "key", "bands", *SKETCH],
             )
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGNATURES)
@@ -103,7 +105,11 @@ def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
 
 def near(percent: int):
     def condition(x: str, y: str) -> Column:
-        differ = sum((F.bit_count(F.col(f"{x}.s{j}").bitwiseXOR(F.col(f"{y}.s{j}"))) for j in range(3)), F.lit(0))
+        def values(s: str) -> Column:  # the number of fours of bits that differ
+            d = f"({x}.{s} ^ {y}.{s})"
+            return F.expr(f"bit_count(({d} | shiftrightunsigned({d}, 1) | shiftrightunsigned({d}, 2) | shiftrightunsigned({d}, 3)) & {0x1111111111111111})")
+
+        differ = sum((values(s) for s in SKETCH), F.lit(0))
         sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
         return sizes & (differ <= MOST_DIFFERENT) if percent >= PERCENT else sizes
 
@@ -114,7 +120,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     """(id, n_shingles, component_id, kept), one row for each row of ``df``."""
     sig = cut(signatures(df, id_col, text_col, shingle))
     reps = sig.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("node"))
-    own = sig.alias("s").join(reps.alias("r"), (F.col("s.key") == F.col("r.key")) & (F.col("s.id") == F.col("r.node"))).select("r.node", "s.n", "s.s0", "s.s1", "s.s2", F.explode("s.bands").alias("k"))
+    own = sig.alias("s").join(reps.alias("r"), (F.col("s.key") == F.col("r.key")) & (F.col("s.id") == F.col("r.node"))).select("r.node", "s.n", "s.bands", *[f"s.{c}" for c in SKETCH])
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -124,7 +130,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
         return shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b").distinct()
 
-    labels = linked(own, ["n", "s0", "s1", "s2"], near(percent), confirm)
+    labels = linked(own.select("node", F.explode("bands").alias("k")), own.drop("bands"), near(percent), confirm)
     named = sig.select("id", "n", "key").join(reps, "key", "left")
     # rows of one id with several texts join their texts' groups through the id itself
     named = named.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")

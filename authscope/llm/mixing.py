@@ -66,12 +66,13 @@ def drawn(plan: DataFrame, seed: int = SEED) -> DataFrame:
     share = plan.where("quota > 0").withColumns({"hi": F.sum("quota").over(by_name), "total": total}).withColumn("lo", F.col("hi") - F.col("quota"))
     cell = lambda c: F.floor(F.col(c) * CELLS / F.col("total"))
     share = share.select("source", "lo", "hi", F.explode(F.sequence(cell("lo"), F.least(cell("hi"), F.lit(CELLS - 1)))).alias("cell"))
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = plan.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("total")).where("total > 0")
-    shards = slots.select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / SLOTS))).alias("shard")).repartition("shard")
+    shards = slots.select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / SLOTS))).alias("shard")).repartition(parts, "shard")
     slots = shards.select("total", "shard", F.explode(F.sequence(F.col("shard") * SLOTS, F.least((F.col("shard") + 1) * SLOTS, "total") - 1)).alias("slot"))
     u = F.pmod(F.xxhash64(F.lit(seed), "slot"), F.col("total"))
     slots = slots.select("shard", u.alias("u"), F.least(F.floor(u * CELLS / F.col("total")), F.lit(CELLS - 1)).alias("cell"))
-    hit = slots.join(share, "cell").where("u >= lo and u < hi")
+    hit = slots.hint("merge").join(share, "cell").where("u >= lo and u < hi")
     return hit.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("draws"))
 
 
@@ -98,7 +99,7 @@ def scheduled(plan: DataFrame, seed: int = SEED) -> DataFrame:
     # a wide range of missing draws is dealt in pieces, so that no task makes them all
     both = ruled.unionByName(short).where("lo < hi")
     pieces = both.withColumn("lo", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(SLOTS)))).withColumn("hi", F.least(F.col("lo") + SLOTS, "hi"))
-    draws = pieces.repartition("source", "lo").withColumn("draw", F.explode(F.sequence("lo", F.col("hi") - 1)))
+    draws = pieces.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "lo").withColumn("draw", F.explode(F.sequence("lo", F.col("hi") - 1)))
     turn = F.floor(F.col("draw") / F.col("n_blocks"))
     key = F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull(), turn)
     return draws.select("shard", "source", "draw", permuted(F.pmod("draw", "n_blocks"), F.col("n_blocks"), key).alias("block"))
@@ -119,7 +120,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     docs = placed.where("size > 0").withColumns({"b0": owner("begin"), "b1": owner("begin + size - 1")})
     docs = docs.withColumn("block", F.explode(F.sequence("b0", "b1")))
     docs = docs.withColumn("part", F.least(edge("block + 1"), F.col("begin") + F.col("size")) - F.greatest(edge("block"), F.col("begin")))
-    took = docs.alias("d").join(times.alias("t"), same("d", "t") & (F.col("d.block") == F.col("t.block")), "left")
+    took = docs.alias("d").join(times.hint("merge").alias("t"), same("d", "t") & (F.col("d.block") == F.col("t.block")), "left")
     keys = ["id", "source", "size", "begin", "source_size", "target"]
     took = took.groupBy(*[f"d.{k}" for k in keys]).agg(F.sum(F.col("part") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     none = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
