@@ -133,6 +133,7 @@ def encode_frames(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
         if not len(rows):
             break
         bits.put(rows, x[rows, i] & 0xFF, 8)
+    codes = []
     for c, (w, (u, k)) in enumerate(zip(warm, rice)):
         rows = np.flatnonzero(pick == c)
         if not len(rows):
@@ -147,14 +148,19 @@ def encode_frames(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
         bits.put(rows, 0, 6)  # Rice parameters of 4 bits, one partition
         bits.put(rows, k[rows], 4)
         u, k = u[rows], k[rows][:, None]
-        size = (u >> k) + 1 + k
-        ends = bits.pos[rows][:, None] + np.cumsum(size, 1)
-        for j in range(int(k.max()) + 1):
-            has = np.broadcast_to(k >= j, u.shape)
-            at = ends - 1 - j
-            bits.bits[at[has]] = np.where(k == j, 1, (u >> j) & 1)[has]
+        ends = bits.pos[rows][:, None] + np.cumsum((u >> k) + 1 + k, 1)
         bits.pos[rows] = ends[:, -1]
-    raw = np.packbits(bits.bits).tobytes()
+        codes.append(((1 << k | u & ((1 << k) - 1)).ravel(), np.broadcast_to(k + 1, u.shape).ravel(), ends.ravel()))
+    packed = np.packbits(bits.bits)
+    if codes:
+        # a code's ones lie in its last k + 1 <= 15 bits, so in three bytes; codes share no bit, so sums are unions
+        value, width, end = (np.concatenate(c) for c in zip(*codes))
+        at = (end - width) >> 3
+        value = value << (24 - ((end - width) & 7) - width)
+        for j in range(3):
+            add = np.bincount(at + j, (value >> (16 - 8 * j)) & 255, len(packed) + 3)[: len(packed)]
+            packed = packed + add.astype(np.uint8)
+    raw = packed.tobytes()
     body = [h + raw[a:b] for h, a, b in zip(heads, (bits.begin >> 3).tolist(), (bits.ends >> 3).tolist())]
     sizes = np.cumsum([0, *map(len, body)])
     sums = crcs(np.frombuffer(b"".join(body), np.uint8), sizes[:-1], sizes[1:], CRC16, 16)
@@ -226,6 +232,35 @@ class Reader:
         return out
 
 
+def parameters(r: Reader, rows: np.ndarray, width: np.ndarray, k: np.ndarray, escaped: np.ndarray) -> None:
+    """Reads the Rice parameter, or the escape and its width, of frames at the start of a partition."""
+    k[rows] = r.take(rows, width[rows])
+    esc = k[rows] == (1 << width[rows]) - 1
+    escaped[rows] = esc
+    if esc.any():
+        k[rows[esc]] = r.take(rows[esc], 5)
+
+
+def residuals(r, out, i, own, size, order, part, width, k, escaped, coefficients, shift, most, check=True) -> None:
+    """Sample i of the frames ``own``, whatever their states."""
+    if not len(own):
+        return
+    new = own[(i % part[own] == 0) | (order[own] == i)] if check else own[:0]
+    if len(new):
+        parameters(r, new, width, k, escaped)
+    raw = escaped[own] == 1
+    residual = np.zeros(len(own), np.int64)
+    residual[raw] = r.signed(own[raw], k[own[raw]])
+    rice = own[~raw]
+    u = r.unary(rice) << k[rice]
+    u |= r.take(rice, k[rice])
+    residual[~raw] = (u >> 1) ^ -(u & 1)
+    guess = np.zeros(len(own), np.int64)
+    for j in range(most):
+        guess += coefficients[own, j] * out[own, i - 1 - j]
+    out[own, i] = residual + (guess >> shift[own])
+
+
 def decode_frames(buf: np.ndarray, pos: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Samples of the subframes that begin at bit ``pos`` in ``buf``, ``size`` each, and where they end."""
     r, n = Reader(buf, pos.astype(np.int64)), len(pos)
@@ -272,31 +307,45 @@ def decode_frames(buf: np.ndarray, pos: np.ndarray, size: int) -> tuple[np.ndarr
     part = np.zeros(n, np.int64)
     part[coded] = size >> r.take(coded, 4)
     k, escaped = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for i in range(size):
-        own = coded[order[coded] <= i]
-        new = own[(i % part[own] == 0) | (order[own] == i)]
-        if len(new):
-            k[new] = r.take(new, width[new])
-            esc = k[new] == (1 << width[new]) - 1
-            escaped[new] = np.where(esc, 1, 0)
-            if esc.any():
-                k[new[esc]] = r.take(new[esc], 5)
-        raw = escaped[own] == 1
-        if raw.any():
-            residual = np.zeros(len(own), np.int64)
-            residual[raw] = r.signed(own[raw], k[own[raw]])
-            rice = ~raw
-            u = r.unary(own[rice]) << k[own[rice]]
-            u |= r.take(own[rice], k[own[rice]])
-            residual[rice] = (u >> 1) ^ -(u & 1)
+    for i in range(most):
+        residuals(r, out, i, coded[order[coded] <= i], size, order, part, width, k, escaped, coefficients, shift, min(most, i))
+    # from here on every coded frame has its warm-up behind it: contiguous arrays, one a column
+    done = np.ascontiguousarray(out[coded].T)
+    taps, down, parts, first = np.ascontiguousarray(coefficients[coded].T), shift[coded], part[coded], order[coded]
+    taps = taps[:most]
+    for i in range(most, size):
+        new = (i % parts == 0) | (first == i)
+        if new.any():
+            parameters(r, coded[new], width, k, escaped)
+        if escaped[coded].any() if new.any() or i == most else raw:
+            raw = True
+            out[coded] = done.T
+            residuals(r, out, i, coded, size, order, np.full(n, size + 1), width, k, escaped, coefficients, shift, most, False)
+            done[i] = out[coded, i]
+            continue
+        raw = False
+        if new.any() or i == most:
+            kk = k[coded]
+            keep = np.minimum(64 - kk, 63).astype(np.uint64)
+        pos = r.pos[coded]
+        window = r.words.take(pos >> 3, mode="clip") << (pos & 7).astype(np.uint64)
+        zeros = 53 - np.frexp((window >> np.uint64(11)).astype(np.float64))[1]
+        used = zeros + 1 + kk
+        if int(used.max()) <= 53 and window.all():
+            low = np.where(kk > 0, (window << (zeros + 1).astype(np.uint64)) >> keep, np.uint64(0)).astype(np.int64)
+            u = (zeros.astype(np.int64) << kk) | low
+            r.pos[coded] = pos + used
         else:
-            u = r.unary(own) << k[own]
-            u |= r.take(own, k[own])
-            residual = (u >> 1) ^ -(u & 1)
-        guess = np.zeros(len(own), np.int64)
-        for j in range(min(most, i)):
-            guess += coefficients[own, j] * out[own, i - 1 - j]
-        out[own, i] = residual + (guess >> shift[own])
+            u = r.unary(coded) << kk
+            u |= r.take(coded, kk)
+        x = (u >> 1) ^ -(u & 1)
+        if most:
+            guess = taps[0] * done[i - 1]
+            for j in range(1, most):
+                guess += taps[j] * done[i - 1 - j]
+            x += guess >> down
+        done[i] = x
+    out[coded] = done.T
     return out, r.pos
 
 
