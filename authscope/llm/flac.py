@@ -288,7 +288,7 @@ def decode_frames(buf: np.ndarray, pos: np.ndarray, size: int) -> tuple[np.ndarr
     most = int(order[coded].max())
     coefficients, shift = np.zeros((n, max(most, 1)), np.int64), np.zeros(n, np.int64)
     for o, values in FIXED.items():
-        if o:
+        if 0 < o <= most:
             coefficients[rows[fixed & (order == o)], :o] = values
     lin = rows[linear]
     if len(lin):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authscope.llm.common import ordered_prefix, shared_dir, slices
+from authscope.llm.common import cut, ordered_prefix, shared_dir, slices
 
 END = 0
 INDEX_STRIDE = 1000
@@ -30,6 +30,9 @@ CACHE_PIECES = 300_000
 #: A space that ends one piece and begins the next: no pattern match of the tokenizer crosses it.
 CUT = re.compile(r" (?=\S)")
 PLAIN = re.compile(r" (?!\S)")
+#: The sign by which a byte-level vocabulary writes each byte: itself if it prints, else the next one from code point 256 on.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = [chr(b) if b in _PRINTS else chr(256 + sum(x not in _PRINTS for x in range(b))) for b in range(256)]
 
 
 class Pieces(dict):
@@ -41,13 +44,17 @@ class Pieces(dict):
 
         self.lead, self.tokenizer = lead, Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
 
     def look_up(self, pieces: list[str]) -> list[bytes]:
         out = list(map(self.get, pieces))
         new = [i for i, x in enumerate(out) if x is None]
         if new:
             fresh = list({pieces[i] for i in new})
-            made = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(fresh, self.tokenizer.encode_batch_fast([self.lead + p for p in fresh], add_special_tokens=False))}
+            words = [p for p in fresh if self.lead and (p.isalpha() or p[-1:] in (".", ",") and p[:-1].isalpha())]
+            made = {p: self.word(p) for p in words}
+            other = [p for p in fresh if p not in made]
+            made |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(other, self.tokenizer.encode_batch_fast([self.lead + p for p in other], add_special_tokens=False))}
             for i in new:
                 out[i] = made[pieces[i]]
             if len(self) + len(made) > CACHE_PIECES:
@@ -55,6 +62,16 @@ class Pieces(dict):
             self.update(made)
         return out
 
+    def word(self, piece: str) -> bytes:
+        """Letters after a space, and a full stop or comma: these are whole matches of the pattern, so the library's model takes each as it is."""
+        end = piece[-1] if piece[-1] in ".," else ""
+        body = piece[: len(piece) - len(end)]
+        shown = body if body.isascii() else "".join(map(BYTE_SIGNS.__getitem__, body.encode()))
+        found = [t.id for t in self.model.tokenize(BYTE_SIGNS[32] + shown)]
+        if end:
+            found.append(self.tokenizer.token_to_id(end))
+        return np.array(found, "<u4").tobytes()
+
 
 @cache
 def libraries(path: str) -> tuple[Pieces, Pieces]:
@@ -115,7 +132,8 @@ def described(ids: DataFrame) -> DataFrame:
             sums = [zlib.crc32(raw[a:e]) for a, e in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "n_tokens", "ids_crc32"])
 
-    rows = ids.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long").withColumn("_o", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    rows = cut(ids.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long"))  # three numbers a row; the files are read once
+    rows = rows.withColumn("_o", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     return ordered_prefix(rows, [], "_o", "n_tokens", "start", ["ids_crc32"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
