@@ -70,15 +70,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Each round takes the least label among the neighbours and then jumps to the label of that label; both are
     equi-joins with a one-row-a-node side, so a hub splits as any skewed join does. The rounds stop when no label
-    changes; their number grows with the logarithm of a chain's length. Raises after ``most`` rounds.
+    changes; their number grows with the logarithm of a chain's length. Joins are by sort and merge: the driver holds no
+    broadcast table, however many rounds there are. Raises after ``most`` rounds.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     for _ in range(most):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
+        near = both.join(labels.hint("merge"), both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
+        step = labels.join(near.hint("merge"), labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         to = labels.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        step = step.join(to, step.component == to.n2, "left").select("node", "old", F.least("component", "c2").alias("component"))
+        step = step.join(to.hint("merge"), step.component == to.n2, "left").select("node", "old", F.least("component", "c2").alias("component"))
         step = cut(step)
         changed = step.where("old <> component").limit(1).count()
         labels = step.select("node", "component")
@@ -122,7 +123,7 @@ def linked(buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Colu
         edges = new if edges is None else edges.union(new)
         labels = components(edges)
         if r < rounds:
-            placed = shared.join(labels, "node", "left").select("k", "node", "x", F.coalesce("component", "node").alias("comp"))
+            placed = shared.join(labels.hint("merge"), "node", "left").select("k", "node", "x", F.coalesce("component", "node").alias("comp"))
             mixed = Window.partitionBy("k")
             placed = cut(placed.withColumn("_mixed", F.max("comp").over(mixed) > F.min("comp").over(mixed)).where("_mixed").drop("_mixed"))
     return labels if labels is not None else shared.select("node", F.col("node").alias("component")).where("false")
