@@ -88,14 +88,15 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-def linked(buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+def linked(buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int = 3, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components (node, component) of the graph whose edges are the confirmed pairs of ``buckets(k, node)`` that share a k.
 
     A bucket never gives all its pairs. In each of ``rounds`` a bucket's members, in another order each time, meet its
     first member and the one before them, if they are of other components so far; confirmed links make components. Then
     only members outside their bucket's main component meet the bucket's members of other components. A pair left
     out lies within one component already, so no component is lost. ``near(x, y)`` is a cheap necessary condition on
-    two structs of node and ``attrs(node, ...)``; ``confirm`` keeps the true pairs of (a, b).
+    two structs of node and ``attrs(node, ...)``; ``confirm`` keeps the true pairs of (a, b). Before the last meeting ``narrow``
+    may drop rows of (k, node, x, comp) that provably link with nothing in their bucket, and add fields to ``x`` for ``near``.
     """
     shared = buckets.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("_n > 1").drop("_n")
     one = F.struct("node", *[c for c in attrs.columns if c != "node"])
@@ -109,6 +110,7 @@ def linked(buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Colu
             met = placed.select("x", "comp", F.first(member).over(by).alias("_y"), F.lag(member).over(by).alias("_z"))
             met = met.select("x", "comp", F.explode(F.array("_y", "_z")).alias("m")).where("m is not null and m.comp <> comp").select("x", F.col("m.x").alias("y"))
         else:
+            placed = placed if narrow is None else cut(narrow(placed))
             mine = placed.withColumn("_main", F.min("comp").over(Window.partitionBy("k")))
             others = mine.where("comp <> _main").select("k", "x", F.col("comp").alias("cx"))
             met = others.join(placed.select("k", F.col("x").alias("y"), F.col("comp").alias("cy")).hint("merge"), "k").where("cx <> cy").where(near("x", "y")).select("x", "y")

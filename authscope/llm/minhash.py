@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authscope.llm.common import cut, linked, slices
@@ -56,6 +56,10 @@ def sets_of(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
+def digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """Least and greatest value under each hash function; a long set is folded piece by piece."""
     low = high = None
@@ -84,7 +88,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 for k, h in zip(full, hashed):
                     bands[k] = h
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                [b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()),
                  pa.array(bands, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(len(SKETCH)))],
                 ["id", "n", "key", "bands", *SKETCH],
             )
@@ -93,17 +97,36 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
-    """(id, items): the full sets of ``df(id, text)``."""
+    """(id, key, items): a digest of the set, and the full set, of each row of ``df(id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = sets_of([x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()], shingle)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "items"])
+            keys = pa.array([digest(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "key", "items"])
+
+    return df.mapInArrow(run, "id long, key binary, items array<long>")
+
 
-    return df.mapInArrow(run, "id long, items array<long>")
+def narrowed(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``placed(k, node, x, comp)`` that may still link with one of their bucket; ``x`` gets ``c``.
+
+    ``c`` counts the shingles of a set that any other of ``sets`` has too, so no intersection is larger: two sets of n and m
+    shingles link only if the smaller c comes to ``percent`` of n + m - c. Texts with many words of their own thus go
+    without being compared. Exact; a set that stands in several rows only has a larger c.
+    """
+    items = sets.select("id", F.xxhash64("key").alias("d"), F.explode("items").alias("h"))
+    own = items.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id"), F.min("d").alias("d")).where("times = 1")
+    own = own.groupBy("id", "d").agg(F.count(F.lit(1)).alias("alone"))
+    counted = placed.join(own.hint("merge"), (F.col("node") == F.col("id")) & (F.col("x.d") == F.col("d")), "left")
+    counted = counted.select("k", "node", F.col("x").withField("c", F.col("x.n") - F.coalesce("alone", F.lit(0))).alias("x"), "comp")
+    least = F.min("x.n").over(Window.partitionBy("k"))
+    return counted.withColumn("_least", least).where(100 * F.col("x.c") >= percent * (F.col("x.n") + F.col("_least") - F.col("x.c"))).drop("_least")
 
 
 def near(percent: int):
+    """A necessary condition on two sets: sizes, sketches and, where known, what each shares with any other."""
+
     def condition(x: str, y: str) -> Column:
         def values(s: str) -> Column:  # the number of fours of bits that differ
             d = f"({x}.{s} ^ {y}.{s})"
@@ -111,6 +134,8 @@ def near(percent: int):
 
         differ = sum((values(s) for s in SKETCH), F.lit(0))
         sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
+        shared = F.coalesce(F.least(f"{x}.c", f"{y}.c"), F.least(f"{x}.n", f"{y}.n"))  # least() leaves NULLs out
+        sizes = sizes & (100 * shared >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - shared))
         return sizes & (differ <= MOST_DIFFERENT) if percent >= PERCENT else sizes
 
     return condition
@@ -120,17 +145,21 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     """(id, n_shingles, component_id, kept), one row for each row of ``df``."""
     sig = cut(signatures(df, id_col, text_col, shingle))
     reps = sig.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("node"))
-    own = sig.alias("s").join(reps.alias("r"), (F.col("s.key") == F.col("r.key")) & (F.col("s.id") == F.col("r.node"))).select("r.node", "s.n", "s.bands", *[f"s.{c}" for c in SKETCH])
+    own = sig.alias("s").join(reps.alias("r"), (F.col("s.key") == F.col("r.key")) & (F.col("s.id") == F.col("r.node"))).select("r.node", "s.n", F.xxhash64("s.key").alias("d"), F.lit(None).cast("long").alias("c"), "s.bands", *[f"s.{c}" for c in SKETCH])
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         sets = shingle_sets(texts.join(nodes, "id"), shingle)
-        both = pairs.join(sets.withColumnRenamed("items", "x"), pairs.a == F.col("id")).drop("id").join(sets.withColumnRenamed("items", "y"), pairs.b == F.col("id")).drop("id")
+        both = pairs.join(sets.select("id", F.col("items").alias("x")), pairs.a == F.col("id")).drop("id").join(sets.select("id", F.col("items").alias("y")), pairs.b == F.col("id")).drop("id")
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
         return shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b").distinct()
 
-    labels = linked(own.select("node", F.explode("bands").alias("k")), own.drop("bands"), near(percent), confirm)
+    def narrow(placed: DataFrame) -> DataFrame:
+        nodes = placed.select(F.col("node").alias("id")).distinct()
+        return narrowed(placed, shingle_sets(texts.join(nodes.hint("merge"), "id"), shingle), percent)
+
+    labels = linked(own.select("node", F.explode("bands").alias("k")), own.drop("bands"), near(percent), confirm, narrow=narrow)
     named = sig.select("id", "n", "key").join(reps, "key", "left")
     # rows of one id with several texts join their texts' groups through the id itself
     named = named.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
