@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,9 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends at files in the shared folder, so a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts lineage: writes a table in the shared folder once and reads it, so a lost executor loses nothing.
+
+    checkpoint() would run the last stage twice and keep a task for each partition; small tables are read by few tasks.
+    The folders stay until the one named in spark.checkpoint.dir is cleared, but for those that ``forget`` drops.
+    """
+    spark = df.sparkSession
+    out = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that ``cut`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("cut-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ordered_prefix(df: DataFrame, keys: list[str], order: str, value: str, out: str, also: list[str] = ()) -> DataFrame:
@@ -81,7 +97,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         to = labels.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
         step = step.join(to.hint("merge"), step.component == to.n2, "left").select("node", "old", F.least("component", "c2").alias("component"))
         step = cut(step)
-        changed = step.where("old <> component").limit(1).count()
+        changed = not step.where("old <> component").isEmpty()
+        forget(labels)
         labels = step.select("node", "component")
         if not changed:
             return labels
