@@ -159,7 +159,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         nodes = placed.select(F.col("node").alias("id")).distinct()
         return narrowed(placed, shingle_sets(texts.join(nodes.hint("merge"), "id"), shingle), percent)
 
-    labels = linked(own.select("node", F.explode("bands").alias("k")), own.drop("bands"), near(percent), confirm, narrow=narrow)
+    labels = linked(own.select("node", F.explode("bands").alias("k")), own.drop("bands"), near(percent), confirm, rounds=2, narrow=narrow)
     named = sig.select("id", "n", "key").join(reps, "key", "left")
     # rows of one id with several texts join their texts' groups through the id itself
     named = named.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
