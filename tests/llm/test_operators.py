@@ -271,3 +271,26 @@ def test_pipeline_stages(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
     assert c.run(spark, SF).count() > 0
+
+
+def test_narrowing_loses_no_link(spark):
+    """Near copies on both sides of the limit: each row that goes links with nothing by brute force, and some go."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    base, rows = [f"b{i}" for i in range(60)], []
+    for i in range(40):
+        words = list(base)
+        for j in rng.sample(range(60), rng.choice([0, 1, 2, 3, 6, 9])):
+            words[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "id long, text string")
+    sets = minhash.shingle_sets(df, 5)
+    x = F.struct(F.col("id").alias("node"), F.size("items").cast("long").alias("n"), F.xxhash64("key").alias("d"), F.lit(None).cast("long").alias("c"))
+    placed = sets.select(F.lit(1).cast("long").alias("k"), F.col("id").alias("node"), x.alias("x"), F.col("id").alias("comp"))
+    kept = {r.node for r in minhash.narrowed(placed, sets, 80).collect()}
+    full = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(len(w) - 4)} for i, t in rows}
+    linked = {i for i in full for j in full if i != j and 100 * len(full[i] & full[j]) >= 80 * len(full[i] | full[j])}
+    assert linked <= kept and len(kept) < len(rows)
