@@ -129,8 +129,9 @@ def linked(buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Colu
         else:
             placed = placed if narrow is None else cut(narrow(placed))
             mine = placed.withColumn("_main", F.min("comp").over(Window.partitionBy("k")))
-            others = mine.where("comp <> _main").select("k", "x", F.col("comp").alias("cx"))
-            met = others.join(placed.select("k", F.col("x").alias("y"), F.col("comp").alias("cy")).hint("merge"), "k").where("cx <> cy").where(near("x", "y")).select("x", "y")
+            others = mine.where("comp <> _main").select("k", "x", F.col("comp").alias("cx"), "_main")
+            # two members outside the main component meet once, from the lesser of their components
+            met = others.join(placed.select("k", F.col("x").alias("y"), F.col("comp").alias("cy")).hint("merge"), "k").where("cx < cy or cy = _main").where(near("x", "y")).select("x", "y")
         pairs = ordered(met.where(near("x", "y")))
         pairs = cut(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
