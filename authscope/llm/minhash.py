@@ -157,9 +157,16 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
 
     def narrow(placed: DataFrame) -> DataFrame:
         nodes = placed.select(F.col("node").alias("id")).distinct()
-        return narrowed(placed, shingle_sets(texts.join(nodes.hint("merge"), "id"), shingle), percent)
+        few = narrowed(placed, shingle_sets(texts.join(nodes.hint("merge"), "id"), shingle), percent)
+        bands = own.select(F.col("node").alias("_node"), F.col("d").alias("_d"), "bands").dropDuplicates(["_node", "_d"])
+        met = few.join(bands.hint("merge"), (F.col("node") == F.col("_node")) & (F.col("x.d") == F.col("_d")))
+        return met.select("k", "node", F.col("x").withField("bands", F.col("bands")).alias("x"), "comp")
 
-    labels = linked(own.select("node", F.explode("bands").alias("k")), own.drop("bands"), near(percent), confirm, rounds=2, narrow=narrow)
+    def once(k: str, x: str, y: str) -> Column:
+        """The first band that both have."""
+        return F.get(F.array_intersect(f"{x}.bands", f"{y}.bands"), F.lit(0)) == F.col(k)
+
+    labels = linked(own.select("node", F.explode("bands").alias("k")), own.drop("bands"), near(percent), confirm, rounds=2, narrow=narrow, once=once)
     named = sig.select("id", "n", "key").join(reps, "key", "left")
     # rows of one id with several texts join their texts' groups through the id itself
     named = named.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
