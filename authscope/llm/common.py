@@ -105,7 +105,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-def linked(buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int = 3, narrow: Callable[[DataFrame], DataFrame] | None = None, once: Callable[[str, str, str], Column] | None = None) -> DataFrame:
+def linked(buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int = 3, narrow: Callable[[DataFrame], DataFrame] | None = None, last: Callable[[str, str, str], Column] | None = None) -> DataFrame:
     """Components (node, component) of the graph whose edges are the confirmed pairs of ``buckets(k, node)`` that share a k.
 
     A bucket never gives all its pairs. In each of ``rounds`` a bucket's members, in another order each time, meet its
@@ -114,7 +114,7 @@ def linked(buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Colu
     out lies within one component already, so no component is lost. ``near(x, y)`` is a cheap necessary condition on
     two structs of node and ``attrs(node, ...)``; ``confirm`` keeps the true pairs of (a, b). Before the last meeting ``narrow``
     may drop rows of (k, node, x, comp) that provably link with nothing in their bucket, and add fields to ``x`` for ``near``.
-    ``once(k, x, y)`` holds in one bucket at least of those that two members share; the last meeting looks at them there only.
+    ``last(k, x, y)`` is a sharper condition for that meeting: for a true pair it holds in one at least of the buckets both share.
     """
     shared = buckets.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("_n > 1").drop("_n")
     one = F.struct("node", *[c for c in attrs.columns if c != "node"])
@@ -133,7 +133,7 @@ def linked(buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Colu
             others = mine.where("comp <> _main").select("k", "x", F.col("comp").alias("cx"), "_main")
             # two members outside the main component meet once, from the lesser of their components
             met = others.join(placed.select("k", F.col("x").alias("y"), F.col("comp").alias("cy")).hint("merge"), "k").where("cx < cy or cy = _main").where(near("x", "y"))
-            met = (met if once is None else met.where(once("k", "x", "y"))).select("x", "y")
+            met = (met if last is None else met.where(last("k", "x", "y"))).select("x", "y")
         pairs = ordered(met.where(near("x", "y")))
         pairs = cut(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():

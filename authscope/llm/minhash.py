@@ -30,7 +30,9 @@ PERCENT = 80
 #: Of the 192 values of two signatures, by their low four bits, at most so many differ for a candidate: 4.5 standard deviations above what 80 % allow.
 MOST_DIFFERENT = 60
 SKETCH = [f"s{j}" for j in range(12)]
-SIGNATURES = "id long, n long, key binary, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
+#: Cells of a set's parities: two sets differ in at least as many shingles as cells.
+CELLS = 2048
+SIGNATURES = "id long, n long, key binary, bands array<long>, odd array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
 
 _rng = np.random.default_rng(20_240_601)
 _mul = _rng.integers(1, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,8 +72,13 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.concatenate((low, high))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of ``CELLS`` cells of the hash space, whether an odd number of the set's shingles falls there, as bits."""
+    return np.packbits(np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1).view(np.int64)
+
+
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, n, key, bands, s0, ..., s11): set size, a digest of the set, band hashes and four bits of each value of the signature."""
+    """(id, n, key, bands, odd, s0, ..., s11): set size, a digest of the set, band hashes, parities and four bits of each value of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -89,8 +96,8 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                     bands[k] = h
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(len(SKETCH)))],
-                ["id", "n", "key", "bands", *SKETCH],
+                 pa.array(bands, pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(len(SKETCH)))],
+                ["id", "n", "key", "bands", "odd", *SKETCH],
             )
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGNATURES)
@@ -145,7 +152,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     """(id, n_shingles, component_id, kept), one row for each row of ``df``."""
     sig = cut(signatures(df, id_col, text_col, shingle))
     reps = sig.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("node"))
-    own = sig.alias("s").join(reps.alias("r"), (F.col("s.key") == F.col("r.key")) & (F.col("s.id") == F.col("r.node"))).select("r.node", "s.n", F.xxhash64("s.key").alias("d"), F.lit(None).cast("long").alias("c"), "s.bands", *[f"s.{c}" for c in SKETCH])
+    own = sig.alias("s").join(reps.alias("r"), (F.col("s.key") == F.col("r.key")) & (F.col("s.id") == F.col("r.node"))).select("r.node", "s.n", F.xxhash64("s.key").alias("d"), F.lit(None).cast("long").alias("c"), "s.bands", "s.odd", *[f"s.{c}" for c in SKETCH])
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -158,15 +165,17 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     def narrow(placed: DataFrame) -> DataFrame:
         nodes = placed.select(F.col("node").alias("id")).distinct()
         few = narrowed(placed, shingle_sets(texts.join(nodes.hint("merge"), "id"), shingle), percent)
-        bands = own.select(F.col("node").alias("_node"), F.col("d").alias("_d"), "bands").dropDuplicates(["_node", "_d"])
+        bands = own.select(F.col("node").alias("_node"), F.col("d").alias("_d"), "bands", "odd").dropDuplicates(["_node", "_d"])
         met = few.join(bands.hint("merge"), (F.col("node") == F.col("_node")) & (F.col("x.d") == F.col("_d")))
-        return met.select("k", "node", F.col("x").withField("bands", F.col("bands")).alias("x"), "comp")
+        return met.select("k", "node", F.col("x").withField("bands", F.col("bands")).withField("odd", F.col("odd")).alias("x"), "comp")
 
-    def once(k: str, x: str, y: str) -> Column:
-        """The first band that both have."""
-        return F.get(F.array_intersect(f"{x}.bands", f"{y}.bands"), F.lit(0)) == F.col(k)
+    def last(k: str, x: str, y: str) -> Column:
+        """No more parities differ than ``percent`` allows of shingles (exact), and ``k`` is the first band that both have."""
+        differ = F.aggregate(F.zip_with(f"{x}.odd", f"{y}.odd", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v)
+        few = (100 + percent) * differ <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+        return few & (F.get(F.array_intersect(f"{x}.bands", f"{y}.bands"), F.lit(0)) == F.col(k))
 
-    labels = linked(own.select("node", F.explode("bands").alias("k")), own.drop("bands"), near(percent), confirm, rounds=2, narrow=narrow, once=once)
+    labels = linked(own.select("node", F.explode("bands").alias("k")), own.drop("bands", "odd"), near(percent), confirm, rounds=2, narrow=narrow, last=last)
     named = sig.select("id", "n", "key").join(reps, "key", "left")
     # rows of one id with several texts join their texts' groups through the id itself
     named = named.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
