@@ -56,3 +56,36 @@ def merged(df: DataFrame) -> DataFrame:
     total = F.greatest(F.col("c1") + F.col("c2"), F.lit(1e-9))
     blend = F.round((F.col("s1") * F.col("c1") + F.col("s2") * F.col("c2")) / total, 1)
     return df.withColumn("source", source).withColumn("confidence", F.when(F.col("source").like("stage1%"), F.col("s1")).when(F.col("source") == "stage2_dominant", F.col("s2")).otherwise(blend))
+
+
+def suspicion(df: DataFrame) -> DataFrame:
+    """Adds suspicion, reasons and act to joins (age_days, has_avatar, join_burst, message_burst)."""
+    # Points, limits and names of the reasons.
+    signals = [(F.col("age_days") < 7, 40, "new_account<7d"), (F.col("has_avatar") == 0, 15, "no_custom_avatar"), (F.col("join_burst") == 1, 25, "join_burst>5/120s"), (F.col("message_burst") == 1, 30, "message_burst>8/60s")]
+    score = sum((F.when(holds, points).otherwise(0) for holds, points, _ in signals), F.lit(0))
+    return df.withColumns({"suspicion": score, "reasons": F.concat_ws("|", *[F.when(holds, name) for holds, _, name in signals]), "act": (score >= 70).cast("int")})
+
+
+def adjusted(df: DataFrame, signals: dict[str, Column]) -> DataFrame:
+    """Adds ``shown``: the confidence moved towards a target when the known signals of a legit account agree with the prediction.
+
+    ``signals`` maps a column to a condition on it; NULL columns have no vote.
+    """
+    legit = F.col("prediction") == "Legit"
+    votes = sum((F.col(c).isNotNull().cast("int") for c in signals), F.lit(0))
+    agree = sum((F.coalesce((ok == legit).cast("int"), F.lit(0)) for ok in signals.values()), F.lit(0))
+    share, c = F.try_divide(agree, votes), F.col("confidence")
+    pull = F.when(share >= 0.80, (F.when(legit, 85.0).otherwise(88.0) - c) * 0.45).when(share >= 0.65, (F.when(legit, 75.0).otherwise(78.0) - c) * 0.25).otherwise(0.0)
+    moved = c + F.greatest(F.lit(-5.0), F.least(pull, F.lit(12.0)))
+    return df.withColumn("shown", F.when(votes == 0, c).otherwise(F.round(F.round(F.least(moved, F.lit(95.0)), 6), 1)))
+
+
+def precedence(df: DataFrame) -> DataFrame:
+    """The allow-list before the public-figure rules before the bot rules: prediction, confidence and which of them held."""
+    known = F.col("listed") == 1
+    figure, robot = public_figure(df), bot(df)
+    a = figure.select("account_id", "figure_rule", F.col("prediction").alias("p1"), F.col("confidence").alias("c1"), "listed", F.col("platform"))
+    both = a.join(robot.select("account_id", "bot_rule", F.col("prediction").alias("p2"), F.col("confidence").alias("c2")), "account_id")
+    pick = lambda x, y, z: F.when(known, x).when(F.col("figure_rule").isNotNull(), y).otherwise(z)
+    source = F.when(known, "allow_list").when(F.col("figure_rule").isNotNull(), "public_figure").when(F.col("bot_rule").isNotNull(), "bot").otherwise("model")
+    return both.select("account_id", "platform", pick(F.lit("Legit"), F.col("p1"), F.col("p2")).alias("prediction"), pick(F.lit(99.0), F.col("c1"), F.col("c2")).alias("confidence"), source.alias("source"))
