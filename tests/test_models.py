@@ -44,3 +44,8 @@ def test_late_rows_are_dropped(spark):
     files = spark.readStream.schema(row).option("maxFilesPerTrigger", 1).parquet(folder)
     found = {r["window_start"] % 86400 // 3600: r["n"] for r in guild.drained(guild.counts(files, ["guild_id"], "1 hour")).collect()}
     assert found[0] == 1 and found[5] == 1 and 7 not in found  # the row of 00:30 came in the third batch
+
+
+def test_importances_name_every_feature(spark):
+    rows = QUERIES["mdl6_mdl17_importances"](spark, DIR).collect()
+    assert len(rows) == 5 and abs(sum(r["importance"] for r in rows) - 1) < 1e-6 and any(r["keep"] for r in rows)
