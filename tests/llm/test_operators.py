@@ -294,3 +294,16 @@ def test_narrowing_loses_no_link(spark):
     full = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(len(w) - 4)} for i, t in rows}
     linked = {i for i in full for j in full if i != j and 100 * len(full[i] & full[j]) >= 80 * len(full[i] | full[j])}
     assert linked <= kept and len(kept) < len(rows)
+
+
+def test_parities_never_exceed_the_difference():
+    import numpy as np
+
+    from authscope.llm import minhash
+
+    rng = np.random.default_rng(3)
+    for n, own in ((5, 1), (200, 40), (5000, 900)):
+        common = rng.integers(0, 1 << 63, n, np.uint64)
+        a, b = (np.unique(np.concatenate((common, rng.integers(0, 1 << 63, own, np.uint64)))) for _ in "ab")
+        cells = sum(int(x).bit_count() for x in (minhash.parities(a) ^ minhash.parities(b)).view(np.uint64))
+        assert cells <= len(np.setxor1d(a, b)) and (cells > 0)
