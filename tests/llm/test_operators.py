@@ -307,3 +307,12 @@ def test_parities_never_exceed_the_difference():
         a, b = (np.unique(np.concatenate((common, rng.integers(0, 1 << 63, own, np.uint64)))) for _ in "ab")
         cells = sum(int(x).bit_count() for x in (minhash.parities(a) ^ minhash.parities(b)).view(np.uint64))
         assert cells <= len(np.setxor1d(a, b)) and (cells > 0)
+
+
+def test_copies_of_a_line_vote_once(spark, monkeypatch):
+    """Lanes that hold one line's words: copies of it carried into the next lane before."""
+    words = [f"word{i}" for i in range(20)]
+    monkeypatch.setattr(linededup, "LANE_BITS", 5)
+    monkeypatch.setattr(linededup, "BITS", 15)
+    once, often = (linededup.simhashes(linededup.lines(spark.createDataFrame([(i, " ".join(words)) for i in range(n)], "doc_id long, text string"), "doc_id", "text")).collect() for n in (1, 40))
+    assert once == often and len(often) == 1
