@@ -137,9 +137,7 @@ def linked(buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Colu
         pairs = ordered(met.where(near("x", "y")))
         pairs = cut(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
-            if r < rounds - 1:
-                continue
-            break
+            continue  # the whole meeting comes after the linear rounds, also if the last of them found nothing
         tried = pairs if tried is None else tried.union(pairs)
         new = cut(confirm(pairs))
         edges = new if edges is None else edges.union(new)

@@ -316,3 +316,23 @@ def test_copies_of_a_line_vote_once(spark, monkeypatch):
     monkeypatch.setattr(linededup, "BITS", 15)
     once, often = (linededup.simhashes(linededup.lines(spark.createDataFrame([(i, " ".join(words)) for i in range(n)], "doc_id long, text string"), "doc_id", "text")).collect() for n in (1, 40))
     assert once == often and len(often) == 1
+
+
+def test_linked_pair_that_no_linear_round_meets(spark):
+    from pyspark.sql import functions as F
+
+    from authscope.llm.common import linked
+
+    nodes = spark.range(1, 9).withColumnRenamed("id", "node")
+    order = lambda r: [x.node for x in nodes.orderBy(F.xxhash64("node", F.lit(r)), "node").collect()]
+    buckets = nodes.select(F.lit(1).cast("long").alias("k"), "node")
+    for rounds in (1, 2):
+        met = {frozenset(p) for r in range(rounds) for o in [order(r)] for p in [*zip(o, o[1:]), *((o[0], x) for x in o[1:])]}
+        for a, b in itertools.combinations(range(1, 9), 2):
+            if frozenset((a, b)) not in met:
+                break
+        else:
+            raise AssertionError("every pair meets in a linear round")
+        near = lambda x, y: F.col(f"{x}.node").isin(a, b) & F.col(f"{y}.node").isin(a, b)  # noqa: B023, E731
+        got = linked(buckets, nodes, near, lambda pairs: pairs, rounds=rounds).collect()
+        assert {(r.node, r.component) for r in got} == {(a, a), (b, a)}
