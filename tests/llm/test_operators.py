@@ -336,3 +336,17 @@ def test_linked_pair_that_no_linear_round_meets(spark):
         near = lambda x, y: F.col(f"{x}.node").isin(a, b) & F.col(f"{y}.node").isin(a, b)  # noqa: B023, E731
         got = linked(buckets, nodes, near, lambda pairs: pairs, rounds=rounds).collect()
         assert {(r.node, r.component) for r in got} == {(a, a), (b, a)}
+
+
+def test_each_repeated_passage_stays_once(spark):
+    """Chained passages in every order: each word stays once, where its passage stands first."""
+    p = [[f"p{i}_{j}" for j in range(80)] for i in range(5)]
+    h, x, y = [f"h{j}" for j in range(60)], [f"x{j}" for j in range(12)], [f"y{j}" for j in range(12)]
+    texts = {0: p[0], 1: p[0] + p[1], 2: p[1], 3: p[2] + p[3], 4: p[2], 5: p[3] + p[4] + p[2], 6: p[4], 7: h + x + ["a"], 8: h + y + ["b"], 9: h + y + ["c"]}
+    stays = {i: [True] * len(t) for i, t in texts.items()}
+    for r in suffix.repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect():
+        assert r.n_words == r.end_word - r.start_word
+        if r.first_doc != r.doc_id:
+            stays[r.doc_id][r.start_word : r.end_word] = [False] * r.n_words
+    left = Counter(w for i, t in texts.items() for w, kept in zip(t, stays[i]) if kept)
+    assert left == Counter({w for t in texts.values() for w in t})
