@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from authscope.llm.common import slices
+from authscope.llm.common import cut, slices
 
 BLOCK = 192
 RATE = 16_000
@@ -451,17 +451,15 @@ def feature(pcm: np.ndarray) -> str:
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document, of what is read back from its stored stream: one pass of one worker, streams in memory a slice at a time."""
+    """A row for each document, of what is read back from its stream, which is stored in the shared folder first."""
+    stored = cut(to_media(df, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1_500_000):
-            made = [payload(t) for t in b.column("text").to_pylist()]
-            media = encode([p for p, _ in made])
-            rows = []
-            for (_, n), m, (back, at) in zip(made, media, decode(media)):
+        for b in slices(batches, "media", 1_500_000):
+            media, rows = b.column("media").to_pylist(), []
+            for n, m, (back, at) in zip(b.column("n_bytes").to_pylist(), media, decode(media)):
                 rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(np.frombuffer(back, np.uint8).astype(np.int16) - 128), len(at)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(id_col), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks"])
 
-    rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long")
+    return stored.mapInArrow(run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long")

@@ -350,3 +350,12 @@ def test_each_repeated_passage_stays_once(spark):
             stays[r.doc_id][r.start_word : r.end_word] = [False] * r.n_words
     left = Counter(w for i, t in texts.items() for w, kept in zip(t, stays[i]) if kept)
     assert left == Counter({w for t in texts.values() for w in t})
+
+
+def test_flac_reads_what_is_stored(odd, monkeypatch):
+    stored, write = [], flac.cut
+    monkeypatch.setattr(flac, "cut", lambda df: stored.append(write(df)) or stored[-1])
+    rows = flac.round_trip(odd).collect()
+    assert len(stored) == 1 and stored[0].inputFiles()
+    assert Counter((r.doc_id, r.media_sha256) for r in rows) == Counter((r.id, hashlib.sha256(r.media).hexdigest()) for r in stored[0].collect())
+    assert flac.blocks(stored[0]).count() == sum(r.n_blocks for r in rows)
