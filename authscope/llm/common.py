@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,29 +16,39 @@ from pyspark.sql import functions as F
 #: Maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Ids per bucket of an ordered prefix sum, as a power of two.
-BUCKET_BITS = 10
-
 
 def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; one of our own only where the session names none and runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jsc.get() if jsc.isDefined() else tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-        if not jsc.isDefined():
-            spark.sparkContext.setCheckpointDir(found)
+        found = jsc.get() if jsc.isDefined() else None
+        if found is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = found or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go as soon as its result is written: nothing reads them again, as lineage is cut there."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """Cuts lineage: writes a table in the shared folder once and reads it, so a lost executor loses nothing.
 
     checkpoint() would run the last stage twice and keep a task for each partition; small tables are read by few tasks.
@@ -44,41 +56,34 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     out = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(out)
+    with shuffles_dropped(spark):
+        df.write.options(**options).parquet(out)
     return spark.read.schema(df.schema).parquet(out)
 
 
-def forget(df: DataFrame) -> None:
+def forget(df: DataFrame | None) -> None:
     """Deletes the files of a table that ``cut`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
         if folder.rsplit("/", 1)[-1].startswith("cut-"):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ordered_prefix(df: DataFrame, keys: list[str], order: str, value: str, out: str, also: list[str] = ()) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over all rows of the same ``keys`` that come before by ``order`` (a long).
+def ordered_prefix(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over all rows of the same ``keys`` that come before by ``order``, then ``value``.
 
-    Three levels of buckets of 2**10 ids each, so that no window holds more rows than a bucket has, and the
-    last one, which holds all that is left of a key, has a row for each 2**20 ids. Rows of equal ``order`` are
-    told apart by ``value`` and ``also``; NULL ids come first. Result is the input's rows and ``out``.
+    Rows are dealt by ranges of (keys, order, value), so no task gets more than a range, whatever the ids are like; a key's
+    ranges are summed and their totals, one number a range, are added up. NULLs come first. The result has ``df``'s rows.
     """
-    b1, b2 = F.shiftright(F.col(order), BUCKET_BITS), F.shiftright(F.col(order), 2 * BUCKET_BITS)
-    rows = df.withColumns({"_b1": b1, "_b2": b2})
-    one = rows.groupBy(*keys, "_b2", "_b1").agg(F.sum(value).alias("_s1"))
-    two = one.groupBy(*keys, "_b2").agg(F.sum("_s1").alias("_s2"))
+    by = [*keys, *order, value]
+    rows = cut(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
     before = (Window.unboundedPreceding, -1)
-    top = two.withColumn("_p2", F.coalesce(F.sum("_s2").over(Window.partitionBy(*keys).orderBy("_b2").rowsBetween(*before)), F.lit(0)))
-    same = lambda a, b, names: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
-    mid = one.alias("a").join(top.alias("b"), same("a", "b", [*keys, "_b2"])).select("a.*", "b._p2")
-    mid = mid.withColumn("_p1", F.col("_p2") + F.coalesce(F.sum("_s1").over(Window.partitionBy(*keys, "_b2").orderBy("_b1").rowsBetween(*before)), F.lit(0)))
-    inner = Window.partitionBy(*keys, "_b1").orderBy(order, value, *also).rowsBetween(*before)
-    rows = rows.withColumn("_p0", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return (
-        rows.alias("a").join(mid.alias("b"), same("a", "b", [*keys, "_b1"]))
-        .select("a.*", (F.col("b._p1") + F.col("a._p0")).cast("long").alias(out)).drop("_b1", "_b2", "_p0")
-    )
+    totals = rows.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(*before)), F.lit(0)))
+    inner = Window.partitionBy(*keys, "_range").orderBy(*order, value).rowsBetween(*before)
+    rows = rows.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    same = [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in [*keys, "_range"]]
+    return rows.alias("a").join(totals.alias("b"), same).select("a.*", (F.col("b._before") + F.col("a._inner")).cast("long").alias(out)).drop("_range", "_inner")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

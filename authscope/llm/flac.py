@@ -452,7 +452,7 @@ def feature(pcm: np.ndarray) -> str:
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document, of what is read back from its stream, which is stored in the shared folder first."""
-    stored = cut(to_media(df, id_col, text_col))
+    stored = cut(to_media(df, id_col, text_col), compression="zstd")  # frame headers and repeated texts shrink
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media", 1_500_000):

@@ -110,7 +110,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     sizes = cut(sized(df, id_col, text_col, source_col))  # three numbers a row; the texts are read once
     plan = cut(targets(sizes))
     times = scheduled(plan, seed).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    placed = ordered_prefix(sizes.withColumn("_o", F.coalesce("id", F.lit(-(1 << 63)).cast("long"))), ["source"], "_o", "size", "begin")
+    placed = ordered_prefix(sizes, ["source"], ["id"], "size", "begin")
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     placed = placed.alias("d").join(plan.alias("p"), same("d", "p")).select("d.id", "d.source", "d.size", "d.begin", "p.source_size", "p.target", "p.n_blocks")
     # of a source's n blocks, the first size mod n hold a word more than the others
