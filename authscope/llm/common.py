@@ -86,6 +86,21 @@ def ordered_prefix(df: DataFrame, keys: list[str], order: list[str], value: str,
     return rows.alias("a").join(totals.alias("b"), same).select("a.*", (F.col("b._before") + F.col("a._inner")).cast("long").alias(out)).drop("_range", "_inner")
 
 
+#: Members of a bucket that one task orders in a linear round.
+PART = 4096
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, component), component the smallest node reachable.
 
@@ -106,52 +121,87 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         forget(labels)
         labels = step.select("node", "component")
         if not changed:
+            forget(both)
             return labels
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-def linked(buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int = 3, narrow: Callable[[DataFrame], DataFrame] | None = None, last: Callable[[str, str, str], Column] | None = None) -> DataFrame:
-    """Components (node, component) of the graph whose edges are the confirmed pairs of ``buckets(k, node)`` that share a k.
-
-    A bucket never gives all its pairs. In each of ``rounds`` a bucket's members, in another order each time, meet its
-    first member and the one before them, if they are of other components so far; confirmed links make components. Then
-    only members outside their bucket's main component meet the bucket's members of other components. A pair left
-    out lies within one component already, so no component is lost. ``near(x, y)`` is a cheap necessary condition on
-    two structs of node and ``attrs(node, ...)``; ``confirm`` keeps the true pairs of (a, b). Before the last meeting ``narrow``
-    may drop rows of (k, node, x, comp) that provably link with nothing in their bucket, and add fields to ``x`` for ``near``.
-    ``last(k, x, y)`` is a sharper condition for that meeting: for a true pair it holds in one at least of the buckets both share.
+def joined_labels(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(node, component) of the graph of ``labels``' components and the edges ``new(a, b)``; only components move, not the edges before."""
+    if labels is None:
+        return components(new)
+    name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")).hint("merge")
+    both = new.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    met = components(both.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    fresh = new.select(F.col("a").alias("node")).union(new.select("b")).distinct().join(labels.hint("merge"), "node", "left_anti")
+    every = labels.union(fresh.select("node", F.col("node").alias("component")))
+    to = met.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    out = cut(every.join(to.hint("merge"), "component", "left").select("node", F.coalesce("_to", "component").alias("component")))
+    forget(met)
+    return out
+
+
+def linked(
+    buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Column], load: Callable[[DataFrame], DataFrame], agree: Callable[[str, str], Column], rounds: int = 2,
+    narrow: Callable[[DataFrame, DataFrame], DataFrame] | None = None, last: Callable[[str, str, str], Column] | None = None,
+) -> DataFrame:
+    """Components (node, component) of the graph whose edges are the pairs of ``buckets(k, node)`` that share a k and agree.
+
+    A bucket never gives all its pairs. In each of ``rounds`` a bucket's members, in another order each time, meet the first
+    member and the one before them, if they are of other components so far; links that agree make components. A bucket of
+    over ``PART`` members is dealt to several tasks for that, anew in each round. Then only members outside
+    their bucket's main component meet the bucket's members of other components. A pair left out lies within one component
+    already, so no component is lost. ``near(x, y)`` is a cheap necessary condition on two structs of node and
+    ``attrs(node, ...)``. ``load`` brings (node, item) of the nodes that share a bucket, once; ``agree(x, y)`` decides on two items.
+    Before the last meeting ``narrow(placed, items)`` may drop rows of (k, node, n, x, comp) that provably link with nothing in their
+    bucket, and add fields to ``x`` for ``near``. ``last(k, x, y)`` is a sharper condition for that meeting: for a true pair it
+    holds in one at least of the buckets both share.
     """
-    shared = buckets.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("_n > 1").drop("_n")
+    sizes = buckets.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     one = F.struct("node", *[c for c in attrs.columns if c != "node"])
-    shared = cut(shared.join(attrs, "node").select("k", "node", one.alias("x")))
-    ordered = lambda df: df.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    placed, tried, edges, labels = shared.withColumn("comp", F.col("node")), None, None, None
+    shared = buckets.join(sizes.hint("merge"), "k")
+    shared = cut(shared.join(attrs.select("node", one.alias("x")).hint("merge"), "node").select("k", "node", "n", "x"))
+    items = cut(load(shared.select("node").distinct()))
+    ends = lambda df: df.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    side = lambda c, v: items.select(F.col("node").alias(c), F.col("item").alias(v)).hint("merge")
+    spread = lambda df: df.groupBy("k").agg(F.min("comp").alias("main"), F.max("comp").alias("other")).where("main < other").hint("merge")
+    placed, tried, labels = shared.withColumn("comp", F.col("node")), None, None
     for r in range(rounds + 1):
         member = F.struct("x", "comp")
         if r < rounds:
-            by = Window.partitionBy("k").orderBy(F.xxhash64("node", F.lit(r)), "node")
+            turn = F.xxhash64("node", F.lit(r))
+            by = Window.partitionBy("k", F.pmod(F.shiftright(turn, 7), F.lit(1) + F.floor(F.col("n") / PART))).orderBy(turn, "node")
             met = placed.select("x", "comp", F.first(member).over(by).alias("_y"), F.lag(member).over(by).alias("_z"))
             met = met.select("x", "comp", F.explode(F.array("_y", "_z")).alias("m")).where("m is not null and m.comp <> comp").select("x", F.col("m.x").alias("y"))
         else:
-            placed = placed if narrow is None else cut(narrow(placed))
-            mine = placed.withColumn("_main", F.min("comp").over(Window.partitionBy("k")))
-            others = mine.where("comp <> _main").select("k", "x", F.col("comp").alias("cx"), "_main")
+            whole = placed if narrow is None else cut(narrow(placed, items))
+            mine = whole.join(spread(whole).drop("other"), "k")
+            others = mine.where("comp <> main").select("k", "x", F.col("comp").alias("cx"), "main")
             # two members outside the main component meet once, from the lesser of their components
-            met = others.join(placed.select("k", F.col("x").alias("y"), F.col("comp").alias("cy")).hint("merge"), "k").where("cx < cy or cy = _main").where(near("x", "y"))
+            met = others.join(whole.select("k", F.col("x").alias("y"), F.col("comp").alias("cy")).hint("merge"), "k").where("cx < cy or cy = main").where(near("x", "y"))
             met = (met if last is None else met.where(last("k", "x", "y"))).select("x", "y")
-        pairs = ordered(met.where(near("x", "y")))
+        pairs = ends(met.where(near("x", "y")))
         pairs = cut(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            continue  # the whole meeting comes after the linear rounds, also if the last of them found nothing
         tried = pairs if tried is None else tried.union(pairs)
-        new = cut(confirm(pairs))
-        edges = new if edges is None else edges.union(new)
-        labels = components(edges)
+        new = cut(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(agree("x", "y")).select("a", "b"))
+        if r == rounds and narrow is not None:
+            forget(whole)
+        if new.isEmpty():
+            continue  # the whole meeting comes after the linear rounds, also if the last of them found nothing
+        before, labels = labels, joined_labels(labels, new)
+        forget(before)
         if r < rounds:
-            placed = shared.join(labels.hint("merge"), "node", "left").select("k", "node", "x", F.coalesce("component", "node").alias("comp"))
-            mixed = Window.partitionBy("k")
-            placed = cut(placed.withColumn("_mixed", F.max("comp").over(mixed) > F.min("comp").over(mixed)).where("_mixed").drop("_mixed"))
-    return labels if labels is not None else shared.select("node", F.col("node").alias("component")).where("false")
+            gone = placed
+            placed = shared.join(labels.hint("merge"), "node", "left").select("k", "node", "n", "x", F.coalesce("component", "node").alias("comp"))
+            placed = cut(placed.join(spread(placed).select("k"), "k").select("k", "node", "n", "x", "comp"))
+            if r:
+                forget(gone)
+    forget(items)
+    if labels is None:
+        return shared.select("node", F.col("node").alias("component")).where("false")
+    forget(shared)
+    forget(tried)
+    return labels
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:

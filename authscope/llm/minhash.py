@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from authscope.llm.common import cut, linked, slices
+from authscope.llm.common import cut, forget, linked, slices, unused
 from authscope.llm.wordhash import Words, mixed
 
 PERMUTATIONS = 96
@@ -116,19 +116,20 @@ def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
 
 
 def narrowed(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows of ``placed(k, node, x, comp)`` that may still link with one of their bucket; ``x`` gets ``c``.
+    """Rows of ``placed(k, node, n, x, comp)`` that may still link with one of their bucket; ``x`` gets ``c``.
 
-    ``c`` counts the shingles of a set that any other of ``sets`` has too, so no intersection is larger: two sets of n and m
-    shingles link only if the smaller c comes to ``percent`` of n + m - c. Texts with many words of their own thus go
-    without being compared. Exact; a set that stands in several rows only has a larger c.
+    ``c`` counts the shingles of a set that any other of ``sets(node, item)`` has too, so no intersection is larger: two sets of n
+    and m shingles link only if the smaller c comes to ``percent`` of n + m - c. Texts with many words of their own thus go
+    without being compared. Exact.
     """
-    items = sets.select("id", F.xxhash64("key").alias("d"), F.explode("items").alias("h"))
-    own = items.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id"), F.min("d").alias("d")).where("times = 1")
-    own = own.groupBy("id", "d").agg(F.count(F.lit(1)).alias("alone"))
-    counted = placed.join(own.hint("merge"), (F.col("node") == F.col("id")) & (F.col("x.d") == F.col("d")), "left")
-    counted = counted.select("k", "node", F.col("x").withField("c", F.col("x.n") - F.coalesce("alone", F.lit(0))).alias("x"), "comp")
-    least = F.min("x.n").over(Window.partitionBy("k"))
-    return counted.withColumn("_least", least).where(100 * F.col("x.c") >= percent * (F.col("x.n") + F.col("_least") - F.col("x.c"))).drop("_least")
+    asked = sets.join(placed.select("node").distinct().hint("merge"), "node")
+    own = asked.select("node", F.explode("item").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).where("times = 1")
+    single = asked.groupBy("node").agg(F.count(F.lit(1)).alias("sets")).where("sets = 1").select("node")  # of an id of several texts nothing goes
+    own = own.groupBy("node").agg(F.count(F.lit(1)).alias("alone")).join(single.hint("merge"), "node")
+    counted = placed.join(own.hint("merge"), "node", "left")
+    counted = counted.select("k", "node", "n", F.col("x").withField("c", F.col("x.n") - F.coalesce("alone", F.lit(0))).alias("x"), "comp")
+    least = placed.groupBy("k").agg(F.min("x.n").alias("_least"))
+    return counted.join(least.hint("merge"), "k").where(100 * F.col("x.c") >= percent * (F.col("x.n") + F.col("_least") - F.col("x.c"))).select("k", "node", "n", "x", "comp")
 
 
 def near(percent: int):
@@ -152,22 +153,26 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     """(id, n_shingles, component_id, kept), one row for each row of ``df``."""
     sig = cut(signatures(df, id_col, text_col, shingle))
     reps = sig.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("node"))
-    own = sig.alias("s").join(reps.alias("r"), (F.col("s.key") == F.col("r.key")) & (F.col("s.id") == F.col("r.node"))).select("r.node", "s.n", F.xxhash64("s.key").alias("d"), F.lit(None).cast("long").alias("c"), "s.bands", "s.odd", *[f"s.{c}" for c in SKETCH])
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = shingle_sets(texts.join(nodes, "id"), shingle)
-        both = pairs.join(sets.select("id", F.col("items").alias("x")), pairs.a == F.col("id")).drop("id").join(sets.select("id", F.col("items").alias("y")), pairs.b == F.col("id")).drop("id")
-        shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
-        return shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b").distinct()
-
-    def narrow(placed: DataFrame) -> DataFrame:
-        nodes = placed.select(F.col("node").alias("id")).distinct()
-        few = narrowed(placed, shingle_sets(texts.join(nodes.hint("merge"), "id"), shingle), percent)
-        bands = own.select(F.col("node").alias("_node"), F.col("d").alias("_d"), "bands", "odd").dropDuplicates(["_node", "_d"])
-        met = few.join(bands.hint("merge"), (F.col("node") == F.col("_node")) & (F.col("x.d") == F.col("_d")))
-        return met.select("k", "node", F.col("x").withField("bands", F.col("bands")).withField("odd", F.col("odd")).alias("x"), "comp")
+    whole = sig.alias("s").join(reps.hint("merge").alias("r"), (F.col("s.key") == F.col("r.key")) & (F.col("s.id") == F.col("r.node")))
+    # an id of several texts is one node, and so may have several sets
+    own = cut(whole.select("r.node", "s.key", "s.n", F.lit(None).cast("long").alias("c"), "s.bands", "s.odd", *[f"s.{c}" for c in SKETCH]).dropDuplicates(["node", "key"]))
+
+    def load(nodes: DataFrame) -> DataFrame:
+        """Full sets of the nodes asked for: one shuffle of the texts."""
+        texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        asked = own.select("node", "key").join(nodes.hint("merge"), "node")
+        sets = shingle_sets(texts.join(nodes.withColumnRenamed("node", "id").hint("merge"), "id"), shingle)
+        rows = sets.join(asked.hint("merge"), (F.col("id") == F.col("node")) & (sets.key == asked.key)).select("node", F.col("items").alias("item"))
+        return rows.dropDuplicates(["node", "item"])
+
+    def agree(x: str, y: str) -> Column:
+        return (100 + percent) * F.size(F.array_intersect(x, y)).cast("long") >= percent * (F.size(x) + F.size(y)).cast("long")
+
+    def narrow(placed: DataFrame, sets: DataFrame) -> DataFrame:
+        few = narrowed(placed, sets, percent)
+        bands = own.select("node", F.xxhash64("key").alias("_d"), "bands", "odd")
+        met = few.join(bands.hint("merge"), "node").where(F.col("x.d") == F.col("_d"))
+        return met.select("k", "node", "n", F.col("x").withField("bands", F.col("bands")).withField("odd", F.col("odd")).alias("x"), "comp")
 
     def last(k: str, x: str, y: str) -> Column:
         """No more parities differ than ``percent`` allows of shingles (exact), and ``k`` is the first band that both have."""
@@ -175,15 +180,18 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         few = (100 + percent) * differ <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
         return few & (F.get(F.array_intersect(f"{x}.bands", f"{y}.bands"), F.lit(0)) == F.col(k))
 
-    labels = linked(own.select("node", F.explode("bands").alias("k")), own.drop("bands", "odd"), near(percent), confirm, rounds=2, narrow=narrow, last=last)
+    attrs = own.withColumn("d", F.xxhash64("key")).drop("bands", "odd", "key")
+    labels = linked(own.select("node", F.explode("bands").alias("k")).distinct(), attrs, near(percent), load, agree, narrow=narrow, last=last)
+    forget(own)
     named = sig.select("id", "n", "key").join(reps, "key", "left")
     # rows of one id with several texts join their texts' groups through the id itself
-    named = named.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    named = named.join(labels.withColumnRenamed("node", "_node").hint("merge"), F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "node", "id"))
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` whose document is the first of its group; columns as they were."""
-    gone = groups(df, id_col, text_col, shingle, percent).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    [name] = unused(df, "_gone")
+    gone = groups(df, id_col, text_col, shingle, percent).where("not kept").select(F.col(id_col).alias(name)).distinct()
+    return df.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

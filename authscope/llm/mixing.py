@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from authscope.llm.common import WORD, cut, ordered_prefix
+from authscope.llm.common import WORD, cut, ordered_prefix, unused
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -132,8 +132,9 @@ def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
     Rows of no words are in no mix. Columns are those of ``df``. Ids should be distinct; rows of equal id share their draws.
     """
-    taken = mix(df, id_col, text_col, source_col, seed).where("size > 0").groupBy(F.col(id_col).alias("_id")).agg((F.sum("taken") / F.sum("size")).alias("_rate"))
-    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = taken.select("_id", (F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int").alias("_times")).where("_times > 0")
-    rows = df.join(times, F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).where(F.regexp_count(F.col(text_col), F.lit(WORD)) > 0).select(*df.columns)
+    key, rate, times, copy = unused(df, "_id", "_rate", "_times", "_copy")
+    taken = mix(df, id_col, text_col, source_col, seed).where("size > 0").groupBy(F.col(id_col).alias(key)).agg((F.sum("taken") / F.sum("size")).alias(rate))
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    often = taken.select(key, (F.floor(rate) + (chance < F.col(rate) - F.floor(rate)).cast("long")).cast("int").alias(times)).where(F.col(times) > 0)
+    rows = df.join(often, F.col(id_col).cast("long").eqNullSafe(F.col(key)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).where(F.regexp_count(F.col(text_col), F.lit(WORD)) > 0).select(*df.columns)

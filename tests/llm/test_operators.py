@@ -291,8 +291,8 @@ def test_narrowing_loses_no_link(spark):
     df = spark.createDataFrame(rows, "id long, text string")
     sets = minhash.shingle_sets(df, 5)
     x = F.struct(F.col("id").alias("node"), F.size("items").cast("long").alias("n"), F.xxhash64("key").alias("d"), F.lit(None).cast("long").alias("c"))
-    placed = sets.select(F.lit(1).cast("long").alias("k"), F.col("id").alias("node"), x.alias("x"), F.col("id").alias("comp"))
-    kept = {r.node for r in minhash.narrowed(placed, sets, 80).collect()}
+    placed = sets.select(F.lit(1).cast("long").alias("k"), F.col("id").alias("node"), F.lit(40).cast("long").alias("n"), x.alias("x"), F.col("id").alias("comp"))
+    kept = {r.node for r in minhash.narrowed(placed, sets.select(F.col("id").alias("node"), F.col("items").alias("item")), 80).collect()}
     full = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(len(w) - 4)} for i, t in rows}
     linked = {i for i in full for j in full if i != j and 100 * len(full[i] & full[j]) >= 80 * len(full[i] | full[j])}
     assert linked <= kept and len(kept) < len(rows)
@@ -311,13 +311,87 @@ def test_parities_never_exceed_the_difference():
         assert cells <= len(np.setxor1d(a, b)) and (cells > 0)
 
 
-def test_copies_of_a_line_vote_once(spark, monkeypatch):
-    """Lanes that hold one line's words: copies of it carried into the next lane before."""
-    words = [f"word{i}" for i in range(20)]
-    monkeypatch.setattr(linededup, "LANE_BITS", 5)
-    monkeypatch.setattr(linededup, "BITS", 15)
-    once, often = (linededup.simhashes(linededup.lines(spark.createDataFrame([(i, " ".join(words)) for i in range(n)], "doc_id long, text string"), "doc_id", "text")).collect() for n in (1, 40))
-    assert once == often and len(often) == 1
+def test_a_line_of_very_many_copies(spark):
+    """400,000 copies of one line and two variants of it, in groups of documents."""
+    from pyspark.sql import functions as F
+
+    line = " ".join(f"word{i}" for i in range(20))
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit(line), 1000), "\n").alias("text"))
+    df = df.union(spark.createDataFrame([(400, line.replace("word7", "ward7")), (401, "word0 " + line), (402, "own " * 20)], "doc_id long, text string"))
+    got = {r.doc_id: (r.n_lines, r.n_kept) for r in linededup.dedup_lines(df).where("n_kept > 0 or doc_id >= 400").collect()}
+    assert got == {0: (1000, 1), 400: (1, 0), 401: (1, 0), 402: (1, 1)}
+
+
+def similarity(a, b):
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        before = row
+    return 1 - before[-1] / max(len(a), len(b))
+
+
+def test_fuzzy_line_recall(spark):
+    """Variants of lines of 5 to 60 words, with edit similarity 0.8 or more: found by the kind of edit."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+
+    def changed(w, n):
+        for at in rng.sample(range(len(w)), n):
+            w = [*w[:at], word(), *w[at + 1 :]]
+        return w
+
+    def spelled(w, n):
+        for at in rng.sample(range(len(w)), n):
+            w = [*w[:at], w[at][:-1] + "z", *w[at + 1 :]]
+        return w
+
+    kinds = {
+        "one": lambda w: changed(w, 1), "two": lambda w: changed(w, 2), "letter": lambda w: spelled(w, 1), "letters": lambda w: spelled(w, 2),
+        "added": lambda w: (lambda at: [*w[:at], word(), *w[at:]])(rng.randint(0, len(w))), "gone": lambda w: (lambda at: [*w[:at], *w[at + 1 :]])(rng.randint(0, len(w) - 1)),
+    }
+    rows, want = [], defaultdict(list)
+    for kind, edit in kinds.items():
+        for n in range(5, 61):
+            for _ in range(2):
+                a = [word() for _ in range(n)]
+                b = edit(a)
+                if len(b) >= linededup.WORDS and similarity(" ".join(a), " ".join(b)) >= 0.8:
+                    want[kind].append(len(rows))
+                    rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    kept = {r.doc_id: r.n_kept for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert all(kept[i] == 1 for x in want.values() for i in x)
+    recall = {kind: np.mean([kept[i + 1] == 0 for i in x]) for kind, x in want.items()}
+    assert all(x >= 0.9 for x in recall.values()), recall
+
+
+def test_lines_match_brute_force(spark, docs):
+    """On the smallest tables: what goes has a similar line that stays earlier; equal lines all go; kept lines differ."""
+    norm = lambda x: re.sub(WHITE, " ", x).strip().lower()
+    first, texts = {}, {r.doc_id: r.text or "" for r in docs.collect()}
+    for i in sorted(texts):
+        for x in texts[i].split("\n"):
+            first.setdefault(norm(x), i)
+    got = {r.doc_id: r.text or "" for r in linededup.dedup_lines(docs).collect()}
+    stays = Counter(norm(x) for t in got.values() for x in t.split("\n") if norm(x))
+    assert max(stays.values()) == 1
+    gone = [x for x in first if x and x not in stays]
+    assert gone and all(any(similarity(x, y) >= 0.8 for y in stays if abs(len(x) - len(y)) <= 0.25 * max(len(x), len(y)) and set(x.split()) & set(y.split())) for x in gone[:40])
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(i, f"line one of many words here\nline {i} two of several other words", "ab"[i % 2], *[9] * 12) for i in range(6)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, _kept int, _gone int, _times int, _copy int, n_lines int, n_kept int, node int, k int, _bits int, _rate int, _lines int")
+
+
+def test_names_that_clash(clashing):
+    for out in (linededup.dedup(clashing), minhash.dedup(clashing), mixing.apply_mix(clashing)):
+        rows = out.collect()
+        assert out.columns == clashing.columns and rows and all(r._id == r._kept == r._gone == r.n_lines == r.n_kept == r._times == 9 for r in rows)
 
 
 def test_linked_pair_that_no_linear_round_meets(spark):
@@ -336,10 +410,53 @@ def test_linked_pair_that_no_linear_round_meets(spark):
         else:
             raise AssertionError("every pair meets in a linear round")
         near = lambda x, y: F.col(f"{x}.node").isin(a, b) & F.col(f"{y}.node").isin(a, b)  # noqa: B023, E731
-        got = linked(buckets, nodes, near, lambda pairs: pairs, rounds=rounds).collect()
+        got = linked(buckets, nodes, near, lambda asked: asked.select("node", F.col("node").alias("item")), lambda x, y: F.lit(True), rounds=rounds).collect()
         assert {(r.node, r.component) for r in got} == {(a, a), (b, a)}
 
 
+def test_linked_matches_union_find(spark, monkeypatch):
+    """Random graphs in overlapping buckets, small parts: the components are those of all links within the buckets."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from authscope.llm import common
+
+    monkeypatch.setattr(common, "PART", 3)
+    for seed in range(4):
+        rng = random.Random(seed)
+        buckets = [(k, n) for k in range(5) for n in rng.sample(range(40), 12)]
+        links = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(40)}
+        up = list(range(40))
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in links:
+            if any((k, a) in buckets and (k, b) in buckets for k in range(5)):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+        marks = spark.createDataFrame([(n, [b for a, b in links if a == n] or [-1]) for n in range(40)], "node long, to array<long>")
+        near = lambda x, y: F.array_contains(F.col(f"{x}.to"), F.col(f"{y}.node")) | F.array_contains(F.col(f"{y}.to"), F.col(f"{x}.node"))
+        got = common.linked(spark.createDataFrame(buckets, "k long, node long"), marks, near, lambda asked: asked.select("node", F.col("node").alias("item")), lambda x, y: F.lit(True), rounds=1).collect()
+        found = {r.node: r.component for r in got}
+        assert {n: found.get(n, n) for n in range(40)} == {n: root(n) for n in range(40)}
+
+
+def test_components_and_ordered_prefix(spark):
+    from authscope.llm.common import components, ordered_prefix
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    rows = [(k, o, v) for k in ("a", None) for o, v in [(5, 1), (5, 2), (None, 4), (1 << 62, 8), (-9, 16), (None, 4)]]
+    own = ordered_prefix(spark.createDataFrame(rows, "k string, o long, v long").repartition(4), ["k"], ["o"], "v", "p").collect()
+    for k in ("a", None):
+        assert sorted((r.p, r.v) for r in own if r.k == k) == [(0, 4), (4, 4), (8, 16), (24, 1), (25, 2), (27, 8)]
+
+
 def test_each_repeated_passage_stays_once(spark):
     """Chained passages in every order: each word stays once, where its passage stands first."""
     p = [[f"p{i}_{j}" for j in range(80)] for i in range(5)]
