@@ -62,9 +62,10 @@ def username_forensics(c: Column) -> dict[str, Column]:
 
 
 def trigrams(c: Column) -> Column:
-    """Distinct lower-case character trigrams."""
-    s = F.lower(F.trim(c))
-    return F.when(F.length(s) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: s.substr(i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """Distinct lower-case character trigrams; the characters are cut once, however long the text."""
+    signs = F.filter(F.split(F.lower(F.trim(c)), ""), lambda x: x != "")
+    runs = F.transform(F.array(signs), lambda s: F.when(F.size(s) >= 3, F.transform(F.sequence(F.lit(0), F.size(s) - 3), lambda i: F.concat(F.get(s, i), F.get(s, i + 1), F.get(s, i + 2)))))
+    return F.array_distinct(F.coalesce(F.get(runs, F.lit(0)), F.array().cast("array<string>")))
 
 
 def jaccard(a: Column, b: Column) -> Column:

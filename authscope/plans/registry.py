@@ -98,26 +98,6 @@ def prj13_prj15_fill(spark, sf_dir):
     return profiles.filled(profiles.completeness(df, ["followers", "posts"]), "platform", ["followers", "posts"]).drop("platform")
 
 
-@query(f"""WITH {ctes('v_profiles')}, s AS (SELECT *, coalesce(bio, '') AS b FROM v_profiles) SELECT account_id, round(followers / CASE WHEN following = 0 THEN 1 ELSE following END, 4) AS ff_ratio,
- round(posts / CASE WHEN followers = 0 THEN 1 ELSE followers END, 4) AS tweet_to_follower, round(ln(1 + followers), 4) AS log_followers, round(ln(1 + posts), 4) AS log_tweets,
- CASE WHEN followers <= -1 THEN NULL WHEN followers <= 999 THEN 0.0E0 WHEN followers <= 99999 THEN 1 WHEN followers <= 999999 THEN 2 ELSE 3 END AS followers_tier, CAST(is_verified = 1 AND followers > 100000 AS INT) AS is_celebrity,
- length(username) - length(replace(username, '_', '')) AS uname_underscore, CAST(regexp_full_match(username, '[0-9]+') AS INT) AS uname_pure_numeric, length(username) AS uname_len, CAST(len(regexp_extract_all(username, '[0-9]')) AS BIGINT) AS uname_digit_count,
- length(b) AS bio_len, CAST(len(regexp_extract_all(b, '\\S+')) AS BIGINT) AS bio_word_count, CAST(regexp_matches(b, 'https?://|www\\.') AS INT) AS bio_has_url, CAST(contains(b, '@') AS INT) AS bio_has_at,
- CAST(regexp_matches(b, '{T.CRYPTO}') AS INT) AS bio_has_crypto, CAST(regexp_matches(b, '{T.SPAM}') AS INT) AS bio_has_spam, CAST(trim(b) = '' AS INT) AS bio_is_empty,
- round(len(regexp_extract_all(b, '\\p{{Lu}}')) / greatest(length(b), 1), 4) AS bio_caps_ratio, CAST(len(regexp_extract_all(b, '[\\x{{1F600}}-\\x{{1F64F}}\\x{{1F300}}-\\x{{1F5FF}}\\x{{1F680}}-\\x{{1F6FF}}\\x{{1F1E0}}-\\x{{1F1FF}}\\x{{2600}}-\\x{{26FF}}\\x{{2700}}-\\x{{27BF}}\\x{{1F900}}-\\x{{1F9FF}}]')) AS BIGINT) AS bio_emoji_count FROM s""")
-def bld4_str1_x_features(spark, sf_dir):
-    return profiles.x_features(load(spark, sf_dir, "v_profiles"))
-
-
-@query(f"""WITH {ctes('v_profiles')} SELECT account_id, round(log10(greatest(followers, 1)), 4) AS log_followers, CASE WHEN followers < 100 THEN 0 WHEN followers < 1000 THEN 1 WHEN followers < 10000 THEN 2 WHEN followers < 100000 THEN 3 WHEN followers < 1000000 THEN 4 WHEN followers < 10000000 THEN 5 ELSE 6 END AS tier,
- CAST(followers >= 500000 AS INT) AS celebrity_scale, round(posts / greatest(followers, 1), 4) AS posts_per_follower, round(CASE WHEN account_age_days > 0 THEN followers / account_age_days ELSE 0 END, 4) AS follower_per_day,
- round(CASE WHEN account_age_days > 0 THEN posts / account_age_days * 365 ELSE 0 END, 4) AS posts_per_year, CAST(following <= 1000 AS INT) AS following_capped_1000, CAST(following <= 5000 AS INT) AS following_capped_5000,
- round(followers / greatest(following, 1) / greatest(log10(greatest(followers, 1)), 1), 4) AS normalized_ratio, CAST(is_verified = 1 AND followers >= 100000 AS INT) AS verified_celebrity, CAST(is_verified = 1 AND followers < 100000 AS INT) AS verified_micro,
- CASE WHEN account_age_days >= 1825 AND followers >= 100000 THEN 1.0E0 WHEN account_age_days >= 730 AND followers >= 10000 THEN 0.7 WHEN account_age_days >= 365 AND followers >= 1000 THEN 0.4 ELSE 0.1 END AS maturity FROM v_profiles""")
-def bld12_scale_features(spark, sf_dir):
-    return profiles.scale_features(load(spark, sf_dir, "v_profiles"))
-
-
 @query(f"""WITH {ctes('v_profiles')}, s AS (SELECT *, regexp_replace(lower(username), '[^a-z]', '', 'g') AS letters FROM v_profiles)
  SELECT account_id, length(username) AS uname_length, round(len(regexp_extract_all(username, '[0-9]')) / greatest(length(username), 1), 4) AS uname_digit_ratio, length(regexp_extract(username, '[0-9]+$')) AS uname_digit_suffix,
  CAST(len(regexp_extract_all(username, '[_.\\-]')) AS BIGINT) AS uname_special, round(len(regexp_extract_all(letters, '[aeiou]')) / greatest(length(letters), 1), 4) AS uname_vowel_ratio,
@@ -294,4 +274,4 @@ def set5_agg24_duplicates(spark, sf_dir):
     k = load(spark, sf_dir, "v_posts").groupBy("account_id", F.lower(F.trim("text")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return k.groupBy("account_id").agg(F.count_if(F.col("n") > 1).alias("repeated"), F.sum("n").alias("posts"), F.round(F.count_if(F.col("n") > 1) / F.sum("n"), 4).alias("duplicate_ratio"))
 
-from authscope.plans import modelling, reporting  # noqa: E402, F401  these register their queries here
+from authscope.plans import builders, modelling, reporting  # noqa: E402, F401  these register their queries here
