@@ -21,7 +21,7 @@ MEDIANS = {
     "snapchat": {"score": 15000, "bio_len": 15},
 }
 IMPORTANT = ["followers", "following", "posts", "tweets", "videos", "karma", "account_age_days", "public_repos", "public_gists", "connections", "subscribers", "score", "friends", "bio", "about", "headline", "has_avatar", "is_verified"]
-LABEL_NAMES = ["label", "is_fake", "fake", "bot", "is_bot", "target", "class", "y", "account_type"]
+LABEL_NAMES = ["label", "is_fake", "fake", "target", "is_bot", "bot", "fake_profile", "fake_account", "class"]
 GROUP_WEIGHTS = {"username": 0.8, "bio": 0.9, "photo": 1.2, "behavioral": 1.5, "cross_platform": 1.3, "temporal": 1.1}
 
 
@@ -130,11 +130,13 @@ def label_column(columns: list[str]) -> str | None:
     return next((n for n in LABEL_NAMES if n in columns), None)
 
 
-def strict_label(c: Column) -> Column:
-    """0 or 1 from spellings and numbers (truncated); raises on anything else, NULL included."""
-    s = F.lower(F.trim(c.cast("string")))
-    n = s.try_cast("double").cast("int")
-    y = F.coalesce(binary_label(c), F.when(n.isin(0, 1), n))
+def strict_label(df: DataFrame, column: str) -> Column:
+    """0 or 1: spellings of a text, or a number cut to an integer; raises on anything else, NULL and NaN included."""
+    c = F.col(column)
+    y = binary_label(c)
+    if df.schema[column].dataType.typeName() in ("double", "float", "integer", "long", "short", "decimal"):
+        n = c.cast("double").cast("int")
+        y = F.when(c.isNotNull() & ~F.isnan(c.cast("double")) & n.isin(0, 1), n)
     return F.when(y.isNotNull(), y).otherwise(F.raise_error(F.concat(F.lit("not a label: "), F.coalesce(c.cast("string"), F.lit("NULL")))).cast("int"))
 
 

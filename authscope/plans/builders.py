@@ -120,7 +120,7 @@ def bld2_instagram_ready_features(spark, sf_dir):
     """Files of ready-made features are told by their columns."""
     p = load(spark, sf_dir, "v_accounts").where("platform = 'instagram'")
     ready = p.select("account_id", *[F.col(c).alias(n.upper() if n == "private" else n) for n, c in READY.items()], "is_verified")
-    return builders.build(ready, "instagram").where(F.lit(True))
+    return builders.build(ready, "instagram")
 
 
 @query(f"WITH {ctes('v_profiles')} SELECT account_id, {_scale('followers', 'posts').replace('celeb_', '')} FROM v_profiles")

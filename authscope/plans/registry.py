@@ -89,15 +89,6 @@ def prj10_prj11_scaling(spark, sf_dir):
     return df.crossJoin(F.broadcast(q)).select("account_id", F.round(F.log1p(F.greatest("followers", F.lit(0))), 6).alias("log_followers"), F.round(F.col("followers") / iqr, 6).alias("scaled"), F.round((F.col("followers") - F.col("q")[1]) / iqr, 6).alias("centred"))
 
 
-@query(f"""WITH {ctes('v_profiles')}, m AS (SELECT account_id, platform, CASE WHEN account_id % 3 = 0 THEN NULL ELSE followers END AS followers, CASE WHEN account_id % 5 = 0 THEN NULL ELSE posts END AS posts FROM v_profiles)
- SELECT account_id, coalesce(CAST(followers AS DOUBLE), CASE platform WHEN 'instagram' THEN 150 WHEN 'facebook' THEN 200 WHEN 'x' THEN 200 WHEN 'linkedin' THEN 200 WHEN 'github' THEN 15 WHEN 'tiktok' THEN 500 ELSE 0 END) AS followers,
- CAST(followers IS NULL AS INT) AS followers_missing, coalesce(CAST(posts AS DOUBLE), CASE platform WHEN 'instagram' THEN 15 WHEN 'facebook' THEN 40 ELSE 0 END) AS posts, CAST(posts IS NULL AS INT) AS posts_missing,
- round((CAST(followers IS NOT NULL AS INT) + CAST(posts IS NOT NULL AS INT)) / 2, 4) AS completeness FROM m""")
-def prj13_prj15_fill(spark, sf_dir):
-    df = load(spark, sf_dir, "v_profiles").select("account_id", "platform", F.when(F.col("account_id") % 3 != 0, F.col("followers")).alias("followers"), F.when(F.col("account_id") % 5 != 0, F.col("posts")).alias("posts"))
-    return profiles.filled(profiles.completeness(df, ["followers", "posts"]), "platform", ["followers", "posts"]).drop("platform")
-
-
 @query(f"""WITH {ctes('v_profiles')}, s AS (SELECT *, regexp_replace(lower(username), '[^a-z]', '', 'g') AS letters FROM v_profiles)
  SELECT account_id, length(username) AS uname_length, round(len(regexp_extract_all(username, '[0-9]')) / greatest(length(username), 1), 4) AS uname_digit_ratio, length(regexp_extract(username, '[0-9]+$')) AS uname_digit_suffix,
  CAST(len(regexp_extract_all(username, '[_.\\-]')) AS BIGINT) AS uname_special, round(len(regexp_extract_all(letters, '[aeiou]')) / greatest(length(letters), 1), 4) AS uname_vowel_ratio,
@@ -274,4 +265,4 @@ def set5_agg24_duplicates(spark, sf_dir):
     k = load(spark, sf_dir, "v_posts").groupBy("account_id", F.lower(F.trim("text")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return k.groupBy("account_id").agg(F.count_if(F.col("n") > 1).alias("repeated"), F.sum("n").alias("posts"), F.round(F.count_if(F.col("n") > 1) / F.sum("n"), 4).alias("duplicate_ratio"))
 
-from authscope.plans import builders, modelling, reporting  # noqa: E402, F401  these register their queries here
+from authscope.plans import builders, modelling, preparing, reporting  # noqa: E402, F401  these register their queries here
