@@ -1,7 +1,11 @@
-"""Readers and writers of account tables: headers, unions of files, JSON envelopes, expected columns, partitioned results."""
+"""Readers and writers of account tables: headers, unions of files, JSON envelopes, expected columns, results, logs, reports."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,40 @@ def missing_columns(catalogue: DataFrame, expected: dict[str, list[str]]) -> Dat
 def write_results(df: DataFrame, path: str, by: str = "platform") -> None:
     """All columns as Parquet, a folder for each ``by``."""
     df.write.mode("append").partitionBy(by).parquet(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under that of spark.checkpoint.dir; under a local one only where the session names none and runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def write_training_set(df: DataFrame, path: str, keep: str | None = None) -> None:
+    """A table that training reads again: whole, in place of what was there."""
+    (df if keep is None else df.where(keep)).write.mode("overwrite").parquet(path)
+
+
+def audit_rows(df: DataFrame, features: list[str], as_of: str) -> DataFrame:
+    """Rows of the prediction log: who, what was decided, how deep, and the features as JSON."""
+    packed = F.to_json(F.struct(*features))
+    return df.select("username", "platform", "prediction", "confidence", F.lit("quick").alias("analysis_depth"), packed.alias("features_json"), F.lit(as_of).cast("timestamp").alias("created_at"))
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    df.write.mode("append").parquet(path)
+
+
+def report(df: DataFrame, features: list[str]) -> dict[str, DataFrame]:
+    """The three tables of a report: summary, predictions, feature statistics."""
+    total = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == "Fake").alias("n_fake"), F.round(100 * F.avg((F.col("prediction") == "Fake").cast("int")), 1).alias("fake_rate"), F.round(F.avg("confidence"), 2).alias("mean_confidence"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features])).alias("f")).select("f.*")
+    stats = long.groupBy("feature").agg(F.round(F.avg("v"), 3).alias("mean"), F.round(F.stddev_samp("v"), 3).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(100 * F.avg(F.col("v").isNull().cast("int")), 2).alias("missing_pct"))
+    return {"summary": total, "predictions": df, "statistics": stats}

@@ -6,13 +6,11 @@ stream over what is there now, into Parquet in the shared folder.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authscope.operators import rules
+from authscope.sources.tables import shared_folder
 
 DELAY = "10 minutes"
 
@@ -27,8 +25,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame) -> DataFrame:
     """Runs ``stream`` over all input that is there and returns what it appended."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     sink = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True)
     sink.start(f"{folder}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
