@@ -142,7 +142,7 @@ def joined_labels(labels: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def linked(
-    buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Column], load: Callable[[DataFrame], DataFrame], agree: Callable[[str, str], Column], rounds: int = 2,
+    buckets: DataFrame, attrs: DataFrame, near: Callable[[str, str], Column], load: Callable[[DataFrame], DataFrame], agreed: Callable[[DataFrame], DataFrame], rounds: int = 2,
     narrow: Callable[[DataFrame, DataFrame], DataFrame] | None = None, last: Callable[[str, str, str], Column] | None = None,
 ) -> DataFrame:
     """Components (node, component) of the graph whose edges are the pairs of ``buckets(k, node)`` that share a k and agree.
@@ -152,7 +152,8 @@ def linked(
     over ``PART`` members is dealt to several tasks for that, anew in each round. Then only members outside
     their bucket's main component meet the bucket's members of other components. A pair left out lies within one component
     already, so no component is lost. ``near(x, y)`` is a cheap necessary condition on two structs of node and
-    ``attrs(node, ...)``. ``load`` brings (node, item) of the nodes that share a bucket, once; ``agree(x, y)`` decides on two items.
+    ``attrs(node, ...)``. ``load`` brings (node, item) of the nodes that share a bucket, once; ``agreed`` keeps the true pairs of (a, b, x, y), x and y
+    being their items.
     Before the last meeting ``narrow(placed, items)`` may drop rows of (k, node, n, x, comp) that provably link with nothing in their
     bucket, and add fields to ``x`` for ``near``. ``last(k, x, y)`` is a sharper condition for that meeting: for a true pair it
     holds in one at least of the buckets both share.
@@ -183,7 +184,7 @@ def linked(
         pairs = ends(met.where(near("x", "y")))
         pairs = cut(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
-        new = cut(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(agree("x", "y")).select("a", "b"))
+        new = cut(agreed(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")).select("a", "b"))
         if r == rounds and narrow is not None:
             forget(whole)
         if new.isEmpty():

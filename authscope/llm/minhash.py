@@ -161,12 +161,12 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         """Full sets of the nodes asked for: one shuffle of the texts."""
         texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         asked = own.select("node", "key").join(nodes.hint("merge"), "node")
-        sets = shingle_sets(texts.join(nodes.withColumnRenamed("node", "id").hint("merge"), "id"), shingle)
+        sets = shingle_sets(texts.join(nodes.withColumnRenamed("node", "id").hint("shuffle_hash"), "id"), shingle)
         rows = sets.join(asked.hint("merge"), (F.col("id") == F.col("node")) & (sets.key == asked.key)).select("node", F.col("items").alias("item"))
         return rows.dropDuplicates(["node", "item"])
 
-    def agree(x: str, y: str) -> Column:
-        return (100 + percent) * F.size(F.array_intersect(x, y)).cast("long") >= percent * (F.size(x) + F.size(y)).cast("long")
+    def agreed(pairs: DataFrame) -> DataFrame:
+        return pairs.where((100 + percent) * F.size(F.array_intersect("x", "y")).cast("long") >= percent * (F.size("x") + F.size("y")).cast("long"))
 
     def narrow(placed: DataFrame, sets: DataFrame) -> DataFrame:
         few = narrowed(placed, sets, percent)
@@ -181,7 +181,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         return few & (F.get(F.array_intersect(f"{x}.bands", f"{y}.bands"), F.lit(0)) == F.col(k))
 
     attrs = own.withColumn("d", F.xxhash64("key")).drop("bands", "odd", "key")
-    labels = linked(own.select("node", F.explode("bands").alias("k")).distinct(), attrs, near(percent), load, agree, narrow=narrow, last=last)
+    labels = linked(own.select("node", F.explode("bands").alias("k")).distinct(), attrs, near(percent), load, agreed, narrow=narrow, last=last)
     forget(own)
     named = sig.select("id", "n", "key").join(reps, "key", "left")
     # rows of one id with several texts join their texts' groups through the id itself
