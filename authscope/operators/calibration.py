@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from authscope.sources import tables
+
 #: Temperatures tried: 0.3 to 2.9 by 0.1.
 GRID = [i / 10 for i in range(3, 30)]
 
@@ -23,7 +25,16 @@ def temperature(df: DataFrame) -> DataFrame:
 
 def folds(df: DataFrame, k: int, key: str = "account_id") -> DataFrame:
     """Stratified folds: numbered within the label by key."""
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy("y").orderBy(key)) - 1) % k).cast("int"))
+    return tables.numbered(df, ["y"], [key], "_r").withColumn("fold", (F.col("_r") % k).cast("int")).drop("_r", "_r_of")
+
+
+def expanding_folds(df: DataFrame, k: int, order: list[str]) -> DataFrame:
+    """Temporal folds: ``bucket`` 1 to k + 1 by ``order``, as even as can be, larger ones first. Split i trains on buckets up to i and tests on i + 1."""
+    rows, n = tables.numbered(df, [], order, "_r"), k + 1
+    size, more = F.floor(F.col("_r_of") / n), F.col("_r_of") % n
+    first = more * (size + 1)
+    bucket = F.when(F.col("_r") < first, F.floor(F.col("_r") / (size + 1))).otherwise(more + F.floor((F.col("_r") - first) / F.greatest(size, F.lit(1))))
+    return rows.withColumn("bucket", (bucket + 1).cast("int")).drop("_r", "_r_of")
 
 
 def class_weights(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from authscope.sources import tables
+
 
 def reciprocity(edges: DataFrame) -> DataFrame:
     """(account_id, n_following, n_followers, reciprocity, mutual_ratio)."""
@@ -36,3 +38,20 @@ def neighbour_share(edges: DataFrame, flags: DataFrame) -> DataFrame:
     """(account_id, share) of distinct neighbours whose ``flags(account_id, flag)`` is 1; absent counts as 0."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     return both.join(flags.select(F.col("account_id").alias("dst"), "flag"), "dst", "left").groupBy(F.col("src").alias("account_id")).agg(F.round(F.avg(F.coalesce("flag", F.lit(0))), 4).alias("share"))
+
+
+def communities(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """(account_id, community) by ``rounds`` of label propagation: all nodes at once take the most frequent label among their neighbours, the least of equals."""
+    both = tables.settled(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    labels = both.select(F.col("src").alias("account_id")).distinct().withColumn("community", F.col("account_id"))
+    for _ in range(rounds):
+        heard = both.join(labels.withColumnRenamed("account_id", "dst"), "dst").groupBy("src", "community").agg(F.count(F.lit(1)).alias("n"))
+        labels = tables.settled(heard.groupBy(F.col("src").alias("account_id")).agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community")))
+    return labels
+
+
+def same_community(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(account_id, share) of distinct neighbours that are in the account's own community."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
+    own, other = groups.select(F.col("account_id").alias("src"), F.col("community").alias("x")), groups.select(F.col("account_id").alias("dst"), F.col("community").alias("y"))
+    return both.join(own, "src").join(other, "dst").groupBy(F.col("src").alias("account_id")).agg(F.round(F.avg((F.col("x") == F.col("y")).cast("int")), 4).alias("share"))

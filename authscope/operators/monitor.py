@@ -47,3 +47,23 @@ def agreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def last(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
     """The newest ``n`` rows of each key."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+#: Columns that are results, not features.
+NOT_FEATURES = ["label", "prediction", "confidence", "anomaly", "anomaly_score", "is_fake", "fake", "target", "is_bot", "bot"]
+
+
+def feature_drift(train: DataFrame, recent: DataFrame) -> DataFrame:
+    """(feature, psi, level) of the numeric columns both tables have, with ten values in the one and five in the other at least."""
+    numeric = lambda df: {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "decimal")} - set(NOT_FEATURES)
+    shared = sorted(numeric(train) & numeric(recent))
+    pick = lambda df, side: df.select(F.lit(side).alias("side"), *[F.col(c).cast("double").alias(c) for c in shared])
+    both = pick(train, "train").unionByName(pick(recent, "recent"))
+    there = both.unpivot(["side"], shared, "feature", "v").where("v is not null").groupBy("feature").agg(F.count_if(F.col("side") == "train").alias("n"), F.count_if(F.col("side") == "recent").alias("m"))
+    return drift_level(psi(both, "side", shared).join(there.where("n >= 10 and m >= 5").select("feature"), "feature"))
+
+
+def drift_summary(drift: DataFrame) -> DataFrame:
+    """One row: the largest psi, its level, the features beyond 0.1, and whether to train again."""
+    one = drift.agg(F.max("psi").alias("psi"), F.array_sort(F.collect_list(F.when(F.col("psi") >= 0.1, F.col("feature")))).alias("drifted"))  # a row a feature
+    return drift_level(one).select(F.col("psi").alias("max_psi"), "level", "drifted", (F.col("psi") >= 0.2).alias("retrain"))

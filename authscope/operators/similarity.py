@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +29,34 @@ def sign_hashes(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).alias("phash"))
 
 
-def hamming_links(df: DataFrame, radius: int = 7, bands: int = 8) -> DataFrame:
-    """(a, b, distance) of hashes within ``radius`` bits: at least one of ``bands`` > radius bands is equal. Equal hashes stand as their smallest id."""
-    width = 64 // bands
+def hamming_links(df: DataFrame, radius: int = 7, blocks: int = 9) -> DataFrame:
+    """(a, b, distance) of distinct hashes within ``radius`` bits: at least ``blocks - radius`` of the blocks are equal.
+
+    Every choice of so many blocks is a table, keyed by all of them. Equal hashes stand as their smallest id.
+    """
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = [signed(sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in kept)) for kept in combinations(range(blocks), blocks - radius)]
     rep = df.groupBy("phash").agg(F.min("vec_id").alias("id"))
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("phash", b * width).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for b in range(bands)])
-    banded = rep.select("id", "phash", F.explode(keys).alias("k")).select("id", "phash", "k.band", "k.key")
-    a, b = banded.alias("a"), banded.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(F.col("a.phash").bitwiseXOR(F.col("b.phash"))) <= radius))
+    keys = F.array(*[F.struct(F.lit(k).alias("table"), F.col("phash").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(masks)])
+    keyed = rep.select("id", "phash", F.explode(keys).alias("k")).select("id", "phash", "k.table", "k.key")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    met = a.join(b, (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(F.col("a.phash").bitwiseXOR(F.col("b.phash"))) <= radius))
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(F.col("a.phash").bitwiseXOR(F.col("b.phash"))).alias("distance")).distinct()
+
+
+def stock_photos(df: DataFrame, radius: int = 7) -> DataFrame:
+    """(vec_id, seen, stock_score, is_stock): on how many profiles an avatar or one within ``radius`` bits stands."""
+    same = df.groupBy("phash").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    links = hamming_links(df, radius)
+    both = links.select("a", "b").union(links.select("b", "a"))
+    near = both.join(same.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+    seen = (F.col("n") + F.coalesce("others", F.lit(0))).alias("seen")
+    counted = same.join(near, "id", "left").select("phash", seen)
+    return df.join(counted, "phash").select("vec_id", "seen", F.round(F.least((F.col("seen") - 1) / 5, F.lit(1.0)), 4).alias("stock_score"), (F.col("seen") > 3).cast("int").alias("is_stock"))
+
+
+def default_avatars(df: DataFrame, defaults: list[int], radius: int = 10) -> DataFrame:
+    """(vec_id, is_default): within less than ``radius`` bits of one of a fixed list of hashes. The list is part of the expression."""
+    near = [F.bit_count(F.col("phash").bitwiseXOR(F.lit(d).cast("long"))) < radius for d in defaults]
+    return df.select("vec_id", reduce(lambda x, y: x | y, near, F.lit(False)).cast("int").alias("is_default"))

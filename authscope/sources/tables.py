@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -80,3 +80,23 @@ def report(df: DataFrame, features: list[str]) -> dict[str, DataFrame]:
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features])).alias("f")).select("f.*")
     stats = long.groupBy("feature").agg(F.round(F.avg("v"), 3).alias("mean"), F.round(F.stddev_samp("v"), 3).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(100 * F.avg(F.col("v").isNull().cast("int")), 2).alias("missing_pct"))
     return {"summary": total, "predictions": df, "statistics": stats}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cuts lineage: written once in the shared folder and read back, so lost executors lose nothing and random choices stay."""
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds ``out``: 0, 1, 2, ... within ``keys`` by ``order``, and ``{out}_of``, the key's number of rows.
+
+    Rows are dealt by ranges of (keys, order), so no task gets more than a range; only the ranges' counts, a row each, are added up.
+    """
+    rows = settled(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys)
+    counts = counts.select(*keys, "_range", F.sum("_n").over(w).alias(f"{out}_of"), (F.sum("_n").over(w.orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    return rows.withColumn("_own", own).join(counts, [*keys, "_range"]).withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
