@@ -20,6 +20,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from authscope.llm.common import cut
+
 
 class Rule(NamedTuple):
     kind: str
@@ -128,9 +130,13 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     return whole.groupBy("id", "th").agg(F.collect_set("rule").alias("rules"))
 
 
-def spans(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, rule, start, end): every verified span; ``rule`` is the rule's place in ``rules``."""
-    found = candidates(index(df, rules, id_col, text_col), rules).select(F.col("id").alias("_i"), F.col("th").alias("_t"), "rules")
+def spans(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", postings: DataFrame | None = None) -> DataFrame:
+    """(id, th, rule, start, end): every verified span; ``rule`` is the rule's place in ``rules``.
+
+    ``postings`` may be a table that :func:`index` made before, for rules whose trigrams include those of ``rules``.
+    """
+    postings = cut(index(df, rules, id_col, text_col)) if postings is None else postings
+    found = candidates(postings, rules).select(F.col("id").alias("_i"), F.col("th").alias("_t"), "rules")
     rows = rows_of(df, id_col, text_col)
     rows = rows.join(found, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left").select("id", "th", "text", "rules")
     never = F.lit(None).cast("array<string>")

@@ -89,6 +89,38 @@ def test_fingerprints(docs, odd, empty):
     assert fingerprint.edited_likeness(empty).count() == 0
 
 
+def plain_simhash(text):
+    """By its definition: pairs of neighbouring lower-cased words vote with their length; Spark's own hash of a pair is asked for."""
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    w = re.split(WHITE, text.lower())
+    pairs = [(a, b) for a, b in zip(w, [*w[1:], None])]
+    df = SparkSession.getActiveSession().createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    votes = [0] * 64
+    for r in df.select("a", "b", F.xxhash64("a", "b").alias("h")).collect():
+        weight = min(len(r.a) + len(r.b or ""), 16)
+        for k in range(64):
+            votes[k] += weight if r.h >> k & 1 else -weight
+    return f"{sum(1 << k for k in range(64) if votes[k] > 0):016x}"
+
+
+def test_fingerprint_by_definition_and_search(spark, docs):
+    got = {r.doc_id: r for r in fingerprint.edited_likeness(docs).collect()}
+    for r in docs.where("length(text) < 900").limit(6).collect():
+        assert got[r.doc_id].fingerprint == plain_simhash(r.text)
+    fps = {i: int(r.fingerprint, 16) for i, r in got.items()}
+    for i, r in got.items():
+        assert r.n_within == (sum((fps[i] ^ f).bit_count() <= 3 for f in fps.values()) - 1 if i % 20 == 0 else None)
+
+
+def test_next_of_sparse_ids(spark):
+    rng = np.random.default_rng(8)
+    ids = sorted({int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 60)} | set(range(-3, 70)), reverse=True)
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(5)
+    assert {r.id: r.next_id for r in fingerprint.with_next(df, "doc_id", "text").collect()} == dict(zip(ids, [*ids[1:], ids[0]]))
+
+
 def test_block_tables_lose_nothing(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 60).tolist()
@@ -196,6 +228,9 @@ def test_secrets(docs, odd, empty):
         want = Counter((r.doc_id, hashlib.sha256(base_spans(r.text or "").encode()).hexdigest()) for r in df.collect())
         assert Counter((r.doc_id, r.base_sha256) for r in secrets.scan(df).collect()) == want
     assert secrets.scan(empty).count() == 0
+    postings = secrets.index(odd)  # answers other rules too
+    few = (secrets.RULES[1], secrets.RULES[0])
+    assert {(r.id, r.start) for r in secrets.spans(odd, few, postings=postings).where("rule = 0").collect()} == {(r.id, r.start) for r in secrets.spans(odd).where("rule = 1").collect()}
 
 
 def test_trigram_queries_are_necessary():
@@ -272,7 +307,17 @@ def test_pipeline_stages(spark):
     for _, stage in c.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
-    assert c.run(spark, SF).count() > 0
+    rows = c.run(spark, SF).collect()
+    assert rows and all(len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 for r in rows)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty):
+    import corpus_pipeline as c
+
+    for docs in (odd, empty):
+        for _, stage in c.STAGES:
+            docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and docs.count() >= 0
 
 
 def test_narrowing_loses_no_link(spark):
