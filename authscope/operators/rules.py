@@ -80,12 +80,18 @@ def adjusted(df: DataFrame, signals: dict[str, Column]) -> DataFrame:
     return df.withColumn("shown", F.when(votes == 0, c).otherwise(F.round(F.round(F.least(moved, F.lit(95.0)), 6), 1)))
 
 
+def safeguarded(df: DataFrame) -> DataFrame:
+    """``df`` with figure_rule and bot_rule, which of each set holds first, and what each would decide (p1, c1 and p2, c2): one projection."""
+    kept = ["prediction", "confidence"]
+    figure = public_figure(df.withColumns({f"_{c}": F.col(c) for c in kept}))
+    figure = figure.withColumns({"p1": F.col("prediction"), "c1": F.col("confidence"), "prediction": F.col("_prediction"), "confidence": F.col("_confidence")})
+    both = bot(figure)
+    return both.withColumns({"p2": F.col("prediction"), "c2": F.col("confidence"), "prediction": F.col("_prediction"), "confidence": F.col("_confidence")}).drop("_prediction", "_confidence")
+
+
 def precedence(df: DataFrame) -> DataFrame:
     """The allow-list before the public-figure rules before the bot rules: prediction, confidence and which of them held."""
-    known = F.col("listed") == 1
-    figure, robot = public_figure(df), bot(df)
-    a = figure.select("account_id", "figure_rule", F.col("prediction").alias("p1"), F.col("confidence").alias("c1"), "listed", F.col("platform"))
-    both = a.join(robot.select("account_id", "bot_rule", F.col("prediction").alias("p2"), F.col("confidence").alias("c2")), "account_id")
+    both, known = safeguarded(df), F.col("listed") == 1
     pick = lambda x, y, z: F.when(known, x).when(F.col("figure_rule").isNotNull(), y).otherwise(z)
     source = F.when(known, "allow_list").when(F.col("figure_rule").isNotNull(), "public_figure").when(F.col("bot_rule").isNotNull(), "bot").otherwise("model")
     return both.select("account_id", "platform", pick(F.lit("Legit"), F.col("p1"), F.col("p2")).alias("prediction"), pick(F.lit(99.0), F.col("c1"), F.col("c2")).alias("confidence"), source.alias("source"))

@@ -1,18 +1,25 @@
-"""Models of pyspark.ml: feature filter, a soft vote of three classifiers, calibrators and their choice."""
+"""Models of pyspark.ml: feature filter, votes and stacks of classifiers, calibrators, balancing, search, anomalies, stability."""
 
 from __future__ import annotations
 
+import json
+import zlib
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, RobustScaler, VectorAssembler
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Imputer, RobustScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from authscope.operators import calibration, reports
+from authscope.operators import calibration, monitor, reports
+from authscope.sources import tables
 
 
 def redundant(df: DataFrame, features: list[str], most: float = 0.95) -> DataFrame:
@@ -67,3 +74,166 @@ def calibrators(df: DataFrame) -> DataFrame:
     lowest, raw = one.agg(F.min("brier").alias("lowest"), F.min(F.when(F.col("method") == "raw", F.col("brier"))).alias("raw")), F.col("raw")
     pick = F.when(F.col("lowest") < 0.98 * raw, F.col("brier") == F.col("lowest")).otherwise(F.col("method") == "raw")
     return one.join(lowest).select("method", F.round("brier", 6).alias("brier"), pick.alias("chosen"))
+
+
+def hashed(key: str, n: int, seed: int = 42) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n))
+
+
+def uniform(*keys) -> Column:
+    """A number in [0, 1) that only the keys decide."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) / float(1 << 40)
+
+
+def stacked(train: DataFrame, rows: DataFrame, features: list[str], k: int = 3, key: str = "account_id") -> DataFrame:
+    """``rows`` with raw_proba by a logistic model whose inputs are the base classifiers' probabilities; it is fitted on out-of-fold ones."""
+    probabilities = lambda model, df: model.transform(df.withColumns({f: F.col(f).cast("double") for f in features})).select(*df.columns, *[vector_to_array(f"_q{i}")[1].alias(f"_b{i}") for i in range(3)])
+    folded = train.withColumn("_fold", hashed(key, k))
+    out = [probabilities(fit(folded.where(F.col("_fold") != i).drop("_fold"), features), folded.where(F.col("_fold") == i)) for i in range(k)]
+    inputs = VectorAssembler(inputCols=[f"_b{i}" for i in range(3)], outputCol="_z")
+    meta = LogisticRegression(featuresCol="_z", labelCol="y", probabilityCol="_q", rawPredictionCol="_r", predictionCol="_p").fit(inputs.transform(reduce(lambda a, b: a.unionByName(b), out)))
+    scored_rows = meta.transform(inputs.transform(probabilities(fit(train, features), rows)))
+    return scored_rows.withColumn("raw_proba", vector_to_array("_q")[1]).select(*rows.columns, "raw_proba")
+
+
+def neighbours(rows: DataFrame, others: DataFrame, k: int, reach: float, key: str) -> DataFrame:
+    """(a, b, d): the ``k`` nearest of ``others`` for each of ``rows``, of those a random-projection hash brings together within ``reach``."""
+    lsh = BucketedRandomProjectionLSH(inputCol="_x", outputCol="_h", bucketLength=reach, numHashTables=3, seed=42).fit(rows)
+    met = lsh.approxSimilarityJoin(rows.select(key, "_x"), others.select(key, "_x"), reach, "d").select(F.col(f"datasetA.{key}").alias("a"), F.col(f"datasetB.{key}").alias("b"), "d").where("a <> b")
+    return met.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("_r") <= k).drop("_r")
+
+
+def oversampled(df: DataFrame, features: list[str], adaptive: bool, k: int = 5, reach: float = 1.0, key: str = "account_id") -> DataFrame:
+    """(y, features..., made): all rows, and new ones of the rarer class between a row and one of its neighbours of that class.
+
+    As many are made as the classes differ by, shared evenly, or (``adaptive``) by how many of a row's neighbours are of the other class.
+    """
+    sizes = {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    rare = min(sizes, key=lambda y: (sizes[y], y))
+    need = max(sizes.values()) - sizes[rare]
+    numbers = df.withColumns({f: F.col(f).cast("double") for f in features})
+    placed = Pipeline(stages=prepared(features)).fit(numbers).transform(numbers)
+    own = placed.where(F.col("y") == rare)
+    near = neighbours(own, own, k, reach, key)
+    if adaptive:
+        around = neighbours(own, placed, k, reach, key).join(placed.select(F.col(key).alias("b"), "y"), "b").groupBy("a").agg(F.avg((F.col("y") != rare).cast("int")).alias("w"))
+    else:
+        around = near.select("a", F.lit(1.0).alias("w")).distinct()
+    around = around.join(near.select("a").distinct(), "a")
+    quota = around.join(around.agg(F.sum("w").alias("all"))).select("a", F.floor(F.col("w") * need / F.nullif("all", F.lit(0.0)) + uniform("a", F.lit(1))).cast("int").alias("n")).where("n > 0")
+    options = near.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("d", "b"))).alias("o"))  # at most k
+    made = quota.join(options, "a").select("a", "o", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    made = made.select("a", F.get("o", F.pmod(F.xxhash64("a", "i"), F.size("o")).cast("int"))["b"].alias("b"), uniform("a", "i", F.lit(2)).alias("t"))
+    side = lambda c, p: numbers.select(F.col(key).alias(c), *[F.col(f).alias(f"{p}_{f}") for f in features])
+    new = made.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.lit(rare).alias("y"), *[(F.col(f"x_{f}") + F.col("t") * (F.col(f"y_{f}") - F.col(f"x_{f}"))).alias(f) for f in features], F.lit(True).alias("made"))
+    return numbers.select("y", *features, F.lit(False).alias("made")).unionByName(new)
+
+
+def searched(df: DataFrame, features: list[str], k: int = 3) -> DataFrame:
+    """(trees, depth, leaf, f1): mean F1 of a bounded grid of forests over ``k`` folds."""
+    rows = df.withColumns({f: F.col(f).cast("double") for f in features})
+    forest = RandomForestClassifier(featuresCol="_x", labelCol="y", seed=42)
+    grid = ParamGridBuilder().addGrid(forest.numTrees, [10, 20]).addGrid(forest.maxDepth, [3, 6]).addGrid(forest.minInstancesPerNode, [1, 5]).build()
+    ready = Pipeline(stages=prepared(features)).fit(rows).transform(rows).withColumn("_fold", hashed("account_id", k).cast("int"))
+    found = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="f1"), numFolds=k, foldCol="_fold", parallelism=4).fit(ready)
+    return df.sparkSession.createDataFrame([(p[forest.numTrees], p[forest.maxDepth], p[forest.minInstancesPerNode], float(m)) for p, m in zip(grid, found.avgMetrics)], "trees int, depth int, leaf int, f1 double")
+
+
+SAMPLE, TREES = 256, 50
+
+
+def grown(rows: np.ndarray, seed: int) -> list[list[float]]:
+    """An isolation tree as nodes [feature, split, left, right, depth + expected rest]; feature -1 marks a leaf."""
+    rng, nodes = np.random.default_rng(seed), []
+
+    def grow(x: np.ndarray, depth: int) -> int:
+        at = len(nodes)
+        nodes.append([-1.0, 0.0, 0.0, 0.0, depth + expected(len(x))])
+        spread = np.flatnonzero(x.max(0) > x.min(0)) if len(x) > 1 else []
+        if depth < 8 and len(spread):
+            f = int(rng.choice(spread))
+            s = rng.uniform(x[:, f].min(), x[:, f].max())
+            if 0 < (x[:, f] < s).sum() < len(x):
+                nodes[at][:4] = [f, s, grow(x[x[:, f] < s], depth + 1), grow(x[x[:, f] >= s], depth + 1)]
+        return at
+
+    grow(rows, 0)
+    return nodes
+
+
+def expected(n: int) -> float:
+    """Mean depth of an unsuccessful search among ``n`` rows."""
+    return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+
+def anomalies(df: DataFrame, features: list[str], contamination: float = 0.1, key: str = "account_id") -> DataFrame:
+    """(key, score, is_anomaly): isolation forest, higher is stranger. Each tree grows in a group of ``SAMPLE`` rows by a hash; the forest's size is fixed.
+
+    The limit of the flag is an approximate percentile.
+    """
+    rows = df.select(key, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    total = max(rows.count(), 1)
+    each = F.explode(F.array(*map(F.lit, range(TREES)))).alias("tree")
+    chosen = rows.select("*", each).where(uniform(key, "tree") < 2 * SAMPLE / total)  # about twice the sample, so that few trees lack rows
+    chosen = chosen.groupBy("tree").applyInPandas(lambda k, p: pd.DataFrame({"tree": [k[0]], "nodes": [json.dumps(grown(p.sort_values(key)[features].to_numpy(float)[:SAMPLE], int(k[0])))]}), "tree int, nodes string")
+    forest = df.sparkSession.sparkContext.broadcast([np.array(json.loads(r["nodes"])) for r in chosen.orderBy("tree").collect()])  # TREES trees of 511 nodes at most
+
+    def score(batches):
+        for p in batches:
+            x, depth = p[features].to_numpy(float), np.zeros(len(p))
+            for t in forest.value:
+                at = np.zeros(len(p), int)
+                for _ in range(8):
+                    f = t[at, 0].astype(int)
+                    inner = f >= 0
+                    left = np.where(inner, x[np.arange(len(p)), np.maximum(f, 0)] < t[at, 1], False)
+                    at = np.where(inner, np.where(left, t[at, 2], t[at, 3]).astype(int), at)
+                depth += t[at, 4]
+            yield pd.DataFrame({key: p[key], "score": np.round(100 * 2.0 ** (-depth / max(len(forest.value), 1) / expected(SAMPLE)), 1)})
+
+    out = rows.mapInPandas(score, f"{key} long, score double")
+    limit = out.agg(F.percentile_approx("score", 1 - contamination, 10_000).alias("_limit"))
+    return out.crossJoin(F.broadcast(limit)).select(key, "score", (F.col("score") > F.col("_limit")).cast("int").alias("is_anomaly"))  # one row
+
+
+def stability(model, df: DataFrame, features: list[str], rounds: int = 3, share: float = 0.03, key: str = "account_id") -> DataFrame:
+    """(key, agreement, stable): how many of ``rounds`` scores with a little noise agree with the plain one."""
+    noise = lambda f: (F.sqrt(-2 * F.log(1 - uniform(key, "_round", F.lit(f)))) * F.cos(2 * np.pi * uniform(key, "_round", F.lit(f), F.lit(7)))) * share
+    plain = scored(model, df, features).select(key, (F.col("raw_proba") >= 0.45).alias("plain"))
+    moved = df.withColumn("_round", F.explode(F.array(*map(F.lit, range(rounds))))).withColumns({f: F.col(f) + F.abs(F.col(f)) * noise(f) for f in features})
+    again = scored(model, moved, features).select(key, (F.col("raw_proba") >= 0.45).alias("again")).join(plain, key)
+    return again.groupBy(key).agg(F.round(F.avg((F.col("again") == F.col("plain")).cast("int")), 4).alias("agreement")).withColumn("stable", F.col("agreement") >= 0.66)
+
+
+def history(df: DataFrame, features: list[str], k: int = 5, least: int = 10, key: str = "account_id") -> DataFrame:
+    """(platform, rows, accuracy, precision, recall, f1) of forests trained on all folds but one and measured on that one, in a loop over the platforms."""
+    out = []
+    for r in df.groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("c")).orderBy("platform").collect():  # a row a platform
+        if r["n"] >= least and r["c"] == 2:
+            rows = df.where(F.col("platform") == r["platform"]).withColumn("_held", hashed(key, k) == 0)
+            numbers = rows.withColumns({f: F.col(f).cast("double") for f in features})
+            model = Pipeline(stages=[*prepared(features), LogisticRegression(featuresCol="_x", labelCol="y", predictionCol="_pred")]).fit(numbers.where("not _held"))
+            held = model.transform(numbers.where("_held")).select("y", F.col("_pred").cast("int").alias("pred"))
+            out.append(monitor.confusion(held).select(F.lit(r["platform"]).alias("platform"), F.lit(r["n"]).alias("rows"), "accuracy", "precision", "recall", "f1"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def noisy(df: DataFrame, features: list[str], key: str = "account_id") -> DataFrame:
+    """A labelled table with holes, noise and wrong labels, the same at every run: values of 15 % x U(0.5, 1.5) of the rows go, 15 % move by 5 % of the spread, 2 % of labels turn."""
+    spread = df.agg(*[F.stddev_samp(f).alias(f"_s_{f}") for f in features])
+    out = {}
+    for f in features:
+        rate = 0.15 * (0.5 + zlib.crc32(f.encode()) % 1000 / 1000)
+        gauss = F.sqrt(-2 * F.log(1 - uniform(key, F.lit(f), F.lit(3)))) * F.cos(2 * np.pi * uniform(key, F.lit(f), F.lit(4)))
+        moved = F.when(uniform(key, F.lit(f), F.lit(1)) < 0.15, F.greatest(F.lit(0.0), F.col(f) + gauss * 0.05 * F.col(f"_s_{f}"))).otherwise(F.col(f).cast("double"))
+        out[f] = moved if f.startswith(("is_", "has_")) else F.when(uniform(key, F.lit(f), F.lit(2)) >= rate, moved)
+    turned = F.when(uniform(key, F.lit(5)) < 0.02, 1 - F.col("y")).otherwise(F.col("y"))
+    return df.crossJoin(F.broadcast(spread)).withColumns(out | {"y": turned}).select(*df.columns)  # one row
+
+
+def by_quota(df: DataFrame, by: str, shares: dict, part: float, key: str = "account_id") -> DataFrame:
+    """``part`` of the table's number of rows, ``shares`` of them from each value of ``by`` as far as there are any, chosen by a hash of the key."""
+    total = df.count()
+    quota = F.create_map(*[x for v, s in shares.items() for x in (F.lit(v), F.lit(int(total * part * s + 0.5)))])
+    ordered = tables.numbered(df.withColumn("_h", F.xxhash64(key, F.lit(42))), [by], ["_h", key], "_r")
+    return ordered.where(F.col("_r") < F.try_element_at(quota, F.col(by))).select(*df.columns)

@@ -50,13 +50,11 @@ _BOT = "CASE WHEN account_age_days <= 7 AND following >= 1000 AND followers <= 5
  round(avg(CASE br WHEN 1 THEN 95 WHEN 2 THEN 93 ELSE confidence END), 3) AS mean_confidence FROM b GROUP BY platform""")
 def flagship_segment_decisions(spark, sf_dir):
     """Scores, platform thresholds, safeguards in their order, and counts by platform (MDL11, FLT4, RUL1-3, AGG1)."""
-    df = rules.public_figure(rules.platform_threshold(scored(spark, sf_dir)))
-    plain = rules.bot(df)
+    df = rules.safeguarded(rules.platform_threshold(scored(spark, sf_dir)))
     is_bot = F.col("figure_rule").isNull() & F.col("bot_rule").isNotNull()
-    before = df.select("account_id", F.col("prediction").alias("p0"), F.col("confidence").alias("c0"))
-    df = plain.join(before, "account_id").withColumns({"is_bot": is_bot})
-    pred = F.when(F.col("is_bot"), "Fake").otherwise(F.col("p0"))
-    return df.groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.count_if(pred == "Fake").alias("n_fake"), F.count("figure_rule").alias("n_figures"), F.count_if("is_bot").alias("n_bots"), F.round(F.avg(F.when(F.col("is_bot"), F.col("confidence")).otherwise(F.col("c0"))), 3).alias("mean_confidence"))
+    confidence = F.when(is_bot, F.col("c2")).otherwise(F.col("c1"))
+    fake = F.when(is_bot, True).otherwise(F.col("p1") == "Fake")
+    return df.groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.count_if(fake).alias("n_fake"), F.count("figure_rule").alias("n_figures"), F.count_if(is_bot).alias("n_bots"), F.round(F.avg(confidence), 3).alias("mean_confidence"))
 
 
 @query(f"WITH {ctes('v_profiles')} SELECT account_id, coalesce(try_cast(bio AS DOUBLE), 0.0) AS bio_number, coalesce(try_cast(followers AS DOUBLE), 0.0) AS followers FROM v_profiles")
@@ -120,12 +118,6 @@ def jon2_str14_templates(spark, sf_dir):
     return similarity.template_similarity(load(spark, sf_dir, "v_profiles"), TEMPLATES)
 
 
-@query("""WITH h AS (SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END for i in range(1, 65)]) AS p FROM embeddings), r AS (SELECT p, min(vec_id) AS id FROM h GROUP BY p)
- SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.p, b.p)) AS INT) AS distance FROM r a JOIN r b ON a.id < b.id WHERE bit_count(xor(a.p, b.p)) <= 11""")
-def jon15_hamming(spark, sf_dir):
-    return similarity.hamming_links(similarity.sign_hashes(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), 11, 16)
-
-
 @query(f"WITH {ctes('v_edges')}, m AS (SELECT e.src, count(*) AS n, count(b.src) AS m FROM v_edges e LEFT JOIN v_edges b ON b.src = e.dst AND b.dst = e.src GROUP BY e.src), f AS (SELECT dst, count(*) AS f FROM v_edges GROUP BY dst) SELECT coalesce(src, dst) AS account_id, coalesce(n, 0) AS n_following, coalesce(f, 0) AS n_followers, round(coalesce(m, 0) / greatest(coalesce(n, 0), 1), 4) AS reciprocity, round(coalesce(m, 0) / (coalesce(n, 0) + coalesce(f, 0) - coalesce(m, 0)), 4) AS mutual_ratio FROM m FULL JOIN f ON src = dst")
 def jon6_reciprocity(spark, sf_dir):
     return graph.reciprocity(load(spark, sf_dir, "v_edges"))
@@ -156,8 +148,7 @@ def flt3_flt4_rul4_thresholds(spark, sf_dir):
 
 @query(f"WITH {_SCORED} SELECT account_id, {_FIGURE} AS figure_rule, {_BOT} AS bot_rule FROM scored")
 def rul1_rul2_safeguards(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    return rules.public_figure(s).select("account_id", "figure_rule").join(rules.bot(s).select("account_id", "bot_rule"), "account_id")
+    return rules.safeguarded(scored(spark, sf_dir)).select("account_id", "figure_rule", "bot_rule")
 
 
 @query(f"""WITH {ctes('v_scores')}, s AS (SELECT account_id, 50 + account_id % 50 AS s1, 40 + (account_id * 7) % 60 AS s2, (account_id % 10) / 10 AS c1, ((account_id * 3) % 10) / 10 AS c2 FROM v_scores), m AS (SELECT *, CASE WHEN s1 - s2 > 15 THEN 'stage1_fallback' WHEN c2 < 0.7E0 * c1 THEN 'stage1_preferred' WHEN s2 >= s1 THEN 'stage2_dominant' ELSE 'weighted_merge' END AS source FROM s)
@@ -265,6 +256,6 @@ def set5_agg24_duplicates(spark, sf_dir):
     k = load(spark, sf_dir, "v_posts").groupBy("account_id", F.lower(F.trim("text")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return k.groupBy("account_id").agg(F.count_if(F.col("n") > 1).alias("repeated"), F.sum("n").alias("posts"), F.round(F.count_if(F.col("n") > 1) / F.sum("n"), 4).alias("duplicate_ratio"))
 
-from authscope.plans import builders, files, modelling, preparing, reporting, texts  # noqa: E402, F401  these register their queries here
+from authscope.plans import builders, files, modelling, network, preparing, reporting, texts  # noqa: E402, F401  these register their queries here
 
 texts._late()

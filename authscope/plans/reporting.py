@@ -133,10 +133,13 @@ def prj12_median_fill(spark, sf_dir):
     return df.crossJoin(F.broadcast(df.agg(F.median("followers").alias("m")))).select("account_id", F.coalesce("followers", "m").alias("followers"))  # one row
 
 
-@query(f"WITH {ctes('v_profiles')} SELECT 'absent' AS feature, false AS warn")
+@query(f"WITH {ctes('v_accounts')}, m AS (SELECT *, CASE WHEN platform = 'x' THEN tweets END AS t, CASE WHEN label = 'none' THEN 1 END AS never FROM v_accounts WHERE platform <> 'x'), l AS (SELECT unnest(['followers', 'tweets', 'never', 'posts']) AS feature, unnest([followers, t, never, posts]) AS v FROM m), c AS (SELECT feature FROM l GROUP BY feature HAVING count(v) = 0) SELECT feature, (SELECT count(*) FROM c) > greatest(1, 0.25E0 * 4) AS warn FROM c")
 def prj8_absent_features(spark, sf_dir):
-    df = load(spark, sf_dir, "v_profiles").withColumn("absent", F.lit(None).cast("double"))
-    return reports.absent_features(df, ["followers", "following", "absent", "posts"])
+    """Trained features that a table has no value of: here those of one platform, and one that no row has."""
+    m = load(spark, sf_dir, "v_accounts").where("platform <> 'x'")
+    rows = m.select("followers", F.when(F.col("platform") == "x", F.col("tweets")).alias("tweets"), F.when(F.col("label") == "none", 1).alias("never"), "posts")
+    return reports.absent_features(rows, ["followers", "tweets", "never", "posts"])
+
 
 
 @query(f"WITH {ctes('v_profiles')} SELECT account_id, round(following / greatest(followers, 1), 4) AS ff_ratio, round(100 * posts / greatest(followers, 1), 4) AS posts_per_100, round(posts / greatest(account_age_days, 1), 4) AS posts_per_day, round(ln(1 + followers), 4) AS log_followers FROM v_profiles")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from authscope.functions import text as T
@@ -145,8 +147,8 @@ def agg27_repositories(spark, sf_dir):
 
 
 @query(f"""WITH {_A}, {_POSTS}, c AS (SELECT account_id, count(*) FILTER (post_id % 3 <> 0) AS comments, count(*) FILTER (post_id % 3 = 0) AS posts, count(DISTINCT lang) AS communities, count(*) FILTER (post_id % 3 <> 0 AND post_id % 5 = 0) AS fought, avg({_N('text', '[^' + chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D]+')}) FILTER (post_id % 3 <> 0) AS words FROM v_posts GROUP BY account_id)
- SELECT account_id, round((comment_karma + post_karma) / greatest(account_age_days, 1), 4) AS karma_per_day, round(comments / greatest(posts, 1), 4) AS comment_to_post_ratio, round(communities / (greatest(comments, 1) + greatest(posts, 1)), 4) AS subreddit_diversity, round(coalesce(words, 0), 4) AS avg_comment_length, round(fought / greatest(comments, 1), 4) AS controversial_ratio,
- round((comment_karma + post_karma) / (greatest(comments, 1) + greatest(posts, 1)), 4) AS karma_to_activity_ratio FROM c JOIN v_accounts USING (account_id)""")
+ SELECT account_id, round((comment_karma + post_karma) / greatest(account_age_days, 1), 4) AS karma_per_day, round(comments / greatest(c.posts, 1), 4) AS comment_to_post_ratio, round(communities / (greatest(comments, 1) + greatest(c.posts, 1)), 4) AS subreddit_diversity, round(coalesce(words, 0), 4) AS avg_comment_length, round(fought / greatest(comments, 1), 4) AS controversial_ratio,
+ round((comment_karma + post_karma) / (greatest(comments, 1) + greatest(c.posts, 1)), 4) AS karma_to_activity_ratio FROM c JOIN v_accounts USING (account_id)""")
 def agg29_comments(spark, sf_dir):
     rows = load(spark, sf_dir, "v_posts").select("account_id", (F.col("post_id") % 3 != 0).alias("is_comment"), F.col("lang").alias("community"), (F.col("post_id") % 5 == 0).alias("fought"), "text")
     return aggregates.comments(rows, load(spark, sf_dir, "v_accounts").select("account_id", (F.col("comment_karma") + F.col("post_karma")).alias("karma"), "account_age_days"))
@@ -218,7 +220,7 @@ def _joined(parts: list[tuple[str, str]]) -> str:
 
 def _bundle(name: str, doc: str, parts: list[tuple[str, str]], finish: str = "") -> None:
     def run(spark, sf_dir):
-        return aggregates.bundled([QUERIES[n](spark, sf_dir).selectExpr("account_id", *cols.split(", ")) for n, cols in parts])
+        return aggregates.bundled([QUERIES[n](spark, sf_dir).selectExpr("account_id", *re.split(r", (?![^(]*\))", cols)) for n, cols in parts])
 
     run.__name__, run.__doc__ = name, doc
     query(_joined(parts))(run)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authscope.operators import rules
+from authscope.operators import monitor, rules
 from authscope.sources.tables import shared_folder
 
 DELAY = "10 minutes"
@@ -53,3 +53,25 @@ def bursts(pairs: DataFrame, least: int) -> DataFrame:
 def scored_joins(df: DataFrame) -> DataFrame:
     """A sink row for each join: suspicion, its reasons and whether to act. No state."""
     return rules.suspicion(df).select("event_id", "guild_id", "user_id", "suspicion", "reasons", "act")
+
+
+def drift_checks(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    """(batch, n, feature, psi, level): checks of a stream's values against those of the table's first half, whenever ``every`` rows or more have come in.
+
+    Rows wait in the shared folder until there are enough; a batch is written under its number, so one that runs twice leaves one result.
+    """
+    folder = shared_folder(spark, "drift")
+    rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]").select("event_id", "value")
+    train = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 2 = 0").select("value")
+    schema = "batch long, n long, feature string, psi double, level string"
+
+    def check(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/waiting/{number}")
+        waiting = spark.read.parquet(f"{folder}/waiting/{number}")
+        n = waiting.count()
+        if n >= every:
+            found = monitor.feature_drift(train, waiting.select("value"))
+            found.select(F.lit(number).cast("long").alias("batch"), F.lit(n).cast("long").alias("n"), "feature", "psi", "level").write.mode("overwrite").parquet(f"{folder}/checks/{number}")
+
+    rows.writeStream.foreachBatch(check).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/checks")

@@ -49,3 +49,65 @@ def test_late_rows_are_dropped(spark):
 def test_importances_name_every_feature(spark):
     rows = QUERIES["mdl6_mdl17_importances"](spark, DIR).collect()
     assert len(rows) == 5 and abs(sum(r["importance"] for r in rows) - 1) < 1e-6 and any(r["keep"] for r in rows)
+
+
+def test_public_figures_stay_legit(spark):
+    from authscope.operators import rules
+
+    cases = [(13_000_000, 500, 1200, 1, 4000, 90.0), (2_500_000, 800, 3400, 0, 3650, 85.0), (8_000_000, 200, 4200, 1, 5000, 90.0)]
+    rows = spark.createDataFrame([(i, *c, "Fake", 85.0) for i, c in enumerate(cases)], "account_id long, followers long, following long, posts long, is_verified int, account_age_days long, least double, prediction string, confidence double")
+    assert all(r["prediction"] == "Legit" and r["confidence"] >= r["least"] for r in rules.public_figure(rows).collect())
+
+
+def test_stack_search_and_history(spark):
+    n = spark.read.parquet(f"{DIR}/customer.parquet").count()
+    rows = QUERIES["mdl2_stacking"](spark, DIR)
+    assert rows.count() == n and rows.where("prediction not in ('Fake', 'Legit') or confidence < 50").count() == 0
+    assert len(QUERIES["mdl10_search"](spark, DIR).collect()) == 8
+    found = QUERIES["mdl19_mdl20_history"](spark, DIR).collect()
+    assert len(found) == 10 and all(0 <= r["accuracy"] <= 1 for r in found)
+
+
+def test_balancing_makes_rows_between_neighbours(spark):
+    for name in ("mdl7_smote", "mdl8_adasyn"):
+        rows = QUERIES[name](spark, DIR)
+        n = {(r["y"], r["made"]): r["count"] for r in rows.groupBy("y", "made").count().collect()}
+        old, rare = {y: c for (y, made), c in n.items() if not made}, min((c, y) for (y, made), c in n.items() if not made)[1]
+        made = n.get((rare, True), 0)
+        assert abs(made - (max(old.values()) - old[rare])) <= 0.2 * max(old.values()) and set(n) == {(0, False), (1, False), (rare, True)}
+        ends = rows.where("not made").agg(F.min("followers").alias("a"), F.max("followers").alias("b")).first()
+        assert rows.where("made").where((F.col("followers") < ends["a"]) | (F.col("followers") > ends["b"])).count() == 0
+
+
+def test_anomalies_find_planted_rows(spark):
+    from authscope.operators import training
+
+    usual = spark.range(600).selectExpr("id as account_id", "cast(id % 10 as double) as a", "cast(id % 7 as double) as b")
+    odd = spark.createDataFrame([(1000 + i, 500.0 + i, -300.0) for i in range(6)], "account_id long, a double, b double")
+    rows = training.anomalies(usual.union(odd), ["a", "b"], 0.02).collect()
+    assert len(rows) == 606 and all(r["is_anomaly"] == 1 for r in rows if r["account_id"] >= 1000)
+
+
+def test_noise_and_stability_repeat(spark):
+    a, b = (sorted(map(tuple, QUERIES["prj27_noise"](spark, DIR).collect()), key=str) for _ in "ab")
+    assert a == b and 0.05 < sum(r[2] is None for r in a) / len(a) < 0.3
+    assert QUERIES["mdl18_stability"](spark, DIR).where("agreement < 0 or agreement > 1").count() == 0
+
+
+def test_drift_of_a_stream_is_checked(spark):
+    rows = QUERIES["stm6_incremental_drift"](spark, DIR).collect()
+    assert rows and all(r["n"] >= 100 and r["feature"] == "value" for r in rows)
+
+
+def test_shuffle_repeats(spark):
+    a, b = ([r["account_id"] for r in QUERIES["top5_shuffled"](spark, DIR).collect()] for _ in "ab")
+    assert a == b != sorted(a)
+
+
+def test_jaro_winkler():
+    import duckdb
+
+    from authscope.operators.writing import jaro_winkler
+
+    for a, b in [("martha", "marhta"), ("dwayne", "duane"), ("dixon", "dicksonx"), ("a", "b"), ("ab", "ab"), ("anna smith", "annasmith"), ("x", "xy")]:
+        assert abs(jaro_winkler(a, b) - duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0]) < 1e-9
