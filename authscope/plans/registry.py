@@ -256,6 +256,6 @@ def set5_agg24_duplicates(spark, sf_dir):
     k = load(spark, sf_dir, "v_posts").groupBy("account_id", F.lower(F.trim("text")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return k.groupBy("account_id").agg(F.count_if(F.col("n") > 1).alias("repeated"), F.sum("n").alias("posts"), F.round(F.count_if(F.col("n") > 1) / F.sum("n"), 4).alias("duplicate_ratio"))
 
-from authscope.plans import builders, files, modelling, network, preparing, reporting, texts  # noqa: E402, F401  these register their queries here
+from authscope.plans import builders, files, modelling, network, preparing, remaining, reporting, texts  # noqa: E402, F401  these register their queries here
 
 texts._late()

@@ -401,7 +401,7 @@ def test_fuzzy_line_recall(spark):
     rows, want = [], defaultdict(list)
     for kind, edit in kinds.items():
         for n in range(5, 61):
-            for _ in range(2):
+            for _ in range(1):
                 a = [word() for _ in range(n)]
                 b = edit(a)
                 if len(b) >= linededup.WORDS and similarity(" ".join(a), " ".join(b)) >= 0.8:
