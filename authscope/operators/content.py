@@ -12,7 +12,7 @@ def post_shape(df: DataFrame, key: str = "account_id") -> DataFrame:
     words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     return df.withColumns({"w": words, "u": F.rlike("text", F.lit(URL)).cast("int"), "c": F.length("text")}).groupBy(key).agg(
         F.round(F.avg("w"), 4).alias("mean_words"), F.round(F.coalesce(F.var_samp("w"), F.lit(0.0)), 3).alias("var_words"), F.round(F.avg("u"), 4).alias("url_ratio"),
-        F.round(F.avg("c"), 4).alias("mean_chars"), F.round(F.var_pop("c"), 3).alias("var_chars"),
+        F.round(F.avg("c"), 4).alias("mean_chars"), F.round(F.var_pop("c"), 4).alias("var_chars"),
     )
 
 

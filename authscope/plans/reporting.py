@@ -62,7 +62,7 @@ def agg11_feedback(spark, sf_dir):
     return reports.totals(scored(spark, sf_dir), "platform", (F.col("prediction") == "Fake") != (F.col("y") == 1), F.col("account_id") % 3 == 0)
 
 
-@query(f"WITH {ctes('v_posts')}, w AS (SELECT account_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w, CAST(regexp_matches(text, 'https?://|www\\.') AS INT) AS u, length(text) AS c FROM v_posts) SELECT account_id, round(avg(w), 4) AS mean_words, round(coalesce(var_samp(w), 0), 3) AS var_words, round(avg(u), 4) AS url_ratio, round(avg(c), 4) AS mean_chars, round(var_pop(c), 3) AS var_chars FROM w GROUP BY account_id")
+@query(f"WITH {ctes('v_posts')}, w AS (SELECT account_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w, CAST(regexp_matches(text, 'https?://|www\\.') AS INT) AS u, length(text) AS c FROM v_posts) SELECT account_id, round(avg(w), 4) AS mean_words, round(coalesce(var_samp(w), 0), 3) AS var_words, round(avg(u), 4) AS url_ratio, round(avg(c), 4) AS mean_chars, round(var_pop(c), 4) AS var_chars FROM w GROUP BY account_id")
 def agg20_agg24_post_shape(spark, sf_dir):
     return content.post_shape(load(spark, sf_dir, "v_posts"))
 
