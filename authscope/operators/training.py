@@ -174,8 +174,8 @@ def anomalies(df: DataFrame, features: list[str], contamination: float = 0.1, ke
     rows = df.select(key, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
     total = max(rows.count(), 1)
     each = F.explode(F.array(*map(F.lit, range(TREES)))).alias("tree")
-    chosen = rows.select("*", each).where(uniform(key, "tree") < 2 * SAMPLE / total)  # about twice the sample, so that few trees lack rows
-    chosen = chosen.groupBy("tree").applyInPandas(lambda k, p: pd.DataFrame({"tree": [k[0]], "nodes": [json.dumps(grown(p.sort_values(key)[features].to_numpy(float)[:SAMPLE], int(k[0])))]}), "tree int, nodes string")
+    chosen = rows.select("*", each).withColumn("_o", uniform(key, "tree")).where(F.col("_o") < 2 * SAMPLE / total)  # about twice the sample, so that few trees lack rows
+    chosen = chosen.groupBy("tree").applyInPandas(lambda k, p: pd.DataFrame({"tree": [k[0]], "nodes": [json.dumps(grown(p.sort_values(["_o", key])[features].to_numpy(float)[:SAMPLE], int(k[0])))]}), "tree int, nodes string")
     forest = df.sparkSession.sparkContext.broadcast([np.array(json.loads(r["nodes"])) for r in chosen.orderBy("tree").collect()])  # TREES trees of 511 nodes at most
 
     def score(batches):
