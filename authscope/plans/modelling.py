@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from authscope.operators import language, rules, training
 from authscope.plans.registry import _BOT, _FIGURE, _SCORED, query, scored
 from authscope.sources import tables
+from authscope.sources.tables import shared_folder
 from authscope.sources.views import ctes, load
-from authscope.streaming import guild
+from authscope.streaming import guild, sessions
 
 _HITS = " + ".join(f"{k} * CAST(contains(lower(b), '{w}') AS INT)" for k, ws in language.SPAM_WORDS.items() for w in ws)
 _S = "(SELECT regexp_replace(regexp_replace(regexp_replace(lower(username), '[^a-z]', '', 'g'), '[aeiou]', '1', 'g'), '[a-z]', '0', 'g'))"
@@ -102,33 +103,65 @@ def src3_json_profiles(spark, sf_dir):
     return tables.profiles_of(sent, "body", "account_id: bigint, username: string, followers: bigint")
 
 
-_JOINS = "SELECT event_id, user_id % 5 AS guild_id, user_id, ts FROM events WHERE event_type = 'signup'"
+# Spans of the streams are wide, as the events are sparse; ids are answered once the watermark, ten minutes behind the newest row, has passed them.
+_GUILD = "g AS (SELECT event_id, CAST(floor(user_id / 10) AS BIGINT) AS guild_id, user_id, ts, event_type FROM events)"
+_TRAILING = f"{_GUILD}, b AS (SELECT event_id, guild_id, user_id, ts, count(*) OVER (PARTITION BY guild_id ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS n FROM g WHERE event_type = 'signup')"
+_SESSIONS = """m AS (SELECT event_id, guild_id, user_id, ts, count(*) OVER (PARTITION BY guild_id, user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n FROM g WHERE event_type IN ('click', 'view')),
+h AS (SELECT m.*, j.event_id AS join_id, row_number() OVER (PARTITION BY j.event_id ORDER BY m.ts, m.event_id) AS r FROM m ASOF JOIN (SELECT * FROM g WHERE event_type = 'signup') j ON m.guild_id = j.guild_id AND m.user_id = j.user_id AND m.ts >= j.ts WHERE m.ts <= j.ts + INTERVAL 2 DAYS AND m.n >= 3),
+e AS (SELECT max(ts) - INTERVAL 10 MINUTES AS seen FROM g WHERE event_type IN ('signup', 'click', 'view')), t AS (SELECT event_id, join_id, guild_id, user_id, ts, n FROM h, e WHERE r = 1 AND ts <= seen)"""
 
 
-@query(f"WITH j AS ({_JOINS}), w AS (SELECT guild_id, date_trunc('hour', ts) - to_hours(CAST(i AS INT)) AS s FROM j, range(6) t(i)) SELECT guild_id, CAST(epoch(s) AS BIGINT) AS window_start, count(*) AS n FROM w WHERE s + INTERVAL 6 HOURS <= (SELECT max(ts) FROM j) - INTERVAL 10 MINUTES GROUP BY ALL HAVING count(*) >= 5")
+def join_burst_stream(spark, sf_dir):
+    return sessions.trailing_counts(guild.events(spark, sf_dir).where("event_type = 'signup'"), ["guild_id"], 21_600)
+
+
+def message_burst_stream(spark, sf_dir):
+    rows = guild.events(spark, sf_dir).where("event_type in ('signup', 'click', 'view')")
+    return sessions.message_bursts(rows, ["guild_id", "user_id"], 86_400, 3, 172_800, F.col("event_type") != "signup")
+
+
+@query(f"WITH {_TRAILING} SELECT event_id, guild_id, n FROM b WHERE n >= 5 AND ts <= (SELECT max(ts) FROM b) - INTERVAL 10 MINUTES")
 def stm1_stm4_join_bursts(spark, sf_dir):
-    """A stream: sliding windows with five joins or more, once the watermark has passed them."""
-    return guild.drained(guild.counts(guild.events(spark, sf_dir).where("event_type = 'signup'"), ["guild_id"], "6 hours", "1 hour", 5))
+    """A stream: each join that has five or more of its guild in the six hours up to it; win11 is its batch twin."""
+    return guild.drained(join_burst_stream(spark, sf_dir)).where("n >= 5").select("event_id", "guild_id", "n")
 
 
-@query(f"WITH j AS ({_JOINS}) SELECT j.event_id AS join_id, count(*) AS n FROM j JOIN events m ON m.event_type IN ('click', 'view') AND m.user_id = j.user_id AND m.ts >= j.ts AND m.ts <= j.ts + INTERVAL 12 HOURS GROUP BY j.event_id HAVING count(*) >= 2")
+@query(f"WITH {_GUILD}, {_SESSIONS} SELECT event_id, join_id, guild_id, user_id, n FROM t")
 def stm2_message_bursts(spark, sf_dir):
-    """A stream-stream interval join; the bursts are counted over what it appended."""
-    e = guild.events(spark, sf_dir)
-    messages = guild.events(spark, sf_dir).where("event_type in ('click', 'view')")
-    return guild.bursts(guild.drained(guild.soon_after(e.where("event_type = 'signup'"), messages, "12 hours")), 2)
+    """A stream: of each join, the first message within two days of it that is the third or later of its day."""
+    return guild.drained(message_burst_stream(spark, sf_dir)).select("event_id", "join_id", "guild_id", "user_id", "n")
 
 
-_ON = ["user_id % 20 < 7", "user_id % 3 = 0", "event_id % 4 = 0", "event_id % 7 = 0"]
+_AVATAR = "CAST(coalesce(x.embedding[{}] > -0.1, true) AS INT)"
+_ACCOUNTS = "SELECT c_custkey AS user_id, TIMESTAMP '2024-01-30 00:00:00' - {} AS created_at, {} AS has_avatar FROM customer LEFT JOIN embeddings x ON x.vec_id = c_custkey"
+_ON = ["(epoch_us(ts) - epoch_us(created_at)) / 86400e6 < 7", "coalesce(has_avatar, 1) = 0", "joins >= 5", "is_message = 1"]
 _NAMES = ["new_account<7d", "no_custom_avatar", "join_burst>5/120s", "message_burst>8/60s"]
 _SUM = " + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, p in zip(_ON, (40, 15, 25, 30)))
 
 
-@query(f"WITH j AS ({_JOINS}) SELECT event_id, guild_id, user_id, CAST({_SUM} AS INT) AS suspicion, concat_ws('|', {', '.join(f'CASE WHEN {c} THEN {n!r} END' for c, n in zip(_ON, _NAMES))}) AS reasons, CAST({_SUM} >= 70 AS INT) AS act FROM j")
+def accounts(spark, sf_dir):
+    for t in ("customer", "embeddings"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(_ACCOUNTS.format("make_dt_interval(CAST(floor(abs(c_acctbal)) AS INT) % 60)", _AVATAR.format(0)))
+
+
+@query(f"""WITH {_TRAILING}, {_SESSIONS}, a AS ({_ACCOUNTS.format("to_days(CAST(floor(abs(c_acctbal)) AS INT) % 60)", _AVATAR.format(1))}),
+r AS (SELECT event_id, guild_id, user_id, ts, n AS joins, 0 AS is_message FROM b WHERE ts <= (SELECT max(ts) FROM b) - INTERVAL 10 MINUTES
+UNION ALL SELECT t.event_id, t.guild_id, t.user_id, t.ts, (SELECT count(*) FROM b WHERE b.guild_id = t.guild_id AND b.ts <= t.ts AND epoch_us(b.ts) >= epoch_us(t.ts) - 21600000000), 1 FROM t WHERE t.ts <= (SELECT max(ts) FROM t) - INTERVAL 10 MINUTES AND t.ts <= (SELECT max(ts) FROM b) - INTERVAL 10 MINUTES)
+SELECT event_id, guild_id, r.user_id, CASE is_message WHEN 1 THEN 'message' ELSE 'join' END AS kind, CAST({_SUM} AS INT) AS suspicion, concat_ws('|', {', '.join(f'CASE WHEN {c} THEN {n!r} END' for c, n in zip(_ON, _NAMES))}) AS reasons, CAST(is_message = 0 AND {_SUM} >= 70 AS INT) AS act
+FROM r LEFT JOIN a USING (user_id) WHERE is_message = 1 OR ts <= (SELECT max(ts) FROM t) - INTERVAL 10 MINUTES""")
 def stm3_rul9_suspicion(spark, sf_dir):
-    joins = guild.events(spark, sf_dir).where("event_type = 'signup'")
-    flags = {"age_days": "user_id % 20", "has_avatar": "cast(user_id % 3 <> 0 as int)", "join_burst": "cast(event_id % 4 = 0 as int)", "message_burst": "cast(event_id % 7 = 0 as int)"}
-    return guild.drained(guild.scored_joins(joins.withColumns({k: F.expr(v) for k, v in flags.items()})))
+    """A stream of joins and of the message bursts that another stream has found: both are counted against the guild's joins and scored.
+
+    The watermark is the lesser of the two sources'.
+    """
+    folder = shared_folder(spark, "bursts")
+    found = guild.drained(message_burst_stream(spark, sf_dir), folder)
+    joins = guild.events(spark, sf_dir).where("event_type = 'signup'").select("event_id", "guild_id", "user_id", "ts", F.lit(0).cast("long").alias("is_message")).withWatermark("ts", guild.DELAY)
+    bursts = spark.readStream.schema(found.schema).parquet(f"{folder}/rows").select("event_id", "guild_id", "user_id", "ts", F.lit(1).cast("long").alias("is_message")).withWatermark("ts", guild.DELAY)
+    counted = sessions.trailing_counts(joins.unionByName(bursts), ["guild_id"], 21_600, F.col("is_message") == 0, also=("user_id", "is_message"), delay=None)
+    flags = counted.withColumns({"join_burst": (F.col("n") >= 5).cast("int"), "message_burst": F.col("is_message").cast("int")})
+    return guild.drained(guild.scored(flags, accounts(spark, sf_dir)))
 
 
 @query("SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES GROUP BY ALL")

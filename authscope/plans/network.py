@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from authscope.operators import calibration, graph, identity, monitor, rules, similarity, training
 from authscope.plans.registry import _SCORED, query, scored
+from authscope.sources.tables import shared_folder
 from authscope.sources.views import ctes, load
 from authscope.streaming import guild
 
@@ -116,10 +117,23 @@ def set3_sets(spark, sf_dir):
     return named("both", a.intersect(b)).unionByName(named("either", a.union(b).distinct())).unionByName(named("first", a.subtract(b)))
 
 
-@query()
+# The table comes in as six arrivals: two of 60 rows, which only together are enough for a check, then quarters of the rest.
+_ARRIVAL = "CASE WHEN event_id < 60 THEN 0 WHEN event_id < 120 THEN 1 ELSE 2 + event_id % 4 END"
+
+
+@query(f"""WITH e AS (SELECT value AS v, CAST(event_id % 2 = 0 AS INT) AS train, CASE WHEN event_id < 120 THEN 1 ELSE 2 + event_id % 4 END AS batch FROM events WHERE value IS NOT NULL),
+x AS (SELECT b.batch, e.v, 1 AS recent FROM (SELECT DISTINCT batch FROM e) b JOIN e USING (batch) UNION ALL SELECT b.batch, e.v, 0 FROM (SELECT DISTINCT batch FROM e) b, e WHERE train = 1),
+l AS (SELECT batch, min(v) AS lo, max(v) AS hi FROM x GROUP BY batch), c AS (SELECT batch, CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / (hi - lo) * 10), 9) END AS bin, count(*) FILTER (recent = 0) AS e, count(*) FILTER (recent = 1) AS a FROM x JOIN l USING (batch) GROUP BY ALL),
+s AS (SELECT batch, e / sum(e) OVER (PARTITION BY batch) AS e, a / sum(a) OVER (PARTITION BY batch) AS a FROM c), p AS (SELECT batch, greatest(round(sum((a - e) * ln((a + 1e-9) / (e + 1e-9))), 6), 0) AS psi FROM s GROUP BY batch)
+SELECT CAST(batch AS BIGINT) AS batch, CASE WHEN batch = 1 THEN 0 ELSE CAST(batch AS BIGINT) END AS first_batch, (SELECT count(*) FROM e WHERE e.batch = p.batch) AS n, 'value' AS feature, psi, CASE WHEN psi < 0.1 THEN 'ok' WHEN psi < 0.2 THEN 'warn' ELSE 'alert' END AS level FROM p""")
 def stm6_incremental_drift(spark, sf_dir):
-    """A stream of predictions: each time 100 more have come in, their drift against the table of training is checked."""
-    return guild.drift_checks(spark, sf_dir, 100)
+    """A stream that is stopped and started for each arrival: whenever 100 rows have come in that no check has seen, their drift against the training half is checked."""
+    events, folder = spark.read.parquet(f"{sf_dir}/events.parquet"), shared_folder(spark, "drift")
+    ledger = guild.DriftLedger(spark, folder, events.where("event_id % 2 = 0").select("value"), 100)
+    for k in range(6):
+        events.select("event_id", "value").where(f"{_ARRIVAL} = {k} and value is not null").write.mode("append").parquet(f"{folder}/arrivals")
+        out = ledger.drained(spark.readStream.schema("event_id long, value double").parquet(f"{folder}/arrivals").select("value"))
+    return out
 
 
 # models
