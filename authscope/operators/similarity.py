@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -29,20 +30,33 @@ def sign_hashes(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).alias("phash"))
 
 
-def hamming_links(df: DataFrame, radius: int = 7, blocks: int = 9) -> DataFrame:
-    """(a, b, distance) of distinct hashes within ``radius`` bits: at least ``blocks - radius`` of the blocks are equal.
+def block_count(n: int, radius: int, most: int = 14) -> int:
+    """The least number of blocks whose tables have keys of log2(n) bits or more, so that a bucket holds about one of ``n`` random hashes."""
+    return next((b for b in range(radius + 2, most) if 64 * (b - radius) // b >= math.log2(max(2, n))), most)
 
-    Every choice of so many blocks is a table, keyed by all of them. Equal hashes stand as their smallest id.
+
+def hamming_tried(df: DataFrame, radius: int, blocks: int | None, by: tuple[str, ...]) -> DataFrame:
+    """(a, b, distance) of the pairs of distinct hashes, of the same ``by``, that are compared; ``hamming_links`` are those within ``radius``.
+
+    Every choice of so many blocks is a table, keyed by all of them; the number of blocks, and with it the width of the keys,
+    grows with the number of hashes, so the pairs tried grow in proportion to them. Equal hashes stand as their smallest id.
+    Hashes within ``radius`` bits have at least ``blocks - radius`` blocks in common, so they are compared.
     """
+    rep = df.groupBy(*by, "phash").agg(F.min("vec_id").alias("id"))
+    blocks = blocks or block_count(rep.count(), radius)
     edges = [64 * i // blocks for i in range(blocks + 1)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     masks = [signed(sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in kept)) for kept in combinations(range(blocks), blocks - radius)]
-    rep = df.groupBy("phash").agg(F.min("vec_id").alias("id"))
     keys = F.array(*[F.struct(F.lit(k).alias("table"), F.col("phash").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(masks)])
-    keyed = rep.select("id", "phash", F.explode(keys).alias("k")).select("id", "phash", "k.table", "k.key")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(F.col("a.phash").bitwiseXOR(F.col("b.phash"))) <= radius))
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(F.col("a.phash").bitwiseXOR(F.col("b.phash"))).alias("distance")).distinct()
+    keyed = rep.select("id", "phash", *by, F.explode(keys).alias("k")).select("id", "phash", *by, "k.table", "k.key")
+    a, b, apart = keyed.alias("a"), keyed.alias("b"), F.col("a.phash").bitwiseXOR(F.col("b.phash"))
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "table", "key")])
+    return a.join(b, same & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(apart).alias("distance"))
+
+
+def hamming_links(df: DataFrame, radius: int = 7, blocks: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, distance) of distinct hashes within ``radius`` bits, of the same ``by``."""
+    return hamming_tried(df, radius, blocks, by).where(F.col("distance") <= radius).distinct()
 
 
 def stock_photos(df: DataFrame, radius: int = 7) -> DataFrame:

@@ -14,7 +14,7 @@ from authscope.operators import language
 
 # Word lists and code-point ranges that results depend on.
 POSITIVE = ["good", "great", "love", "happy", "excellent", "amazing", "wonderful", "best", "awesome", "fantastic", "beautiful", "positive", "success", "win", "perfect", "nice", "brilliant", "enjoy", "thanks", "thank"]
-NEGATIVE = ["bad", "hate", "terrible", "awful", "worst", "horrible", "disgusting", "fail", "failure", "sad", "angry", "disappointed", "ugly", "poor"]
+NEGATIVE = ["bad", "hate", "terrible", "awful", "worst", "horrible", "disgusting", "fail", "failure", "sad", "angry", "disappointed", "ugly", "poor", "wrong", "broken", "false", "spam", "scam", "fake", "fraud"]
 TOPICS = {
     "crypto": ["bitcoin", "btc", "eth", "crypto", "nft", "defi", "token", "hodl"], "promo": ["giveaway", "airdrop", "promo", "free", "win", "offer"],
     "politics": ["election", "president", "vote", "democrat", "republican", "government"], "sports": ["football", "soccer", "basketball", "nba", "nfl", "game", "score"],
@@ -168,30 +168,3 @@ def word_cosine(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     both = words(left, "x").join(words(right, "y"), [key, "t"], "full").na.fill(0, ["x", "y"])
     sums = both.groupBy(key).agg(F.sum(F.col("x") * F.col("y")).alias("d"), F.sum(F.col("x") * F.col("x")).alias("a"), F.sum(F.col("y") * F.col("y")).alias("b"))
     return sums.select(key, F.round(F.coalesce(F.try_divide(F.col("d"), F.sqrt(F.col("a") * F.col("b"))), F.lit(0.0)), 4).alias("cosine"))
-
-
-def similar_posts(posts: DataFrame, limit: float, weighted: bool, key: str = "account_id") -> DataFrame:
-    """(key, n_similar, ratio): pairs of one account's posts that are alike, of all its pairs.
-
-    Unweighted: Jaccard of word sets above ``limit``. Weighted: cosine of tf-idf vectors (terms of two or more word characters, idf over the
-    account's own posts). Posts meet through the words they share, so pairs without a common word are never made.
-    """
-    shape = r"[a-z0-9_]{2,}" if weighted else r"[^\x20\x09-\x0D]+"
-    words = posts.select(key, "post_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(shape), F.lit(0))).alias("t")).groupBy(key, "post_id", "t").agg(F.count(F.lit(1)).alias("tf"))
-    number = posts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    if weighted:
-        df = words.groupBy(key, "t").agg(F.count(F.lit(1)).alias("df"))
-        idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-        words = words.join(df, [key, "t"]).join(number, key).select(key, "post_id", "t", (F.col("tf") * idf).alias("w"))
-        sizes = words.groupBy(key, "post_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    else:
-        words = words.select(key, "post_id", "t", F.lit(1.0).alias("w"))
-        sizes = words.groupBy(key, "post_id").agg(F.sum("w").alias("size"))
-    rows = words.join(sizes, [key, "post_id"])
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.post_id") < F.col("b.post_id")))
-    met = met.groupBy(F.col(f"a.{key}").alias(key), F.col("a.post_id").alias("x"), F.col("b.post_id").alias("y")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("d"), F.max("a.size").alias("p"), F.max("b.size").alias("q"))
-    like = F.col("d") / (F.col("p") * F.col("q")) if weighted else F.col("d") / (F.col("p") + F.col("q") - F.col("d"))
-    found = met.where(F.round(like, 9) > limit).groupBy(key).agg(F.count(F.lit(1)).alias("n_similar"))
-    out = number.join(found, key, "left").withColumn("n_similar", F.coalesce("n_similar", F.lit(0)))
-    return out.select(key, "n_similar", F.round(F.coalesce(F.try_divide(F.col("n_similar"), F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)), 4).alias("ratio"))

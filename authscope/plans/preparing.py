@@ -230,8 +230,14 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_OK = lambda n, holds: f"(CAST({n} AS DOUBLE) {holds})" if n in _X else "NULL::BOOLEAN"
-_VOTES = ", ".join(f"{{'l': {_q(label)}, 'a': {_OK(n, h)} = (prediction = 'Legit'), 't': CASE WHEN {_OK(n, h)} THEN {_q(good)} WHEN NOT {_OK(n, h)} THEN {_q(bad)} END}}" for n, h, label, good, bad in explain.SIGNALS)
+# The SQL has conditions of its own, in DuckDB's words; a column that the accounts lack is NULL there.
+_HOLDS = """account_age_days > 365|Account age;account_age_days > 90|Account age (90d);has_avatar = 1|Profile photo;is_verified = 1|Verification;photo_is_default_avatar = 0|Avatar (non-default);photo_stock_score < 0.2|Avatar uniqueness;
+photo_ai_generated_score < 0.4|Avatar authenticity;uname_bot_pattern_count = 0|Username pattern;uname_dict_coverage > 0.3|Username readability;uname_digit_ratio < 0.4|Username digits;bio_has_spam = 0|Bio content;bio_has_crypto = 0|Bio (crypto);
+ff_ratio > 0.05 AND ff_ratio < 20|Follower ratio;behav_posting_interval_entropy > 1.5|Posting pattern;behav_burst_post_count = 0|Burst posting;behav_lexical_diversity > 0.3|Content diversity;xp_overall_consistency_score > 0.4|Cross-platform;
+karma > 500|Reddit karma;public_repos >= 3|GitHub repos;suspicion_score < 0.3|Suspicion score"""
+_KNOWN = lambda c: f"({c})" if c.split()[0] in _X else "NULL::BOOLEAN"
+_PAIRS = [tuple(x.strip().split("|")) for x in _HOLDS.split(";")]
+_VOTES = ", ".join(f"{{'l': {_q(label)}, 'a': {_KNOWN(c)} = (prediction = 'Legit'), 't': CASE WHEN {_KNOWN(c)} THEN 'as with real accounts' WHEN NOT {_KNOWN(c)} THEN 'unlike real accounts' END}}" for c, label in _PAIRS)
 _TXT = lambda keep, n: f"list_transform(list_filter(v, lambda x: {keep}), lambda x: x.l || ': ' || x.t)[1:{n}]"
 _COV = "CAST(floor(100 * (20 - len(list_filter(v, lambda x: x.a IS NULL))) / 20) AS INT)"
 _T = list(explain.TIPS.values())
@@ -245,7 +251,8 @@ def rul6_top7_set4_explanation(spark, sf_dir):
     return df.select("account_id", "checked", "agreeing", "coverage_pct", *[F.array_join(c, " / ").alias(c) for c in ("strong", "weak", "missing", "tips")])
 
 
-_ADJ = {n: _OK(n, h) for n, h in explain.ADJUSTING.items() if n in _X}
+_ADJ = ["account_age_days > 365", "has_avatar = 1", "photo_is_default_avatar = 0", "is_verified = 1", "uname_bot_pattern_count = 0", "behav_posting_interval_entropy > 1.5", "ff_ratio > 0.05 AND ff_ratio < 20", "bio_has_spam = 0", "karma > 200", "public_repos >= 2"]
+_ADJ = {c.split()[0]: f"({c})" for c in _ADJ if c.split()[0] in _X}
 _N = " + ".join(f"CAST({n} IS NOT NULL AS INT)" for n in _ADJ)
 _A = " + ".join(f"coalesce(CAST({c} = (prediction = 'Legit') AS INT), 0)" for c in _ADJ.values())
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from authscope.functions import text as T
-from authscope.operators import aggregates, language, similarity, writing
+from authscope.operators import aggregates, language, nearposts, similarity, writing
 from authscope.plans.registry import _TRI, ORACLES, QUERIES, TEMPLATES, query
 from authscope.sources.views import ctes, load
 
@@ -15,6 +15,9 @@ _P, _A, _POSTS = ctes("v_profiles"), ctes("v_accounts"), ctes("v_posts")
 _TOK = lambda c: f"list_filter(string_split_regex(lower({c}), '\\s+'), lambda x: x <> '')"
 _N = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
 _BIO_EMOJI = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in writing.BIO_EMOJI) + "]"
+# The SQL has lists of its own.
+_GOOD = "['good', 'great', 'love', 'happy', 'excellent', 'amazing', 'wonderful', 'best', 'awesome', 'fantastic', 'beautiful', 'positive', 'success', 'win', 'perfect', 'nice', 'brilliant', 'enjoy', 'thanks', 'thank']"
+_BAD = "['bad', 'hate', 'terrible', 'awful', 'worst', 'horrible', 'disgusting', 'fail', 'failure', 'sad', 'angry', 'disappointed', 'ugly', 'poor', 'wrong', 'broken', 'false', 'spam', 'scam', 'fake', 'fraud']"
 _HITS = lambda w, known: f"len(list_intersect({w}, {known}))"
 _TOPIC = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(ws)}') THEN '{t}'" for t, ws in writing.TOPICS.items()) + " ELSE 'other' END"
 
@@ -25,7 +28,7 @@ def agg19_topics(spark, sf_dir):
 
 
 _CONTENT = f"""WITH {_POSTS}, r AS (SELECT account_id, text, {_TOK('text')} AS w, list_filter(string_split_regex(text, '[.!?]+'), lambda s: regexp_matches(s, '\\S')) AS s FROM v_posts WHERE regexp_matches(text, '\\S')),
- c AS (SELECT account_id, w, len(w) AS words, len(s) AS sentences, coalesce(list_sum(list_transform(s, lambda x: {_N('x', chr(92) + 'S+')})), 0) AS sw, {_HITS('w', writing.POSITIVE)} AS p, {_HITS('w', writing.NEGATIVE)} AS g, {_N('text', _BIO_EMOJI)} AS emoji, {_N('text', '#[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]+')} AS tags, {_N('text', chr(92) + 'p{Lu}')} AS caps, length(text) AS chars,
+ c AS (SELECT account_id, w, len(w) AS words, len(s) AS sentences, coalesce(list_sum(list_transform(s, lambda x: {_N('x', chr(92) + 'S+')})), 0) AS sw, {_HITS('w', _GOOD)} AS p, {_HITS('w', _BAD)} AS g, {_N('text', _BIO_EMOJI)} AS emoji, {_N('text', '#[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]+')} AS tags, {_N('text', chr(92) + 'p{Lu}')} AS caps, length(text) AS chars,
  CAST(regexp_matches(text, '(?i)https?://|www\\.|bit\\.ly|tinyurl|t\\.co') AS INT) AS url, CAST(len(list_filter(w, lambda x: x LIKE '@%')) > 0.30E0 * len(w) AS INT) AS mentions FROM r), m AS (SELECT *, CASE WHEN p + g = 0 THEN 0.0E0 ELSE (p - g) / (p + g) END AS mood FROM c),
  k AS (SELECT account_id, count(DISTINCT x) AS kinds FROM (SELECT account_id, unnest(w) AS x FROM r) GROUP BY account_id)
  SELECT account_id, round(coalesce(max(kinds), 0) / greatest(sum(words), 1), 4) AS vocabulary_richness, round(sum(sw) / greatest(sum(sentences), 1), 4) AS avg_sentence_length, round(avg(mood), 4) AS sentiment_mean, round(var_pop(mood), 4) AS sentiment_variance, round(sum(emoji) / greatest(sum(words), 1), 4) AS emoji_ratio,
@@ -111,12 +114,25 @@ _RATIO = "SELECT account_id, coalesce(k, 0) AS n_similar, round(CASE WHEN n > 1
 
 @query(f"WITH {_POSTS}, {_WORDSET('[^' + chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D]+')}, z AS (SELECT account_id, post_id, count(*) AS s FROM w GROUP BY ALL), m AS (SELECT a.account_id, a.post_id AS x, b.post_id AS y, count(*) AS d FROM w a JOIN w b ON a.account_id = b.account_id AND a.t = b.t AND a.post_id < b.post_id GROUP BY ALL), hit AS (SELECT m.account_id, count(*) AS k FROM m JOIN z p ON p.account_id = m.account_id AND p.post_id = x JOIN z q ON q.account_id = m.account_id AND q.post_id = y WHERE round(d / (p.s + q.s - d), 9) > 0.7 GROUP BY m.account_id) {_RATIO}")
 def jon12_similar_posts(spark, sf_dir):
-    return writing.similar_posts(load(spark, sf_dir, "v_posts"), 0.7, False)
+    return nearposts.similar_posts(load(spark, sf_dir, "v_posts"), 0.7, False)
 
 
-@query(f"WITH {_POSTS}, {_WORDSET('[a-z0-9_]{2,}')}, f AS (SELECT account_id, t, count(*) AS df FROM w GROUP BY ALL), v AS (SELECT w.account_id, post_id, t, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM w JOIN f USING (account_id, t) JOIN num USING (account_id)), z AS (SELECT account_id, post_id, sqrt(sum(w * w)) AS s FROM v GROUP BY ALL), m AS (SELECT a.account_id, a.post_id AS x, b.post_id AS y, sum(a.w * b.w) AS d FROM v a JOIN v b ON a.account_id = b.account_id AND a.t = b.t AND a.post_id < b.post_id GROUP BY ALL), hit AS (SELECT m.account_id, count(*) AS k FROM m JOIN z p ON p.account_id = m.account_id AND p.post_id = x JOIN z q ON q.account_id = m.account_id AND q.post_id = y WHERE round(d / (p.s * q.s), 9) > 0.85 GROUP BY m.account_id) {_RATIO}")
+@query(f"WITH {_POSTS}, {_WORDSET('[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]{2,}')}, f AS (SELECT account_id, t, count(*) AS df FROM w GROUP BY ALL), v AS (SELECT w.account_id, post_id, t, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM w JOIN f USING (account_id, t) JOIN num USING (account_id)), z AS (SELECT account_id, post_id, sqrt(sum(w * w)) AS s FROM v GROUP BY ALL), m AS (SELECT a.account_id, a.post_id AS x, b.post_id AS y, sum(a.w * b.w) AS d FROM v a JOIN v b ON a.account_id = b.account_id AND a.t = b.t AND a.post_id < b.post_id GROUP BY ALL), hit AS (SELECT m.account_id, count(*) AS k FROM m JOIN z p ON p.account_id = m.account_id AND p.post_id = x JOIN z q ON q.account_id = m.account_id AND q.post_id = y WHERE round(d / (p.s * q.s), 9) > 0.85 GROUP BY m.account_id) {_RATIO}")
 def jon11_duplicate_posts(spark, sf_dir):
-    return writing.similar_posts(load(spark, sf_dir, "v_posts"), 0.85, True)
+    return nearposts.similar_posts(load(spark, sf_dir, "v_posts"), 0.85, True)
+
+
+_SIM = "sum(n) AS n, " + ", ".join(f"sum(n * ((h >> {b}) & 1)) AS v{b}" for b in range(64))
+_FP = " | ".join(f"(CASE WHEN 2 * v{b} > n THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END)" for b in range(64))
+
+
+@query(f"""WITH RECURSIVE {_POSTS}, c AS (SELECT account_id, post_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS s FROM v_posts), g AS (SELECT account_id, post_id, unnest(list_transform(range(1, greatest(length(s) - 3, 1) + 1), lambda i: substr(s, CAST(i AS INT), 4))) AS r FROM c),
+ k AS (SELECT account_id, post_id, r, count(*) AS n FROM g GROUP BY ALL), u AS (SELECT r, ('0x' || right(md5(r), 16))::UBIGINT AS h FROM (SELECT DISTINCT r FROM k)), v AS (SELECT account_id, post_id, {_SIM} FROM k JOIN u USING (r) GROUP BY ALL),
+ f AS (SELECT account_id, {_FP} AS fp, row_number() OVER (PARTITION BY account_id ORDER BY post_id) AS i FROM v), w AS (SELECT account_id, 1::BIGINT AS i, [fp] AS leaders FROM f WHERE i = 1
+ UNION ALL SELECT w.account_id, f.i, CASE WHEN len(list_filter(leaders, lambda x: bit_count(xor(x, fp)) <= 3)) > 0 THEN leaders ELSE list_append(leaders, fp) END FROM w JOIN f ON f.account_id = w.account_id AND f.i = w.i + 1)
+ SELECT account_id, CAST(max(len(leaders)) AS BIGINT) AS clusters FROM w GROUP BY account_id""")
+def jon13_post_clusters(spark, sf_dir):
+    return nearposts.cluster_counts(load(spark, sf_dir, "v_posts"))
 
 
 # rates and platform aggregates
