@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from authscope.operators.quantiles import medians, quantiles
+
 
 def confusion(df: DataFrame, pred: str = "pred", label: str = "y") -> DataFrame:
     """One row of counts and metrics; division by zero gives 0."""
@@ -19,7 +21,16 @@ def statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, n, missing_pct, mean, std, min, max, median) of each column."""
     long = df.unpivot([], columns, "feature", "value")
     v = F.col("value")
-    return long.groupBy("feature").agg(F.count(v).alias("n"), F.round(100 * F.avg(v.isNull().cast("int")), 2).alias("missing_pct"), F.round(F.avg(v), 3).alias("mean"), F.round(F.stddev_samp(v), 3).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.median(v), 3).alias("median"))
+    rows = long.groupBy("feature").agg(F.count(v).alias("n"), F.round(100 * F.avg(v.isNull().cast("int")), 2).alias("missing_pct"), F.round(F.avg(v), 3).alias("mean"), F.round(F.stddev_samp(v), 3).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return rows.join(medians(df, columns).select("feature", F.round("median", 3).alias("median")), "feature", "left")
+
+
+def confidence_spread(df: DataFrame, by: str, confidence: str = "confidence", low: float = 60) -> DataFrame:
+    """(by, n, mean, median, low, low_pct) of the confidence; low is below 60."""
+    c = F.col(confidence)
+    rows = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(c), 4).alias("mean"), F.count_if(c < low).alias("low"), F.round(100 * F.avg((c < low).cast("int")), 2).alias("low_pct"))
+    middle = quantiles(df, confidence, [0.5], [by]).select(F.col(by).alias("_by"), F.round(F.col("q")[0], 4).alias("median"))
+    return rows.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean", "median", "low", "low_pct")
 
 
 def psi(df: DataFrame, side: str, columns: list[str], bins: int = 10) -> DataFrame:

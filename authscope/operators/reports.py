@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from authscope.operators.quantiles import medians
+
 
 def fake_rate(df: DataFrame, by: str, flag: Column) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg(flag.cast("int")), 1).alias("fake_rate"))
@@ -46,8 +48,9 @@ def histograms(df: DataFrame, cls: str, features: list[str], bins: int = 20) ->
 
 def platform_defaults(df: DataFrame, features: list[str], fixed: dict[str, float], by: str = "platform") -> DataFrame:
     """Medians over the legit rows of each platform, over fixed defaults where there are none."""
-    mine = df.groupBy(by).agg(*[F.median(F.when(F.col("y") == 0, F.col(c))).alias(c) for c in features])
-    return mine.select(by, *[F.coalesce(c, F.lit(fixed.get(c, 0.0))).alias(c) for c in features])
+    legit = medians(df.where("y = 0"), features, [by]).groupBy(by).agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in features])
+    mine = df.select(F.col(by).alias("_by")).distinct().join(legit, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return mine.select(F.col("_by").alias(by), *[F.coalesce(c, F.lit(fixed.get(c, 0.0))).alias(c) for c in features])
 
 
 def totals(df: DataFrame, by: str, corrected: Column, pending: Column) -> DataFrame:

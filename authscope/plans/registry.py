@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authscope.functions import text as T
-from authscope.operators import activity, calibration, graph, monitor, profiles, rules, similarity
+from authscope.operators import activity, calibration, graph, monitor, profiles, rules, scaling, similarity
 from authscope.sources.views import ctes, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,12 +79,17 @@ def prj9_group_weights(spark, sf_dir):
     return profiles.weighted(df, ["account_id"])
 
 
-@query(f"WITH {ctes('v_profiles')}, q AS (SELECT quantile_cont(followers, 0.75) - quantile_cont(followers, 0.25) AS iqr, median(followers) AS m FROM v_profiles) SELECT account_id, round(ln(1 + greatest(followers, 0)), 6) AS log_followers, round(followers / iqr, 6) AS scaled, round((followers - m) / iqr, 6) AS centred FROM v_profiles, q")
+# The columns of the log step under the names that profiles give them, and one that is only scaled.
+_POWER = {"total_views": "avg_views", "snap_score": "score", "total_likes": "likes", "total_stars": "star_received_total"} | {c: c for c in ("followers", "following", "posts", "tweets", "subscribers", "post_karma", "comment_karma", "listed_count", "friends", "videos", "likes", "account_age_days")}
+
+
+@query(f"""WITH {ctes('v_accounts')}, l AS (SELECT account_id, unnest([{', '.join(f"'{n}'" for n in _POWER)}]) AS feature, unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in _POWER.values())}]) AS v FROM v_accounts),
+ t AS (SELECT account_id, feature, CASE WHEN feature = 'account_age_days' OR v IS NULL THEN v ELSE ln(1 + greatest(v, 0)) END AS v FROM l), q AS (SELECT feature, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, median(v) AS m FROM t GROUP BY feature)
+ SELECT account_id, feature, round(v, 6) AS logged, round(v / CASE iqr WHEN 0 THEN 1 ELSE iqr END, 6) AS scaled, round((v - m) / CASE iqr WHEN 0 THEN 1 ELSE iqr END, 6) AS centred FROM t JOIN q USING (feature)""")
 def prj10_prj11_scaling(spark, sf_dir):
-    df = load(spark, sf_dir, "v_profiles").select("account_id", "followers")
-    q = df.agg(F.percentile("followers", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return df.crossJoin(F.broadcast(q)).select("account_id", F.round(F.log1p(F.greatest("followers", F.lit(0))), 6).alias("log_followers"), F.round(F.col("followers") / iqr, 6).alias("scaled"), F.round((F.col("followers") - F.col("q")[1]) / iqr, 6).alias("centred"))
+    df = load(spark, sf_dir, "v_accounts").select("account_id", *[F.col(c).alias(n) for n, c in _POWER.items()])
+    out = scaling.scaled(df, list(_POWER), "account_id")
+    return out.select("account_id", "feature", *[F.round(c, 6).alias(c) for c in ("logged", "scaled", "centred")])
 
 
 @query(f"""WITH {ctes('v_profiles')}, s AS (SELECT *, regexp_replace(lower(username), '[^a-z]', '', 'g') AS letters FROM v_profiles)
@@ -182,8 +187,7 @@ def agg13_agg15_psi(spark, sf_dir):
 
 @query(f"WITH {_SCORED} SELECT platform, count(*) AS n, round(avg(confidence), 4) AS mean, round(median(confidence), 4) AS median, count(*) FILTER (confidence < 60) AS low, round(100 * avg(CAST(confidence < 60 AS INT)), 2) AS low_pct FROM scored GROUP BY platform")
 def agg12_confidence(spark, sf_dir):
-    c = F.col("confidence")
-    return scored(spark, sf_dir).groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(c), 4).alias("mean"), F.round(F.median(c), 4).alias("median"), F.count_if(c < 60).alias("low"), F.round(100 * F.avg((c < 60).cast("int")), 2).alias("low_pct"))
+    return monitor.confidence_spread(scored(spark, sf_dir), "platform")
 
 
 @query(f"WITH {ctes('v_scores')} SELECT round(avg(pow(raw_proba - y, 2)), 6) AS brier FROM v_scores")

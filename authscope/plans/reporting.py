@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from authscope.operators import content, profiles, reports
+from authscope.operators import content, profiles, reports, scaling
 from authscope.plans.registry import _SCORED, MARKED, query, scored
 from authscope.sources.views import PLATFORMS, ctes, load
 
@@ -130,7 +130,7 @@ def jon22_network_sample(spark, sf_dir):
 @query(f"WITH {ctes('v_profiles')}, m AS (SELECT median(followers) FILTER (account_id % 3 <> 0) AS m FROM v_profiles) SELECT account_id, CASE WHEN account_id % 3 = 0 THEN m ELSE followers END AS followers FROM v_profiles, m")
 def prj12_median_fill(spark, sf_dir):
     df = load(spark, sf_dir, "v_profiles").select("account_id", F.when(F.col("account_id") % 3 != 0, F.col("followers").cast("double")).alias("followers"))
-    return df.crossJoin(F.broadcast(df.agg(F.median("followers").alias("m")))).select("account_id", F.coalesce("followers", "m").alias("followers"))  # one row
+    return scaling.filled(df, ["followers"])
 
 
 @query(f"WITH {ctes('v_accounts')}, m AS (SELECT *, CASE WHEN platform = 'x' THEN tweets END AS t, CASE WHEN label = 'none' THEN 1 END AS never FROM v_accounts WHERE platform <> 'x'), l AS (SELECT unnest(['followers', 'tweets', 'never', 'posts']) AS feature, unnest([followers, t, never, posts]) AS v FROM m), c AS (SELECT feature FROM l GROUP BY feature HAVING count(v) = 0) SELECT feature, (SELECT count(*) FROM c) > greatest(1, 0.25E0 * 4) AS warn FROM c")
