@@ -36,10 +36,14 @@ def binary(c: Column) -> Column:
     return (F.lower(c) == "fake").cast("int")
 
 
+def unpacked(reviewed: DataFrame, features: str) -> DataFrame:
+    """(account_id, features, label) of corrected reviews, their features out of JSON."""
+    return reviewed.select("account_id", F.from_json("profile_data_json", features).alias("f"), binary(F.col("corrected_label")).alias("label")).select("account_id", "f.*", "label")
+
+
 def retraining(reviewed: DataFrame, first: DataFrame, features: str) -> DataFrame:
-    """Corrected reviews, their features unpacked from JSON, and the rows of the first training; what a side lacks is NULL."""
-    sent = reviewed.select("account_id", F.from_json("profile_data_json", features).alias("f"), binary(F.col("corrected_label")).alias("label")).select("account_id", "f.*", "label")
-    return sent.unionByName(first.withColumn("label", binary(F.col("label"))), allowMissingColumns=True)
+    """Corrected reviews and the rows of the first training; what a side lacks is NULL."""
+    return unpacked(reviewed, features).unionByName(first.withColumn("label", binary(F.col("label"))), allowMissingColumns=True)
 
 
 def calibration_rows(df: DataFrame) -> DataFrame:

@@ -75,10 +75,6 @@ def latest_valid(df: DataFrame, keys: list[str], now: Column) -> DataFrame:
     return newest.where((F.col("_r") == 1) & (F.col("expires_at") > now)).drop("_r")
 
 
-def seen_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen_count"), F.min("first_seen").alias("first_seen"))
-
-
 def chained(df: DataFrame, cls: str, order: str, size: Column, most: int = 15) -> DataFrame:
     """Up to ``most`` nodes of a class, each linked to the next, with a drawing size between 8 and 40."""
     w = Window.partitionBy(cls).orderBy(order)

@@ -24,7 +24,6 @@ BUZZWORDS = ["guru", "ninja", "visionary", "rockstar", "unicorn", "wizard", "eva
 SHORTENERS = ["bit.ly", "t.co", "goo.gl", "tinyurl.com", "ow.ly", "buff.ly", "dlvr.it", "ift.tt", "fb.me", "youtu.be", "amzn.to", "is.gd", "short.io", "shorturl.at", "rb.gy", "cutt.ly"]
 BIO_EMOJI = [(0x1F300, 0x1FAFF), (0x2600, 0x27BF), (0xFE00, 0xFE0F), (0x1F000, 0x1F02F)]
 SPAM_URL = r"(?i)https?://|www\.|bit\.ly|tinyurl|t\.co"
-LANGUAGE_WORDS = {"en": ["the", "of", "and", "to", "in", "is", "that", "it"], "de": ["der", "die", "und", "das", "ist", "ein", "von", "den"], "fr": ["le", "les", "et", "des", "une", "est", "que", "dans"], "es": ["el", "los", "y", "una", "es", "por", "con", "del"]}
 
 
 def tokens(c: Column) -> Column:
@@ -99,28 +98,6 @@ def buzzword_share(c: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(F.size(F.filter(words, lambda w: w.isin(BUZZWORDS))), F.size(words)), 4), F.lit(0.0))
 
 
-def among(known: list[str]):
-    return lambda w: w.isin(known)
-
-
-def language_of(words: Column) -> Column:
-    """The language whose frequent words stand most often, the first of equals; ``unknown`` below three words or without any."""
-    hits = F.array(*[F.struct(F.size(F.filter(words, among(ws))).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, ws) in enumerate(LANGUAGE_WORDS.items())])
-    best = F.array_max(hits)
-    return F.when((F.size(words) >= 3) & (best["n"] > 0), best["name"]).otherwise("unknown")
-
-
-def language_consistency(people: DataFrame, posts: DataFrame, most: int = 10, key: str = "account_id") -> DataFrame:
-    """(key, consistency): 1 if bio and the first ``most`` posts are in one language, 0 if not, 0.5 where that is unknown."""
-    first = posts.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("post_id"))).where(F.col("_r") <= most)
-    hits = first.withColumn("_w", tokens(F.col("text"))).groupBy(key).agg(F.sum(F.size("_w")).alias("_n"), *[F.sum(F.size(F.filter("_w", among(ws)))).alias(f"_{name}") for name, ws in LANGUAGE_WORDS.items()])
-    best = F.array_max(F.array(*[F.struct(F.col(f"_{name}").alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, name in enumerate(LANGUAGE_WORDS)]))
-    spoken = hits.select(key, F.when((F.col("_n") >= 3) & (best["n"] > 0), best["name"]).otherwise("unknown").alias("_posts"))
-    rows = people.select(key, language_of(tokens(F.coalesce("bio", F.lit("")))).alias("_bio")).join(spoken, key, "left")
-    unknown = (F.col("_bio") == "unknown") | (F.coalesce("_posts", F.lit("unknown")) == "unknown")
-    return rows.select(key, F.when(unknown, 0.5).when(F.col("_bio") == F.col("_posts"), 1.0).otherwise(0.0).alias("consistency"))
-
-
 def jaro_winkler(a: str, b: str) -> float:
     """Prefix of four, weight 0.1, for strings of a likeness above 0.7."""
     if a == b:

@@ -178,11 +178,28 @@ def mdl18_stability(spark, sf_dir):
 
 
 @query()
-def mdl19_mdl20_history(spark, sf_dir):
-    """A row of metrics for each platform that can be trained, on folds of its own."""
+def mdl19_history(spark, sf_dir):
+    """A row of metrics for each platform that can be trained, on rows held out."""
     return training.history(examples(spark, sf_dir), FEATURES)
 
 
+@query()
+def mdl3_cross_validation(spark, sf_dir):
+    """Means over stratified folds of a vote's metrics on rows it has not seen."""
+    return training.cross_validated(training.out_of_fold(examples(spark, sf_dir), FEATURES))
+
+
+@query()
+def mdl20_retraining(spark, sf_dir):
+    """A vote trained anew on the first rows and on all corrected reviews, by folds: what it says of rows it has not seen."""
+    from authscope.operators import feedback
+    from authscope.plans import files
+
+    sent = files.reviews(spark, sf_dir).withColumn("profile_data_json", F.to_json(F.struct("followers", "posts"))).where("corrected_label is not null")
+    first = load(spark, sf_dir, "v_profiles").where("label is not null").select("account_id", "followers", "posts", feedback.binary(F.col("label")).alias("label"))
+    return training.cross_validated(training.retrained(first, feedback.unpacked(sent, "followers double, posts double"), ["followers", "posts"])[1])
+
+
 @query()
 def prj27_noise(spark, sf_dir):
     return training.noisy(examples(spark, sf_dir), FEATURES)

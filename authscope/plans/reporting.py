@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from authscope.operators import content, profiles, reports, scaling
 from authscope.plans.registry import _SCORED, MARKED, query, scored
+from authscope.sources import tables, versions
 from authscope.sources.views import PLATFORMS, ctes, load
 
 _Y = "CASE WHEN lower(label) = 'fake' THEN 1 WHEN lower(label) = 'legit' THEN 0 END"
@@ -161,7 +162,18 @@ def src19_presence_cache(spark, sf_dir):
     return reports.latest_valid(df, ["account_id", "kind"], now).select("account_id", "kind", "checked_at")
 
 
-@query("SELECT CAST(floor(embedding[1] * 1000) AS BIGINT) AS phash, CAST(vec_id % 10 AS BIGINT) AS platform, count(*) AS seen_count, min(vec_id) AS first_seen FROM embeddings GROUP BY ALL")
+_SEEN = """s AS (SELECT list_sum([CASE WHEN embedding[i + 1] > 0 THEN 1 << i ELSE 0 END for i in range(8)])::BIGINT AS phash, CASE WHEN label = 1 THEN 'x' ELSE 'github' END AS platform, CAST(vec_id // 7 AS VARCHAR) AS profile, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(vec_id % 700 AS INT)) AS seen_at, vec_id % 3 AS round FROM embeddings)"""
+
+
+@query(f"WITH {_SEEN} SELECT phash, platform, profile, count(*) AS seen_count, epoch_us(min(seen_at)) AS first_seen, epoch_us(max(seen_at)) AS last_seen FROM s GROUP BY ALL")
 def src20_avatar_registry(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("embedding")[0] * 1000).cast("long").alias("phash"), (F.col("vec_id") % 10).cast("long").alias("platform"), F.col("vec_id").alias("first_seen"))
-    return reports.seen_counts(df, ["phash", "platform"])
+    """Sightings come in three rounds, each merged into the version before."""
+    bits = F.transform(F.slice("embedding", 1, 8), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("vec_id") % 700 * 3600)
+    seen = e.select("vec_id", F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a + x).alias("phash"), F.when(F.col("label") == 1, "x").otherwise("github").alias("platform"), F.floor(F.col("vec_id") / 7).cast("string").alias("profile"), at.alias("seen_at"))
+    registry = versions.Versions(spark, tables.shared_folder(spark, "avatars"), versions.REGISTRY)
+    for k in range(3):
+        versions.register_avatars(registry, seen.where(F.col("vec_id") % 3 == k))
+    return registry.read().withColumns({c: F.unix_micros(c) for c in ("first_seen", "last_seen")})
+

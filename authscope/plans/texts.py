@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from authscope.functions import text as T
-from authscope.operators import aggregates, language, nearposts, similarity, writing
+from authscope.operators import aggregates, language, nearposts, ngrams, similarity, writing
 from authscope.plans.registry import _TRI, ORACLES, QUERIES, TEMPLATES, query
 from authscope.sources.views import ctes, load
 
@@ -81,16 +81,39 @@ def str18_word_cosine(spark, sf_dir):
     return writing.word_cosine(load(spark, sf_dir, "v_accounts").select("account_id", F.col("headline").alias("text")), load(spark, sf_dir, "v_posts"), "account_id")
 
 
-_LANGS = writing.LANGUAGE_WORDS
-_LN = ", ".join(f"CAST(sum(len(list_filter(w, lambda x: x IN ({', '.join(map(repr, ws))})))) AS BIGINT) AS n_{n}" for n, ws in _LANGS.items())
-_MAX = f"greatest({', '.join(f'n_{n}' for n in _LANGS)})"
-_WHICH = f"CASE WHEN n < 3 OR {_MAX} = 0 THEN 'unknown' " + " ".join(f"WHEN n_{n} = {_MAX} THEN '{n}'" for n in _LANGS) + " END"
+# Rank profiles of character n-grams, learned from thirteen sixteenths of the documents.
+def _grams(name: str, key: str, src: str, where: str = "true") -> str:
+    """CTEs {name}w: words by key; {name}r: ranks of grams; {name}z: number of words."""
+    return f"""{name}w AS (SELECT {key}, w, count(*) AS c FROM (SELECT {key}, unnest(string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g')), ' ')) AS w FROM {src} WHERE {where}) WHERE w <> '' GROUP BY ALL),
+ {name}g AS (SELECT {key}, g, sum(c) AS n FROM (SELECT {key}, c, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, length(w) + 4 - k), lambda i: substr(' ' || w || ' ', CAST(i AS INT), CAST(k AS INT)))))) AS g FROM {name}w) WHERE g <> ' ' GROUP BY ALL),
+ {name}r AS (SELECT {key}, g, r FROM (SELECT {key}, g, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, g) AS r FROM {name}g) WHERE r <= 300), {name}z AS (SELECT {key}, sum(c) AS z FROM {name}w GROUP BY {key})"""
 
 
-@query(f"""WITH {_P}, {_POSTS}, b AS (SELECT account_id, sum(len(w)) AS n, {_LN} FROM (SELECT account_id, {_TOK("coalesce(bio, '')")} AS w FROM v_profiles) GROUP BY account_id), f AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY post_id) AS r FROM v_posts), p AS (SELECT account_id, sum(len(w)) AS n, {_LN} FROM (SELECT account_id, {_TOK('text')} AS w FROM f WHERE r <= 10) GROUP BY account_id),
- x AS (SELECT account_id, {_WHICH} AS bl FROM b), y AS (SELECT account_id, {_WHICH} AS pl FROM p) SELECT account_id, CASE WHEN bl = 'unknown' OR coalesce(pl, 'unknown') = 'unknown' THEN 0.5E0 WHEN bl = pl THEN 1.0E0 ELSE 0.0E0 END AS consistency FROM x LEFT JOIN y USING (account_id)""")
+def _tags(name: str, key: str) -> str:
+    """CTE {name}t: nearest profile and its distance."""
+    return f"""{name}m AS (SELECT {key}, lang, count(*) AS n, sum(abs({name}r.r - pr.r)) AS d FROM {name}r JOIN pr USING (g) GROUP BY ALL), {name}a AS (SELECT {key}, count(*) AS a FROM {name}r GROUP BY {key}),
+ {name}t AS (SELECT {key}, CASE WHEN z >= 3 THEN lang END AS tag, distance FROM (SELECT {key}, lang, CAST(d + 300 * (a - n) AS BIGINT) AS distance, row_number() OVER (PARTITION BY {key} ORDER BY d + 300 * (a - n), lang) AS o FROM {name}m JOIN {name}a USING ({key})) JOIN {name}z USING ({key}) WHERE o = 1)"""
+
+
+_HELD = "substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2')"
+
+
+def language_profiles(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ngrams.profiles(docs.where(~ngrams.held_out(F.col("doc_id"))))
+
+
+@query(f"""WITH {_P}, {_POSTS}, {_grams('p', 'lang', 'documents', f'lang IS NOT NULL AND NOT {_HELD}')}, b AS (SELECT account_id, coalesce(bio, '') AS text FROM v_profiles), f AS (SELECT account_id, text FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY post_id) AS r FROM v_posts) WHERE r <= 10),
+ {_grams('b', 'account_id', 'b')}, {_tags('b', 'account_id')}, {_grams('f', 'account_id', 'f')}, {_tags('f', 'account_id')} SELECT account_id, CASE WHEN bt.tag IS NULL OR ft.tag IS NULL THEN 0.5E0 WHEN bt.tag = ft.tag THEN 1.0E0 ELSE 0.0E0 END AS consistency FROM v_profiles LEFT JOIN bt USING (account_id) LEFT JOIN ft USING (account_id)""")
 def str22_language(spark, sf_dir):
-    return writing.language_consistency(load(spark, sf_dir, "v_profiles"), load(spark, sf_dir, "v_posts"))
+    return ngrams.consistency(load(spark, sf_dir, "v_profiles"), load(spark, sf_dir, "v_posts"), language_profiles(spark, sf_dir))
+
+
+@query(f"WITH {_grams('p', 'lang', 'documents', f'lang IS NOT NULL AND NOT {_HELD}')}, {_grams('d', 'doc_id', 'documents')}, {_tags('d', 'doc_id')} SELECT doc_id, {_HELD} AS held_out, tag, distance FROM dt")
+def str22_language_tags(spark, sf_dir):
+    """The language of every document by profiles that the held-out ones had no part in."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ngrams.told(docs.select("doc_id", "text"), language_profiles(spark, sf_dir), ["doc_id"]).withColumn("held_out", ngrams.held_out(F.col("doc_id")))
 
 
 _HL = "CASE account_id % 3 WHEN 0 THEN 'Growth Guru and Rockstar, ex ninja' WHEN 1 THEN headline END"
