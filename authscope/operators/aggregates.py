@@ -39,15 +39,18 @@ def repositories(df: DataFrame, key: str = "account_id") -> DataFrame:
 
 
 def comments(df: DataFrame, people: DataFrame, key: str = "account_id") -> DataFrame:
-    """Of (is_comment, community, fought, text) and of ``people(karma, account_age_days)``."""
+    """Of (is_comment, community, fought, text, ts) and of ``people(karma, account_age_days)``; the entropy is that of the hours, base 2."""
     c = F.col("is_comment")
     words = F.regexp_count("text", F.lit(WORD))
-    per = df.groupBy(key).agg(F.count_if(c).alias("c"), F.count_if(~c).alias("p"), F.count_distinct("community").alias("n"), F.count_if(c & F.col("fought")).alias("f"), F.avg(F.when(c, words)).alias("w"))
+    per = df.groupBy(key).agg(F.count_if(c).alias("c"), F.count_if(~c).alias("p"), F.count_distinct("community").alias("n"), F.count_if(c & F.col("fought")).alias("f"), F.avg(F.when(c, words)).alias("w"), *[F.count_if(F.hour("ts") == h).alias(f"h{h}") for h in range(24)])
     both = per.join(people, key)
+    hours = F.filter(F.array(*[F.col(f"h{h}").cast("double") for h in range(24)]), lambda n: n > 0)
+    total = F.aggregate(hours, F.lit(0.0), lambda s, n: s + n)
+    entropy = F.aggregate(hours, F.lit(0.0), lambda s, n: s - n / total * F.log2(n / total))
     active = F.greatest("c", F.lit(1)) + F.greatest("p", F.lit(1))
     return both.select(
         key, share(F.col("karma"), F.col("account_age_days")).alias("karma_per_day"), share(F.col("c"), F.col("p")).alias("comment_to_post_ratio"), F.round(F.col("n") / active, 4).alias("subreddit_diversity"), F.round(F.coalesce("w", F.lit(0.0)), 4).alias("avg_comment_length"),
-        share(F.col("f"), F.col("c")).alias("controversial_ratio"), F.round(F.col("karma") / active, 4).alias("karma_to_activity_ratio"),
+        share(F.col("f"), F.col("c")).alias("controversial_ratio"), F.round(F.abs(entropy), 4).alias("posting_time_entropy"), F.round(F.col("karma") / active, 4).alias("karma_to_activity_ratio"),
     )
 
 

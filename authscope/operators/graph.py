@@ -40,14 +40,21 @@ def neighbour_share(edges: DataFrame, flags: DataFrame) -> DataFrame:
     return both.join(flags.select(F.col("account_id").alias("dst"), "flag"), "dst", "left").groupBy(F.col("src").alias("account_id")).agg(F.round(F.avg(F.coalesce("flag", F.lit(0))), 4).alias("share"))
 
 
-def communities(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """(account_id, community) by ``rounds`` of label propagation: all nodes at once take the most frequent label among their neighbours, the least of equals."""
+def communities(edges: DataFrame, most: int = 10) -> tuple[DataFrame, int, int]:
+    """((account_id, community), rounds, changed) by label propagation: all nodes at once take the most frequent label among their neighbours, the least of equals.
+
+    Rounds end when no label changes, or after ``most``, as labels may swing for ever between two sides of a graph; ``changed`` is how many the
+    last round changed, 0 if they have settled.
+    """
     both = tables.settled(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
-    labels = both.select(F.col("src").alias("account_id")).distinct().withColumn("community", F.col("account_id"))
-    for _ in range(rounds):
+    labels, rounds, changed = tables.settled(both.select(F.col("src").alias("account_id")).distinct().withColumn("community", F.col("account_id"))), 0, 1
+    while changed and rounds < most:
         heard = both.join(labels.withColumnRenamed("account_id", "dst"), "dst").groupBy("src", "community").agg(F.count(F.lit(1)).alias("n"))
-        labels = tables.settled(heard.groupBy(F.col("src").alias("account_id")).agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community")))
-    return labels
+        new = heard.groupBy(F.col("src").alias("account_id")).agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community"))
+        step = tables.settled(new.join(labels.withColumnRenamed("community", "_old"), "account_id"))
+        changed = step.where("community <> _old").count()
+        labels, rounds = step.select("account_id", "community"), rounds + 1
+    return labels, rounds, changed
 
 
 def same_community(edges: DataFrame, groups: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,33 +99,53 @@ def buzzword_share(c: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(F.size(F.filter(words, lambda w: w.isin(BUZZWORDS))), F.size(words)), 4), F.lit(0.0))
 
 
-def jaro_winkler(a: str, b: str) -> float:
-    """Prefix of four, weight 0.1, for strings of a likeness above 0.7."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken, mine = [False] * len(b), []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(i + reach + 1, len(b))):
-            if not taken[j] and b[j] == x:
-                taken[j] = True
-                mine.append(x)
-                break
-    if not mine:
-        return 0.0
-    turned = sum(x != y for x, y in zip(mine, (y for y, t in zip(b, taken) if t))) // 2
-    m = len(mine)
-    jaro = (m / len(a) + m / len(b) + (m - turned) / m) / 3
-    same = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
-    return jaro + same * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+def codes(texts: list[str], pad: int) -> np.ndarray:
+    """Code points of the texts, a row each, padded with ``pad``."""
+    out = np.full((len(texts), max(map(len, texts), default=0)), pad, np.int32)
+    for i, t in enumerate(texts):
+        out[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), "<i4")
+    return out
+
+
+def in_front(values: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The marked values of each row first, in order."""
+    return np.take_along_axis(values, np.argsort(~marks, axis=1, kind="stable"), axis=1)
+
+
+def jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:
+    """Of each pair; prefix of four, weight 0.1, for strings of a likeness above 0.7. All pairs go through the characters together."""
+    a, b = codes(left, -1), codes(right, -2)
+    m, n = np.array([len(t) for t in left]), np.array([len(t) for t in right])
+    reach = np.maximum(np.maximum(m, n) // 2 - 1, 0)
+    mine, taken = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+    for i in range(a.shape[1]):
+        for j in range(max(0, i - int(reach.max(initial=0))), min(b.shape[1], i + int(reach.max(initial=0)) + 1)):
+            hit = (a[:, i] == b[:, j]) & ~mine[:, i] & ~taken[:, j] & (abs(i - j) <= reach)
+            mine[:, i] |= hit
+            taken[:, j] |= hit
+    same = mine.sum(axis=1)
+    width = min(a.shape[1], b.shape[1])
+    turned = ((in_front(a, mine)[:, :width] != in_front(b, taken)[:, :width]) & (np.arange(width) < same[:, None])).sum(axis=1) // 2
+    count = np.maximum(same, 1)
+    jaro = np.where(same > 0, (same / np.maximum(m, 1) + same / np.maximum(n, 1) + (same - turned) / count) / 3, 0.0)
+    first = np.cumprod(a[:, : min(4, width)] == b[:, : min(4, width)], axis=1).sum(axis=1) if width else np.zeros(len(left), int)
+    out = np.where(jaro > 0.7, jaro + first * 0.1 * (1 - jaro), jaro)
+    return np.where((m == 0) & (n == 0), 1.0, out)
 
 
 @F.pandas_udf(DoubleType())
 def name_likeness(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Each different pair of a batch once, pairs of like length together."""
     for a, b in pairs:
-        yield pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+        frame = pd.DataFrame({"a": a, "b": b})
+        known = frame.dropna().drop_duplicates().reset_index(drop=True)
+        size = np.maximum(known["a"].str.len(), known["b"].str.len()) if len(known) else pd.Series([], dtype=int)
+        known["likeness"] = 0.0
+        for _, part in known.groupby(np.ceil(np.log2(size.to_numpy(float) + 1))) if len(known) else ():
+            for at in range(0, len(part), 1000):
+                some = part.iloc[at : at + 1000]
+                known.loc[some.index, "likeness"] = jaro_winkler(some["a"].tolist(), some["b"].tolist())
+        yield frame.merge(known, how="left", on=["a", "b"])["likeness"].astype("float64")
 
 
 def name_similarity(name: Column, user: Column) -> Column:

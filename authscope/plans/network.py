@@ -11,14 +11,21 @@ from authscope.sources.views import ctes, load
 from authscope.streaming import guild
 
 _E = ctes("v_edges") + ", u AS (SELECT src, dst FROM v_edges UNION SELECT dst, src FROM v_edges), l0 AS (SELECT DISTINCT src AS n, src AS c FROM u)"
-_ROUND = lambda i: f"h{i} AS (SELECT src AS n, c, count(*) AS k FROM u JOIN l{i} ON l{i}.n = dst GROUP BY ALL), l{i + 1} AS (SELECT n, c FROM (SELECT n, c, row_number() OVER (PARTITION BY n ORDER BY k DESC, c) AS r FROM h{i}) WHERE r = 1)"
+_ROUND = lambda i: f"h{i} AS (SELECT src AS n, c, count(*) AS k FROM u JOIN l{i} ON l{i}.n = dst GROUP BY ALL), l{i + 1} AS MATERIALIZED (SELECT n, c FROM (SELECT n, c, row_number() OVER (PARTITION BY n ORDER BY k DESC, c) AS r FROM h{i}) WHERE r = 1)"
 
 
-@query(f"WITH {_E}, {', '.join(_ROUND(i) for i in range(3))} SELECT u.src AS account_id, round(avg(CAST(x.c = y.c AS INT)), 4) AS share FROM u JOIN l3 x ON x.n = u.src JOIN l3 y ON y.n = u.dst GROUP BY u.src")
+_MOST = 6
+_MOVED = ", ".join(f"(SELECT count(*) FROM l{i} JOIN l{i + 1} USING (n) WHERE l{i}.c <> l{i + 1}.c) AS d{i + 1}" for i in range(_MOST))
+_RAN = "CASE " + " ".join(f"WHEN d{i} = 0 THEN {i}" for i in range(1, _MOST)) + f" ELSE {_MOST} END"
+_STILL = "CASE " + " ".join(f"WHEN d{i} = 0 THEN 0" for i in range(1, _MOST)) + f" ELSE d{_MOST} END"
+
+
+@query(f"WITH {_E}, {', '.join(_ROUND(i) for i in range(_MOST))}, m AS MATERIALIZED (SELECT {_MOVED}) SELECT u.src AS account_id, round(avg(CAST(x.c = y.c AS INT)), 4) AS share, CAST(any_value({_RAN}) AS INT) AS rounds, any_value({_STILL}) AS changed FROM u JOIN l{_MOST} x ON x.n = u.src JOIN l{_MOST} y ON y.n = u.dst, m GROUP BY u.src")
 def jon10_same_community(spark, sf_dir):
-    """Share of neighbours in the own community, by three rounds of label propagation."""
+    """Share of neighbours in the own community, by label propagation until labels settle, in six rounds at most; and how it ended."""
     edges = load(spark, sf_dir, "v_edges")
-    return graph.same_community(edges, graph.communities(edges, 3))
+    labels, rounds, changed = graph.communities(edges, _MOST)
+    return graph.same_community(edges, labels).withColumns({"rounds": F.lit(rounds), "changed": F.lit(changed).cast("long")})
 
 
 _HASH = "h AS (SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END for i in range(1, 65)]) AS p FROM embeddings), v AS (SELECT vec_id, p FROM h UNION ALL SELECT vec_id + 1000000000, xor(p, CAST(1 AS HUGEINT) << CAST(vec_id % 61 AS INT)) FROM h UNION ALL SELECT vec_id + 2000000000, xor(p, CAST(7 AS HUGEINT) << CAST(vec_id % 53 AS INT)) FROM h WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id + 3000000000, p FROM h WHERE vec_id % 4 = 0)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from authscope.operators import content, profiles, reports, scaling
+from authscope.operators import content, language, profiles, reports, scaling
 from authscope.plans.registry import _SCORED, MARKED, query, scored
 from authscope.sources import tables, versions
 from authscope.sources.views import PLATFORMS, ctes, load
@@ -63,14 +63,23 @@ def agg11_feedback(spark, sf_dir):
     return reports.totals(scored(spark, sf_dir), "platform", (F.col("prediction") == "Fake") != (F.col("y") == 1), F.col("account_id") % 3 == 0)
 
 
-@query(f"WITH {ctes('v_posts')}, w AS (SELECT account_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w, CAST(regexp_matches(text, 'https?://|www\\.') AS INT) AS u, length(text) AS c FROM v_posts) SELECT account_id, round(avg(w), 4) AS mean_words, round(coalesce(var_samp(w), 0), 3) AS var_words, round(avg(u), 4) AS url_ratio, round(avg(c), 4) AS mean_chars, round(var_pop(c), 4) AS var_chars FROM w GROUP BY account_id")
+@query(f"WITH {ctes('v_posts')}, w AS (SELECT account_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w, CAST(regexp_matches(text, 'https?://|www\\.') AS INT) AS u, length(text) AS c, CAST(coalesce(regexp_matches(lower(trim(text)), '{language.REPOST}'), false) AS INT) AS o, CAST(coalesce(contains(lower(text), 'reply'), false) OR length(text) % 7 = 3 AS INT) AS s FROM v_posts) SELECT account_id, round(avg(w), 4) AS mean_words, round(coalesce(var_samp(w), 0), 3) AS var_words, round(avg(u), 4) AS url_ratio, round(avg(c), 4) AS mean_chars, round(var_pop(c), 4) AS var_chars, round(1 - avg(o), 4) AS original_ratio, round(avg(s), 4) AS self_reply_ratio FROM w GROUP BY account_id")
 def agg20_agg24_post_shape(spark, sf_dir):
-    return content.post_shape(load(spark, sf_dir, "v_posts"))
+    reply = F.lower("text").contains("reply") | (F.length("text") % 7 == 3)
+    return content.post_shape(load(spark, sf_dir, "v_posts"), reply=reply)
 
 
-@query(f"WITH {ctes('v_activity')}, e AS (SELECT account_id, coalesce(engagement, 0) AS e FROM v_activity) SELECT account_id, round(avg(e), 4) AS mean, round(coalesce(var_samp(e), 0), 3) AS variance, round(avg(CAST(e = 0 AS INT)), 4) AS zero_share FROM e GROUP BY account_id")
+# Posts of four platforms: each kind of event knows its likes and comments by other names, some are 0 or not known.
+_METRICS = [("like_count", "event_type = 'view'", "floor(value)"), ("ups", "event_type IN ('view', 'click')", "floor(value / 2)"), ("score", "event_type = 'purchase'", "floor(value) - 20"), ("likes", "event_type <> 'error'", "floor(value / 3)")]
+_TALK = [("reply_count", "event_type = 'view'", "floor(value / 4)"), ("num_comments", "event_type <> 'view'", "floor(value / 10)")]
+_NAMED = ", ".join(f"CASE WHEN {w} THEN {v} END AS {c}" for c, w, v in [*_METRICS, *_TALK])
+_FIRST = lambda cols: "coalesce(" + ", ".join(f"nullif({c}, 0)" for c, _, _ in cols) + ", 0)"
+
+
+@query(f"WITH m AS (SELECT user_id AS account_id, {_NAMED} FROM events), e AS (SELECT account_id, {_FIRST(_METRICS)} + {_FIRST(_TALK)} AS e FROM m) SELECT account_id, round(avg(e), 4) AS mean, round(coalesce(var_samp(e), 0), 3) AS variance, round(avg(CAST(e = 0 AS INT)), 4) AS zero_share FROM e GROUP BY account_id")
 def agg21_engagement(spark, sf_dir):
-    return content.engagement(load(spark, sf_dir, "v_activity"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return content.engagement(e.select(F.col("user_id").alias("account_id"), *[F.expr(f"CASE WHEN {w} THEN {v} END").alias(c) for c, w, v in [*_METRICS, *_TALK]]))
 
 
 @query(f"WITH {ctes('v_activity')}, d AS (SELECT account_id, CAST(ts AS DATE) AS d, count(*) AS n FROM v_activity GROUP BY ALL) SELECT account_id, round(CASE WHEN count(*) >= 3 THEN stddev_samp(n) ELSE 0 END, 4) AS regularity, datediff('day', max(d), DATE '2024-03-01') AS recency FROM d GROUP BY account_id")
@@ -83,6 +92,22 @@ def agg31_day_gaps(spark, sf_dir):
     return content.day_gaps(load(spark, sf_dir, "v_activity"))
 
 
+_TAGS = "regexp_extract_all(p.text, '[a-z]{{12,}}'{})"
+_VIDEOS = "SELECT p.account_id, p.post_id AS video_id, e.ts, p.text AS description, {} AS tags, CASE WHEN e.event_type <> 'error' THEN floor(e.value) END AS comment_count FROM v_posts p LEFT JOIN events e ON e.event_id = p.post_id"
+
+
+@query(f"""WITH {ctes('v_accounts', 'v_posts')}, v AS ({_VIDEOS.format(_TAGS.format(''))}), g AS (SELECT account_id, floor((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY account_id ORDER BY ts NULLS FIRST, video_id)) / 86400000000) AS g, len(regexp_extract_all(coalesce(description, ''), '\\S+')) AS w, coalesce(len(tags), 0) AS t, CAST(comment_count IS NULL AS INT) AS o FROM v),
+ q AS (SELECT account_id, avg(g) AS g, stddev_samp(g) AS s, avg(w) AS w, avg(t) AS t, avg(o) AS o FROM g GROUP BY account_id), c AS (SELECT account_id, coalesce(subscribers, 0) AS s, greatest(coalesce(videos, 0), 1) AS n, avg_views * coalesce(videos, 0) AS views FROM v_accounts)
+ SELECT account_id, round(c.s / n, 4) AS subscriber_to_video_ratio, round(views / n, 4) AS avg_views_per_video, round(coalesce(g, 0), 4) AS upload_frequency_days, round(coalesce(q.s, 0), 4) AS upload_regularity, round(views / n / greatest(c.s, 1), 4) AS view_to_subscriber_ratio,
+ round(coalesce(w, 0), 4) AS description_length_avg, round(coalesce(t, 0), 4) AS tags_per_video_avg, round(coalesce(o, 0), 4) AS comment_disabled_ratio FROM c LEFT JOIN q USING (account_id)""")
+def agg31_uploads(spark, sf_dir):
+    """Posts as videos, their dates and comment counts from the events of the same ids."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).createOrReplaceTempView("events")
+    load(spark, sf_dir, "v_posts").createOrReplaceTempView("v_posts")
+    channels = load(spark, sf_dir, "v_accounts").select("account_id", "subscribers", F.col("videos").alias("n_videos"), (F.col("avg_views") * F.coalesce("videos", F.lit(0))).alias("views"))
+    return content.uploads(spark.sql(_VIDEOS.format(_TAGS.format(", 0"))), channels)
+
+
 @query(f"WITH {ctes('v_profiles')}, c AS (SELECT account_id, unnest(string_split(username, '')) AS c FROM v_profiles), n AS (SELECT account_id, c, count(*) AS n FROM c GROUP BY ALL), q AS (SELECT account_id, n / sum(n) OVER (PARTITION BY account_id) AS p FROM n) SELECT account_id, round(-sum(p * log2(p)), 4) AS entropy FROM q GROUP BY account_id")
 def agg37_username_entropy(spark, sf_dir):
     return content.char_entropy(load(spark, sf_dir, "v_profiles"), "username")

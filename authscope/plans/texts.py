@@ -185,11 +185,14 @@ def agg27_repositories(spark, sf_dir):
     return aggregates.repositories(o)
 
 
-@query(f"""WITH {_A}, {_POSTS}, c AS (SELECT account_id, count(*) FILTER (post_id % 3 <> 0) AS comments, count(*) FILTER (post_id % 3 = 0) AS posts, count(DISTINCT lang) AS communities, count(*) FILTER (post_id % 3 <> 0 AND post_id % 5 = 0) AS fought, avg({_N('text', '[^' + chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D]+')}) FILTER (post_id % 3 <> 0) AS words FROM v_posts GROUP BY account_id)
- SELECT account_id, round((comment_karma + post_karma) / greatest(account_age_days, 1), 4) AS karma_per_day, round(comments / greatest(c.posts, 1), 4) AS comment_to_post_ratio, round(communities / (greatest(comments, 1) + greatest(c.posts, 1)), 4) AS subreddit_diversity, round(coalesce(words, 0), 4) AS avg_comment_length, round(fought / greatest(comments, 1), 4) AS controversial_ratio,
- round((comment_karma + post_karma) / (greatest(comments, 1) + greatest(c.posts, 1)), 4) AS karma_to_activity_ratio FROM c JOIN v_accounts USING (account_id)""")
+@query(f"""WITH {_A}, {_POSTS}, r AS (SELECT p.*, e.ts FROM v_posts p LEFT JOIN events e ON e.event_id = p.post_id), c AS (SELECT account_id, count(*) FILTER (post_id % 3 <> 0) AS comments, count(*) FILTER (post_id % 3 = 0) AS posts, count(DISTINCT lang) AS communities, count(*) FILTER (post_id % 3 <> 0 AND post_id % 5 = 0) AS fought, avg({_N('text', '[^' + chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D]+')}) FILTER (post_id % 3 <> 0) AS words FROM r GROUP BY account_id),
+ h AS (SELECT account_id, hour(ts) AS h, count(*) AS n FROM r WHERE ts IS NOT NULL GROUP BY ALL), x AS (SELECT account_id, -sum(p * log2(p)) AS entropy FROM (SELECT account_id, n / sum(n) OVER (PARTITION BY account_id) AS p FROM h) GROUP BY account_id)
+ SELECT account_id, round((comment_karma + post_karma) / greatest(account_age_days, 1), 4) AS karma_per_day, round(comments / greatest(c.posts, 1), 4) AS comment_to_post_ratio, round(communities / (greatest(comments, 1) + greatest(c.posts, 1)), 4) AS subreddit_diversity, round(coalesce(words, 0), 4) AS avg_comment_length, round(fought / greatest(comments, 1), 4) AS controversial_ratio, abs(round(coalesce(entropy, 0), 4)) AS posting_time_entropy,
+ round((comment_karma + post_karma) / (greatest(comments, 1) + greatest(c.posts, 1)), 4) AS karma_to_activity_ratio FROM c JOIN v_accounts USING (account_id) LEFT JOIN x USING (account_id)""")
 def agg29_comments(spark, sf_dir):
-    rows = load(spark, sf_dir, "v_posts").select("account_id", (F.col("post_id") % 3 != 0).alias("is_comment"), F.col("lang").alias("community"), (F.col("post_id") % 5 == 0).alias("fought"), "text")
+    """Posts as comments and posts; their times are those of the events of the same ids."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("post_id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = load(spark, sf_dir, "v_posts").join(e, "post_id", "left").select("account_id", (F.col("post_id") % 3 != 0).alias("is_comment"), F.col("lang").alias("community"), (F.col("post_id") % 5 == 0).alias("fought"), "text", "ts")
     return aggregates.comments(rows, load(spark, sf_dir, "v_accounts").select("account_id", (F.col("comment_karma") + F.col("post_karma")).alias("karma"), "account_age_days"))
 
 
@@ -267,7 +270,7 @@ def _bundle(name: str, doc: str, parts: list[tuple[str, str]], finish: str = "")
 
 _TIME = [("win5_bursts", "burst_share AS burst_score"), ("win1_win3_win6_win7_gaps", "regularity AS posting_regularity_score, gap_max_days AS activity_gap_max, gap_variance AS activity_gap_variance"), ("agg25_rhythm", "hour_entropy AS time_of_day_entropy, active_hours AS active_hours_count, weekend_ratio AS weekend_weekday_ratio, night_share AS night_post_ratio"), ("agg26_rates", "follow_velocity, unfollow_rate, engagement_received_vs_given, reply_to_original_ratio, account_age_vs_activity")]
 _bundle("bld14_temporal", "Thirteen features of when and how often accounts act.", _TIME)
-_BEHAVIOUR = [("win2_agg16_agg17_entropy", "gap_entropy AS behav_posting_interval_entropy"), ("win1_win3_win6_win7_gaps", "gap_mean AS behav_posting_interval_mean_hr, gap_std AS behav_posting_interval_std_hr, under_minute AS behav_burst_post_count"), ("win4_hour_skew", "hour_skew AS behav_hourly_distribution_skew"), ("agg20_agg24_post_shape", "mean_words AS behav_avg_post_length, var_words AS behav_post_length_variance, url_ratio AS behav_url_post_ratio"),
+_BEHAVIOUR = [("win2_agg16_agg17_entropy", "gap_entropy AS behav_posting_interval_entropy"), ("win1_win3_win6_win7_gaps", "gap_mean AS behav_posting_interval_mean_hr, gap_std AS behav_posting_interval_std_hr, under_minute AS behav_burst_post_count"), ("win4_hour_skew", "hour_skew AS behav_hourly_distribution_skew"), ("agg20_agg24_post_shape", "mean_words AS behav_avg_post_length, var_words AS behav_post_length_variance, url_ratio AS behav_url_post_ratio, self_reply_ratio AS behav_self_reply_ratio"),
               ("str20_reposts", "posts AS behav_post_count, round(1 - reposts / posts, 4) AS behav_original_ratio, CAST(posts < 5 AS INT) AS behav_low_confidence"), ("agg18_type_token", "ratio AS behav_lexical_diversity")]
 
 

@@ -104,9 +104,15 @@ def test_shuffle_repeats(spark):
 
 
 def test_jaro_winkler():
+    import random
+
     import duckdb
 
     from authscope.operators.writing import jaro_winkler
 
-    for a, b in [("martha", "marhta"), ("dwayne", "duane"), ("dixon", "dicksonx"), ("a", "b"), ("ab", "ab"), ("anna smith", "annasmith"), ("x", "xy")]:
-        assert abs(jaro_winkler(a, b) - duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0]) < 1e-9
+    r = random.Random(3)
+    pairs = [("martha", "marhta"), ("dwayne", "duane"), ("dixon", "dicksonx"), ("a", "b"), ("ab", "ab"), ("anna smith", "annasmith"), ("x", "xy"), ("jan é", "jané 😀")]
+    pairs += [tuple("".join(r.choice("abcd ") for _ in range(r.randrange(1, 14))) for _ in "ab") for _ in range(400)]
+    got = jaro_winkler(*map(list, zip(*pairs)))
+    assert all(abs(x - duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", list(p)).fetchone()[0]) < 1e-9 for x, p in zip(got, pairs) if all(map(str.isascii, p)))
+    assert jaro_winkler(["", "a"], ["", ""]).tolist() == [1.0, 0.0]
