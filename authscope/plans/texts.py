@@ -277,4 +277,4 @@ _BEHAVIOUR = [("win2_agg16_agg17_entropy", "gap_entropy AS behav_posting_interva
 def _late() -> None:
     """Bundles of queries that other modules register."""
     _bundle("bld15_behaviour", "Features of posting rhythm, wording and repeats, and whether there are too few posts to tell.", _BEHAVIOUR)
-    _bundle("bld13_all_features", "Temporal, content, network and consistency features of each account.", [*_TIME, ("agg22_agg23_str19_content", "vocabulary_richness, avg_sentence_length, sentiment_mean, sentiment_variance, emoji_ratio, hashtag_ratio, caps_ratio, url_spam_ratio, mention_spam_ratio"), ("jon12_similar_posts", "ratio AS duplicate_content_ratio"), ("jon6_reciprocity", "reciprocity, mutual_ratio"), ("jon9_clustering", "coefficient AS cluster_coefficient"), ("str16_name_similarity", "similarity AS name_username_similarity"), ("str22_language", "consistency AS language_consistency"), ("arr1_presence", "presence AS profile_completeness_score"), ("jon14_topic_similarity", "similarity AS bio_post_topic_similarity")])
+    _bundle("bld13_all_features", "Temporal, content, network and consistency features of each account.", [*_TIME, ("agg22_agg23_str19_content", "vocabulary_richness, avg_sentence_length, sentiment_mean, sentiment_variance, emoji_ratio, hashtag_ratio, caps_ratio, url_spam_ratio, mention_spam_ratio"), ("jon12_similar_posts", "ratio AS duplicate_content_ratio"), ("jon13_post_clusters", "clusters AS near_duplicate_cluster_count"), ("jon6_reciprocity", "reciprocity, mutual_ratio"), ("jon9_clustering", "coefficient AS cluster_coefficient"), ("str16_name_similarity", "similarity AS name_username_similarity"), ("str22_language", "consistency AS language_consistency"), ("arr1_presence", "presence AS profile_completeness_score"), ("jon14_topic_similarity", "similarity AS bio_post_topic_similarity")])
