@@ -34,9 +34,17 @@ def counted(posts: DataFrame, shape: str, key: str) -> DataFrame:
     return words.groupBy(key, "post_id").agg(F.sort_array(F.collect_list(F.struct("t", "tf"))).alias("terms"))
 
 
+def distinct_terms(posts: DataFrame, shape: str, key: str) -> DataFrame:
+    """(key, post_id, terms) like :func:`counted`, every count 1, within the row: no shuffle."""
+    words = F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(shape), F.lit(0))))
+    return posts.select(key, "post_id", F.transform(words, lambda t: F.struct(t.alias("t"), F.lit(1).cast("long").alias("tf"))).alias("terms")).where(F.size("terms") > 0)
+
+
 def classes(df: DataFrame, same: Column, key: str) -> DataFrame:
-    """(key, id, copies, terms): one row for the posts of a key that are ``same``; id is the least of them."""
-    return df.groupBy(key, F.sha2(same, 256).alias("_same")).agg(F.min("post_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min_by("terms", "post_id").alias("terms")).drop("_same")
+    """(key, id, copies, terms): one row for the posts of a key that are ``same``; id is the least of them. Post ids are unique."""
+    rows = settled(df.select(key, "post_id", F.sha2(same, 256).alias("_same"), "terms"))
+    groups = rows.groupBy(key, "_same").agg(F.min("post_id").alias("id"), F.count(F.lit(1)).alias("copies")).drop("_same")
+    return rows.select(key, F.col("post_id").alias("id"), "terms").join(groups, [key, "id"]).select(key, "id", "copies", "terms")
 
 
 def similar_pairs(prefixes: DataFrame, possible: Column, key: str) -> DataFrame:
@@ -97,7 +105,7 @@ def similar_posts(posts: DataFrame, limit: float, weighted: bool, key: str = "ac
     Unweighted: Jaccard of word sets above ``limit``. Weighted: cosine of tf-idf vectors. Posts without words are like none.
     """
     number = posts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    rows = counted(posts, TERMS if weighted else WORDS, key)
+    rows = counted(posts, TERMS, key) if weighted else distinct_terms(posts, WORDS, key)
     spelled = F.concat_ws(" ", F.transform("terms", lambda t: F.concat_ws("\t", t["t"], t["tf"].cast("string")) if weighted else t["t"]))
     rows = settled(classes(rows, spelled, key))
     _, pairs = cosine_pairs(rows, number, limit, key) if weighted else set_pairs(rows, limit, key)
