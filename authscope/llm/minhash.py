@@ -1,8 +1,8 @@
 """MinHash near-dedup (operator 8) by min-max hashing.
 
 A document is the set of its distinct word shingles. Under each of ``PERMUTATIONS`` hash functions both the least and the
-greatest value are kept, so each evaluation gives two values of the signature. Bands of ``ROWS`` values make
-buckets; documents of equal sets stand as one. Candidates are confirmed on the full sets, and the confirmed
+greatest value are kept, so each evaluation gives two values of the signature. Bands of ``ROWS`` values (fewer for a similarity
+under ``PERCENT``, see ``rows_for``) make buckets; documents of equal sets stand as one. Candidates are confirmed on the full sets, and the confirmed
 links' components are the groups; each keeps its smallest doc_id.
 
 NULL text counts as empty; texts without words have an empty set and link with nothing. Rows of NULL id link with
@@ -27,6 +27,8 @@ PERMUTATIONS = 96
 ROWS = 6
 SHINGLE = 5
 PERCENT = 80
+#: The chance that all bands miss a pair of exactly the similarity asked for is at most this.
+MISSED = 1e-4
 #: Of the 192 values of two signatures, by their low four bits, at most so many differ for a candidate: 4.5 standard deviations above what 80 % allow.
 MOST_DIFFERENT = 60
 SKETCH = [f"s{j}" for j in range(12)]
@@ -40,6 +42,15 @@ _add = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
 _band_mul = _rng.integers(1, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def rows_for(percent: int) -> int:
+    """Values in a band: the most, up to ``ROWS``, with which pairs of ``percent`` are missed by at most ``MISSED``."""
+    values = 2 * PERMUTATIONS
+    for rows in range(ROWS, 0, -1):
+        if values % rows == 0 and (1 - (min(percent, 100) / 100) ** rows) ** (values // rows) <= MISSED:
+            return rows
+    raise ValueError(f"{values} values cannot find pairs of {percent} per cent")
+
+
 def sets_of(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
     w = Words(texts)
@@ -77,7 +88,7 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1).view(np.int64)
 
 
-def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, rows: int = ROWS) -> DataFrame:
     """(id, n, key, bands, odd, s0, ..., s11): set size, a digest of the set, band hashes, parities and four bits of each value of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +101,8 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 sig = np.stack([signature(sets[k]) for k in full])
                 low = (mixed(sig) & np.uint64(15)).astype(np.uint8)
                 sketch[full] = np.ascontiguousarray(low[:, 0::2] << 4 | low[:, 1::2]).view(np.int64)
-                cut_sig = sig[:, np.random.default_rng(1).permutation(sig.shape[1])[: sig.shape[1] // ROWS * ROWS]].reshape(len(full), -1, ROWS)
-                hashed = mixed((cut_sig * _band_mul).sum(2, dtype=np.uint64) + np.arange(cut_sig.shape[1], dtype=np.uint64)).view(np.int64)
+                cut_sig = sig[:, np.random.default_rng(1).permutation(sig.shape[1])[: sig.shape[1] // rows * rows]].reshape(len(full), -1, rows)
+                hashed = mixed((cut_sig * _band_mul[:rows]).sum(2, dtype=np.uint64) + np.arange(cut_sig.shape[1], dtype=np.uint64)).view(np.int64)
                 for k, h in zip(full, hashed):
                     bands[k] = h
             yield pa.RecordBatch.from_arrays(
@@ -151,7 +162,7 @@ def near(percent: int):
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for each row of ``df``."""
-    sig = cut(signatures(df, id_col, text_col, shingle))
+    sig = cut(signatures(df, id_col, text_col, shingle, rows_for(percent)))
     reps = sig.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("node"))
     whole = sig.alias("s").join(reps.hint("merge").alias("r"), (F.col("s.key") == F.col("r.key")) & (F.col("s.id") == F.col("r.node")))
     # an id of several texts is one node, and so may have several sets

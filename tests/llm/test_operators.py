@@ -172,6 +172,30 @@ def test_line_dedup(spark, odd, empty):
     assert linededup.dedup(odd).columns == odd.columns
 
 
+def test_minhash_below_the_usual_similarity(spark):
+    """At 50 per cent bands are shorter, and the groups are those of brute force; a similarity that no band can find is refused."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(25):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        for v in range(4):  # each changes a run of words, so that similarities lie about the half
+            at, size = int(rng.integers(0, 40)), 4 * v
+            rows.append((len(rows), " ".join([*base[:at], *(f"v{x}" for x in rng.integers(0, 10**6, size)), *base[at + size :]])))
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in rows}
+    up = {i: i for i in sets}
+    root = lambda i: i if up[i] == i else root(up[i])
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])]
+    assert sum(5 * len(sets[a] & sets[b]) < 4 * len(sets[a] | sets[b]) for a, b in links) > 20
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    got = {r.doc_id: r.component_id for r in minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=50).collect()}
+    assert got == {i: root(i) for i in sets}
+    assert minhash.rows_for(80) == minhash.rows_for(100) == minhash.ROWS and minhash.rows_for(50) == 2
+    with pytest.raises(ValueError):
+        minhash.rows_for(1)
+
+
 def test_minhash_matches_brute_force(docs, odd, empty):
     sets = {}
     for r in docs.collect():
