@@ -43,15 +43,18 @@ def hamming_tried(df: DataFrame, radius: int, blocks: int | None, by: tuple[str,
     Hashes within ``radius`` bits have at least ``blocks - radius`` blocks in common, so they are compared.
     """
     rep = df.groupBy(*by, "phash").agg(F.min("vec_id").alias("id"))
-    blocks = blocks or block_count(rep.count(), radius)
+    n = rep.count()
+    blocks = blocks or block_count(n, radius)
     edges = [64 * i // blocks for i in range(blocks + 1)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     masks = [signed(sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in kept)) for kept in combinations(range(blocks), blocks - radius)]
     keys = F.array(*[F.struct(F.lit(k).alias("table"), F.col("phash").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(masks)])
+    rep = rep.repartition(1 + n * len(masks) // 1_000_000, "id")  # by number: small as they are, the hashes would else be one task, and all their tables
     keyed = rep.select("id", "phash", *by, F.explode(keys).alias("k")).select("id", "phash", *by, "k.table", "k.key")
     a, b, apart = keyed.alias("a"), keyed.alias("b"), F.col("a.phash").bitwiseXOR(F.col("b.phash"))
     same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "table", "key")])
-    return a.join(b, same & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(apart).alias("distance"))
+    # merge: the rows stand so many times as there are tables, which the size of ``rep`` doesn't show: a broadcast would take them all through the driver
+    return a.join(b.hint("merge"), same & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(apart).alias("distance"))
 
 
 def hamming_links(df: DataFrame, radius: int = 7, blocks: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
