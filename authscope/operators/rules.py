@@ -10,10 +10,15 @@ LEAST = {"instagram": 60.0, "facebook": 60.0, "x": 60.0, "linkedin": 65.0, "gith
 CUTOFF = 0.45
 
 
+def tenths(c: Column) -> Column:
+    """Rounded to one decimal by the tenfold value, as the SQL's engine does; by its decimal digits a value just below a tie, as 55.349999999999994, would go down."""
+    return F.round(10 * c) / 10
+
+
 def decided(df: DataFrame, proba: str = "raw_proba") -> DataFrame:
     """prediction and confidence (per cent, the side's probability) from a probability of Fake."""
     p = F.col(proba)
-    return df.withColumns({"prediction": F.when(p >= CUTOFF, "Fake").otherwise("Legit"), "confidence": F.round(100 * F.greatest(p, 1 - p), 1)})
+    return df.withColumns({"prediction": F.when(p >= CUTOFF, "Fake").otherwise("Legit"), "confidence": tenths(100 * F.greatest(p, 1 - p))})
 
 
 def platform_threshold(df: DataFrame) -> DataFrame:
@@ -54,7 +59,7 @@ def merged(df: DataFrame) -> DataFrame:
     """Confidence of two stages: ``s1, s2`` in per cent, ``c1, c2`` completeness."""
     source = F.when(F.col("s1") - F.col("s2") > 15, "stage1_fallback").when(F.col("c2") < 0.7 * F.col("c1"), "stage1_preferred").when(F.col("s2") >= F.col("s1"), "stage2_dominant").otherwise("weighted_merge")
     total = F.greatest(F.col("c1") + F.col("c2"), F.lit(1e-9))
-    blend = F.round((F.col("s1") * F.col("c1") + F.col("s2") * F.col("c2")) / total, 1)
+    blend = tenths((F.col("s1") * F.col("c1") + F.col("s2") * F.col("c2")) / total)
     return df.withColumn("source", source).withColumn("confidence", F.when(F.col("source").like("stage1%"), F.col("s1")).when(F.col("source") == "stage2_dominant", F.col("s2")).otherwise(blend))
 
 
