@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from authscope.operators import rules, similarity
+from authscope.operators import ngrams, rules, similarity
 
 
 def test_avatar_pairs_are_not_broadcast(spark):
@@ -22,3 +22,19 @@ def test_merged_confidence_rounds_like_sql(spark):
     df = spark.createDataFrame(con.execute("SELECT * FROM g").fetchall(), "s1 double, s2 double, c1 double, c2 double")
     got = {(r.s1, r.s2, r.c1, r.c2): r.confidence for r in rules.merged(df).where("source = 'weighted_merge'").collect()}
     assert got == want and len(want) > 1000
+
+
+def test_languages_are_told_without_a_table_of_grams(spark, monkeypatch):
+    """The same ranks as by counting rows of grams; only the texts of a group are shuffled."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select((F.col("doc_id") % 70).alias("k"), "doc_id", "lang", F.concat("text", F.lit(" \U0001d4d0x Ünï a a ß")).alias("text"))
+    want = {}
+    for r in ngrams.ranked(ngrams.gram_counts(docs, ["k"]), ["k"]).select("k", "rank", ngrams.code("gram").alias("c")).orderBy("k", "rank").collect():
+        want.setdefault(r.k, []).append(r.c)
+    known = ngrams.profiles(docs)
+
+    def no_table(df):
+        raise AssertionError("a table is written")
+
+    monkeypatch.setattr(ngrams, "settled", no_table)
+    told = ngrams.told(docs, known, ["k"])
+    assert {r.k: r.grams for r in ngrams.ranked_codes(docs, ["k"]).collect()} == want and told.count() == 70
