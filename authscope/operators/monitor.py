@@ -37,8 +37,9 @@ def psi(df: DataFrame, side: str, columns: list[str], bins: int = 10) -> DataFra
     """(feature, psi) between the rows of side 'train' and 'recent', on joint equal-width bins."""
     long = df.unpivot([side], columns, "feature", "v").where("v is not null")
     ends = long.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # a row a feature is sent to all tasks: joined by a shuffle, all values of a feature would be one task's
     at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)))
-    counts = long.join(ends, "feature").groupBy("feature", at.alias("bin")).agg(F.count_if(F.col(side) == "train").alias("e"), F.count_if(F.col(side) == "recent").alias("a"))
+    counts = long.join(F.broadcast(ends), "feature").groupBy("feature", at.alias("bin")).agg(F.count_if(F.col(side) == "train").alias("e"), F.count_if(F.col(side) == "recent").alias("a"))
     w = Window.partitionBy("feature")
     e, a = F.col("e") / F.sum("e").over(w), F.col("a") / F.sum("a").over(w)
     counts = counts.select("feature", e.alias("e"), a.alias("a"))

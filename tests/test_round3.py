@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from authscope.operators import knn, ngrams, rules, similarity
+from authscope.operators import knn, monitor, ngrams, rules, similarity
 
 
 def test_avatar_pairs_are_not_broadcast(spark):
@@ -57,3 +57,14 @@ def test_neighbours_ask_few_leaves(spark, monkeypatch):
         order = [int(b) for b in np.lexsort((np.arange(len(x)), np.round(d, 12))) if b != a][:5]
         assert got[a] == set(order)
     assert len(got) == 18_000
+
+
+def test_drift_rows_are_not_dealt_by_feature(spark):
+    """The ends of each feature go to the values; the values aren't shuffled before they are counted."""
+    df = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "train").otherwise("recent").alias("side"), F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = monitor.psi(df, "side", ["a", "b"])
+        assert out.count() == 2 and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
