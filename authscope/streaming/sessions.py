@@ -17,6 +17,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from authscope.streaming.guild import DELAY
 
+#: Groups that the keys of a part of time are dealt to: each costs calls to the state and timers, so many sparse keys share one.
+BUCKETS = 64
+
 
 def micros() -> Column:
     return F.unix_micros("ts")
@@ -66,20 +69,27 @@ class Timed(StatefulProcessor):
 class Trailing(Timed):
     """Answers each asking row with the number of counting rows of the ``span`` microseconds up to it, its own time included."""
 
-    def __init__(self, span: int, names: list[str], also: list[str]):
-        self.span, self.names, self.also = span, names, also
-        self.columns = ", ".join(["t long, id long, counts int, asks int", *(f"{c} long" for c in also)])
+    def __init__(self, span: int, keys: dict[str, str], also: list[str]):
+        self.span, self.names, self.also = span, list(keys), also
+        self.held_as = [f"key{i}" for i in range(len(keys))]
+        self.columns = ", ".join(["t long, id long, counts int, asks int", *(f"{c} long" for c in also), *(f"{c} {kind}" for c, kind in zip(self.held_as, keys.values()))])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.taken(rows, "t", "event_id", "counts", "asks", *self.also)
+        self.taken(rows, "t", "event_id", "counts", "asks", *self.also, *self.names)
         return iter(())
 
+    def places(self, rows: pd.DataFrame) -> np.ndarray:
+        """Times, each key's on a stretch of its own: the ``span`` before any of them holds no other key's."""
+        t, number = rows["t"].to_numpy(), rows.groupby(self.held_as, sort=False, dropna=False).ngroup().to_numpy()
+        return number * (t.max() - t.min() + self.span + 1) + (t - t.min()) + self.span
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, rows = timerValues.getCurrentWatermarkInMs() * 1000, self.held()
         self.due.clear()
-        t, counting = rows["t"].to_numpy(), rows["t"].to_numpy()[rows["counts"].to_numpy() == 1]
-        ready = rows[(rows["asks"] == 1) & (t <= now)]
-        at = ready["t"].to_numpy()
+        t, place = rows["t"].to_numpy(), self.places(rows)
+        counting = np.sort(place[rows["counts"].to_numpy() == 1])
+        asking = (rows["asks"].to_numpy() == 1) & (t <= now)
+        ready, at = rows[asking], place[asking]
         n = np.searchsorted(counting, at, "right") - np.searchsorted(counting, at - self.span)
         rest = rows[(t > now - self.span) & ((rows["counts"] == 1) | (t > now))].copy()
         rest.loc[rest["t"] <= now, "asks"] = 0
@@ -88,8 +98,8 @@ class Trailing(Timed):
             pending = rest["t"][rest["asks"] == 1]
             self.wake(int(pending.min()) if len(pending) else int(rest["t"].max()) + self.span)
         if len(ready):
-            given = {"event_id": ready["id"].to_numpy()} | dict(zip(self.names, key)) | {c: ready[c].to_numpy() for c in self.also}
-            yield pd.DataFrame(given | {"ts": pd.to_datetime(at, unit="us", utc=True), "n": n})
+            given = {"event_id": ready["id"].to_numpy()} | {name: ready[c].to_numpy() for name, c in zip(self.names, self.held_as)} | {c: ready[c].to_numpy() for c in self.also}
+            yield pd.DataFrame(given | {"ts": pd.to_datetime(ready["t"].to_numpy(), unit="us", utc=True), "n": n})
 
 
 def trailing_counts(df: DataFrame, keys: list[str], span: int, counts: Column | None = None, asks: Column | None = None, also: tuple[str, ...] = (), delay: str | None = DELAY) -> DataFrame:
@@ -97,8 +107,8 @@ def trailing_counts(df: DataFrame, keys: list[str], span: int, counts: Column |
 
     ``also``: whole numbers that go along. Without ``delay`` the rows have a watermark on ts already.
 
-    A key's rows are dealt to parts of time, each a group of its own, so that a hot key neither meets in one group nor keeps state for
-    longer than a part; a row within ``span`` of the next part's begin counts there too.
+    A key's rows are dealt to parts of time, so that a hot key neither meets in one group nor keeps state for longer than a part; a row
+    within ``span`` of the next part's begin counts there too. The keys of a part are dealt to ``BUCKETS`` groups by hash.
     """
     size = max(span, 600) * 1_000_000
     t = micros()
@@ -107,8 +117,10 @@ def trailing_counts(df: DataFrame, keys: list[str], span: int, counts: Column |
     near = (F.col("own") + 1) * size - F.col("t") <= span * 1_000_000
     rows = rows.withColumn("part", F.explode(F.when(near & (F.col("counts") == 1), F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
     rows = rows.withColumn("asks", F.when(F.col("part") == F.col("own"), F.col("asks")).otherwise(0)).drop("own")
-    out = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), *(f"{c} long" for c in also)])
-    return rows.groupBy(*keys, "part").transformWithStateInPandas(Trailing(span * 1_000_000, keys, list(also)), f"event_id long, {out}, ts timestamp, n long", "append", "eventtime")
+    kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
+    out = ", ".join([*(f"{k} {kind}" for k, kind in kinds.items()), *(f"{c} long" for c in also)])
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+    return rows.groupBy("bucket", "part").transformWithStateInPandas(Trailing(span * 1_000_000, kinds, list(also)), f"event_id long, {out}, ts timestamp, n long", "append", "eventtime")
 
 
 class Sessions(Timed):

@@ -68,3 +68,15 @@ def test_drift_rows_are_not_dealt_by_feature(spark):
         assert out.count() == 2 and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sparse_keys_share_groups(spark, monkeypatch):
+    """3,000 keys of a part of time are few groups, and so few calls to the state; answers stay those of each key."""
+    from authscope.streaming import sessions
+
+    sizes, table = [], type(spark.range(1))
+    kept = table.groupBy
+    monkeypatch.setattr(table, "groupBy", lambda df, *by: (sizes.append(kept(df, *by).count().count()), kept(df, *by))[1])
+    rows = spark.range(3000).select(F.col("id").alias("event_id"), F.col("id").alias("guild_id"), F.timestamp_seconds(F.lit(600 * 1000)).alias("ts"))
+    sessions.trailing_counts(rows, ["guild_id"], 120)
+    assert sizes and sizes[0] <= 200
