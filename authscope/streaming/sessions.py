@@ -7,6 +7,8 @@ timers: what the span or the session no longer needs goes. Ids must not be NULL;
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,8 @@ from authscope.streaming.guild import DELAY
 
 #: Groups that the keys of a part of time are dealt to: each costs calls to the state and timers, so many sparse keys share one.
 BUCKETS = 64
+#: Groups that all keys of join sessions are dealt to.
+SESSION_BUCKETS = 1024
 
 
 def micros() -> Column:
@@ -126,57 +130,68 @@ def trailing_counts(df: DataFrame, keys: list[str], span: int, counts: Column |
 class Sessions(Timed):
     """The first message of a join session that is the ``least``-th within ``span``; a session lasts ``within`` from its join, or until the next."""
 
-    columns = "t long, is_message int, id long, answered int"
-
-    def __init__(self, span: int, least: int, within: int, names: list[str]):
-        self.span, self.least, self.within, self.names = span, least, within, names
+    def __init__(self, span: int, least: int, within: int, keys: dict[str, str]):
+        self.span, self.least, self.within, self.names = span, least, within, list(keys)
+        kinds = ", ".join(f"key{i} {kind}" for i, kind in enumerate(keys.values()))
+        self.columns, self.kept_as = f"t long, is_message int, id long, answered int, {kinds}", f"joined long, join_id long, told int, {kinds}"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.session = handle.getValueState("session", "joined long, join_id long, told int")
+        self.sessions = handle.getListState("sessions", self.kept_as)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.taken((f.assign(answered=0) for f in rows), "t", "is_message", "event_id", "answered")
+        self.taken((f.assign(answered=0) for f in rows), "t", "is_message", "event_id", "answered", *self.names)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, rows = timerValues.getCurrentWatermarkInMs() * 1000, self.held().sort_values(["t", "is_message", "id"])
-        self.due.clear()
-        times = rows["t"].to_numpy()[rows["is_message"].to_numpy() == 1]
-        joined, join_id, told = self.session.get() if self.session.exists() else (None, None, 0)
-        found = []
-        for t, is_message, i, answered in rows.itertuples(index=False, name=None):
+    def of_key(self, rows: list[tuple], session: tuple, now: int) -> tuple[list[tuple], list[tuple], tuple | None, int | None]:
+        """What one key's rows up to ``now`` find, the rows and the session that stay, and when something is due."""
+        times = [r[0] for r in rows if r[1] == 1]
+        (joined, join_id, told), found = session, []
+        for t, is_message, i, answered in rows:
             if answered or t > now:
                 continue
             if not is_message:
                 joined, join_id, told = t, i, 0
             elif joined is not None and not told and t - joined <= self.within:
-                n = int(np.searchsorted(times, t, "right") - np.searchsorted(times, t - self.span))
+                n = bisect_right(times, t) - bisect_left(times, t - self.span)
                 if n >= self.least:
                     found.append((i, join_id, t, n))
                     told = 1
-        rest = rows[(rows["t"] > now) | ((rows["is_message"] == 1) & (rows["t"] > now - self.span))].copy()
-        rest.loc[rest["t"] <= now, "answered"] = 1
-        self.keep(rest)
-        if joined is not None and joined + self.within > now:
-            self.session.update((joined, join_id, told))
-        else:
-            joined = None
-            self.session.clear()
-        pending = rest["t"][rest["answered"] == 0]
-        ends = [joined + self.within] if joined is not None else []
-        self.wake(int(pending.min()) if len(pending) else max([*ends, *([int(rest["t"].max()) + self.span] if len(rest) else [])], default=None))
+        rest = [(t, m, i, 1 if t <= now else a) for t, m, i, a in rows if t > now or (m == 1 and t > now - self.span)]
+        stays = (joined, join_id, told) if joined is not None and joined + self.within > now else None
+        pending = [r[0] for r in rest if not r[3]]
+        ends = [stays[0] + self.within] if stays else []
+        return found, rest, stays, min(pending) if pending else max([*ends, *([max(r[0] for r in rest) + self.span] if rest else [])], default=None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, rows = timerValues.getCurrentWatermarkInMs() * 1000, defaultdict(list)
+        self.due.clear()
+        for r in map(tuple, self.rows.get()):
+            rows[r[4:]].append(r[:4])
+        open_ = {tuple(s)[3:]: tuple(s)[:3] for s in self.sessions.get()} if self.sessions.exists() else {}
+        found, kept, sessions, due = [], [], [], []
+        for k in [*rows, *(k for k in open_ if k not in rows)]:
+            told, rest, stays, at = self.of_key(sorted(rows.get(k, []), key=lambda r: r[:3]), open_.get(k, (None, None, 0)), now)
+            found += [f + k for f in told]
+            kept += [r + k for r in rest]
+            sessions += [stays + k] if stays else []
+            due += [at] if at is not None else []
+        for state, now_held in ((self.rows, kept), (self.sessions, sessions)):
+            state.put(now_held) if now_held else state.clear()
+        self.wake(min(due, default=None))
         if found:
-            one = {"event_id": [f[0] for f in found], "join_id": [f[1] for f in found]} | dict(zip(self.names, key))
-            yield pd.DataFrame(one | {"ts": pd.to_datetime([f[2] for f in found], unit="us", utc=True), "n": [f[3] for f in found]})
+            event_id, join_id, t, n, *keys = zip(*found)
+            yield pd.DataFrame({"event_id": event_id, "join_id": join_id} | dict(zip(self.names, keys)) | {"ts": pd.to_datetime(list(t), unit="us", utc=True), "n": n})
 
 
 def message_bursts(df: DataFrame, keys: list[str], span: int, least: int, within: int, is_message: Column) -> DataFrame:
     """(event_id, join_id, keys, ts, n): of each join, the first message of the ``within`` seconds after it that has ``least`` messages or more in the trailing ``span``.
 
     ``df`` holds joins and messages. A message belongs to the last join at or before its time; messages before the join count in the span.
-    One key's messages of a batch meet in one group, batch by batch.
+    One key's messages of a batch meet in one group, batch by batch; the keys are dealt to ``SESSION_BUCKETS`` groups by hash.
     """
     rows = df.withWatermark("ts", DELAY).select("event_id", *keys, "ts", micros().alias("t"), is_message.cast("int").alias("is_message"))
-    out = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).transformWithStateInPandas(Sessions(span * 1_000_000, least, within * 1_000_000, keys), f"event_id long, join_id long, {out}, ts timestamp, n long", "append", "eventtime")
+    kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
+    out = ", ".join(f"{k} {kind}" for k, kind in kinds.items())
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(SESSION_BUCKETS)).cast("int"))
+    return rows.groupBy("bucket").transformWithStateInPandas(Sessions(span * 1_000_000, least, within * 1_000_000, kinds), f"event_id long, join_id long, {out}, ts timestamp, n long", "append", "eventtime")

@@ -80,3 +80,14 @@ def test_sparse_keys_share_groups(spark, monkeypatch):
     rows = spark.range(3000).select(F.col("id").alias("event_id"), F.col("id").alias("guild_id"), F.timestamp_seconds(F.lit(600 * 1000)).alias("ts"))
     sessions.trailing_counts(rows, ["guild_id"], 120)
     assert sizes and sizes[0] <= 200
+
+
+def test_sessions_of_sparse_keys_share_groups(spark, monkeypatch):
+    from authscope.streaming import sessions
+
+    sizes, table = [], type(spark.range(1))
+    kept = table.groupBy
+    monkeypatch.setattr(table, "groupBy", lambda df, *by: (sizes.append(kept(df, *by).count().count()), kept(df, *by))[1])
+    rows = spark.range(5000).select(F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.timestamp_seconds("id").alias("ts"))
+    sessions.message_bursts(rows, ["user_id"], 60, 3, 600, F.col("event_id") % 2 == 0)
+    assert sizes and sizes[0] <= 1024
