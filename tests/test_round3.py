@@ -109,3 +109,21 @@ def test_posts_of_small_accounts_meet_by_account(spark):
         finally:
             nearposts.FEW = kept
         assert {tuple(r) for r in got.collect()} == want and sum(r[1] for r in want) > 100 and (32, 1, 1.0) in want
+
+
+def test_triangles_without_rows_of_wedges(spark):
+    """Lists of neighbours meet along the edges; hubs, doubled and turned edges, loops and a clique among them."""
+    from itertools import combinations
+
+    from authscope.operators import graph
+
+    pairs = {(i, (i * 7 + k * k) % 90) for i in range(90) for k in range(6)} | {(0, i) for i in range(90)} | {(i, 1) for i in range(90)} | set(combinations(range(40, 48), 2)) | {(500, 501)}
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {n: (len(m), sum(y in near[x] for x, y in combinations(m, 2))) for n, m in near.items()}
+    got = graph.clustering(spark.createDataFrame([*pairs, *[(b, a) for a, b in list(pairs)[:50]]], "src long, dst long"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and {r.account_id: (r.degree, r.triangles) for r in got.collect()} == want
