@@ -59,15 +59,3 @@ def username_forensics(c: Column) -> dict[str, Column]:
         "uname_special": count(c, r"[_.\-]"), "uname_vowel_ratio": share(count(letters, "[aeiou]"), F.length(letters)), "uname_consonant_run": share(run, F.length(letters)),
         "uname_bot_hits": hits.cast("int"), "uname_homoglyphs": count(c, r"[^\x00-\x7F]"),
     }
-
-
-def trigrams(c: Column) -> Column:
-    """Distinct lower-case character trigrams; the characters are cut once, however long the text."""
-    signs = F.filter(F.split(F.lower(F.trim(c)), ""), lambda x: x != "")
-    runs = F.transform(F.array(signs), lambda s: F.when(F.size(s) >= 3, F.transform(F.sequence(F.lit(0), F.size(s) - 3), lambda i: F.concat(F.get(s, i), F.get(s, i + 1), F.get(s, i + 2)))))
-    return F.array_distinct(F.coalesce(F.get(runs, F.lit(0)), F.array().cast("array<string>")))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))

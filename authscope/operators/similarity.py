@@ -6,11 +6,11 @@ import math
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from authscope.functions.text import jaccard, trigrams
-
 
 def closest(df: DataFrame, names: list[str], col: str = "username") -> DataFrame:
     """(account_id, brand, distance): nearest of a fixed list by edit distance, the first of equals. The list is part of the expression."""
@@ -18,10 +18,26 @@ def closest(df: DataFrame, names: list[str], col: str = "username") -> DataFrame
     return df.withColumn("_m", F.array_min(options)).select("account_id", F.col("_m.brand").alias("brand"), F.col("_m.distance").alias("distance"))
 
 
+def codes(text: str) -> np.ndarray:
+    """The distinct runs of three code points of ``text`` as sorted numbers."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
 def template_similarity(df: DataFrame, templates: list[str], col: str = "bio") -> DataFrame:
-    own = df.withColumn("_t", trigrams(F.coalesce(col, F.lit(""))))
-    best = F.greatest(*[jaccard(F.col("_t"), trigrams(F.lit(t))) for t in templates])
-    return own.select("account_id", F.round(best, 4).alias("similarity"))
+    """(account_id, similarity): the greatest likeness of a text's lower-case trigrams to those of a fixed list of texts, within the row."""
+    known = [codes(t.strip(" ").lower()) for t in templates]
+
+    @F.pandas_udf("double")
+    def best(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> float:
+            own = codes(text)
+            met = [len(np.intersect1d(own, k, assume_unique=True)) for k in known]
+            return max((m / (len(own) + len(k) - m) if len(own) + len(k) else 0.0 for m, k in zip(met, known)), default=0.0)
+
+        return texts.map(one).astype(float)
+
+    return df.select("account_id", F.round(best(F.lower(F.trim(F.coalesce(col, F.lit(""))))), 4).alias("similarity"))
 
 
 def sign_hashes(embeddings: DataFrame) -> DataFrame:
