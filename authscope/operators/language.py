@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from authscope.functions import text as T
+from authscope.sources import tables
 
 # Spam words by weight, invisible code points, openings of a repost.
 SPAM_WORDS = {
@@ -52,16 +58,47 @@ def dictionary_coverage(df: DataFrame, words: DataFrame) -> DataFrame:
     return found.groupBy("account_id").agg(F.round(F.count("hit") / F.greatest(F.count("word"), F.lit(1)), 4).alias("coverage"))
 
 
+#: Texts of a key up to which they meet in one place.
+FEW = 16
+
+
+def likeness(texts: list[dict]) -> float | None:
+    """Cosine of the tf-idf vectors of two texts, the left and the right of the given lists of words, 0 if one has none; None without any word."""
+    sides = Counter(), Counter()
+    for t in texts:
+        if t["words"]:
+            sides[t["side"]].update(t["words"].split(" "))
+    if not any(sides):
+        return None
+    rare = math.log(1.5) + 1  # of a word in one of the two texts; in both it is 1
+    x, y = (sum(n * n * (1 if w in other else rare * rare) for w, n in own.items()) for own, other in (sides, sides[::-1]))
+    return sum(n * sides[1][w] for w, n in sides[0].items() if w in sides[1]) / math.sqrt(x * y) if x and y else 0.0
+
+
 def topic_similarity(left: DataFrame, right: DataFrame, key: str = "account_id") -> DataFrame:
     """(key, similarity): cosine of the tf-idf vectors of two texts a key has, ``left(key, text)`` and ``right(key, text)``.
 
-    A key's many right texts count as one; terms are counted before the two sides meet.
+    A key's many right texts count as one. Up to ``FEW`` texts of a key meet in one place, words never being rows; of the others the words of both sides
+    are counted together.
     """
-    def terms(df: DataFrame, side: str) -> DataFrame:
-        return df.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("t")).groupBy(key, "t").agg(F.count(F.lit(1)).alias(side))
-
-    x, y = F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0))
+    both = left.select(key, "text", F.lit(0).alias("side")).unionByName(right.select(key, "text", F.lit(1).alias("side"))).where(F.col("text").isNotNull())
+    large = tables.settled(both.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select(key))
+    many = not large.isEmpty()
+    some = both.join(large, key, "left_anti") if many else both
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([likeness(x.as_py()) for x in b.column("_t")], pa.float64())], [key, "_c"])
+
+    some = some.select(key, F.struct("side", F.array_join(found, " ").alias("words")).alias("_t")).groupBy(key).agg(F.collect_list("_t").alias("_t"))
+    out = some.mapInArrow(run, f"{key} {both.schema[key].dataType.simpleString()}, _c double").where("_c is not null").select(key, F.round("_c", 4).alias("similarity"))
+    if not many:
+        return out
+    words = both.join(large, key, "left_semi")
+    words = words.select(key, F.explode(found).alias("t"), (F.col("side") == 0).cast("long").alias("x"), (F.col("side") == 1).cast("long").alias("y")).groupBy(key, "t").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    x, y = F.col("x"), F.col("y")
     idf = F.log(F.lit(3.0) / (1 + (x > 0).cast("int") + (y > 0).cast("int"))) + 1
-    both = terms(left, "x").join(terms(right, "y"), [key, "t"], "full").select(key, (x * idf).alias("x"), (y * idf).alias("y"))
-    sums = both.groupBy(key).agg(F.sum(F.col("x") * F.col("y")).alias("d"), F.sum(F.col("x") * F.col("x")).alias("a"), F.sum(F.col("y") * F.col("y")).alias("b"))
-    return sums.select(key, F.round(F.coalesce(F.try_divide(F.col("d"), F.sqrt(F.col("a") * F.col("b"))), F.lit(0.0)), 4).alias("similarity"))
+    words = words.select(key, (x * idf).alias("x"), (y * idf).alias("y"))
+    sums = words.groupBy(key).agg(F.sum(x * y).alias("d"), F.sum(x * x).alias("a"), F.sum(y * y).alias("b"))
+    return out.unionByName(sums.select(key, F.round(F.coalesce(F.try_divide(F.col("d"), F.sqrt(F.col("a") * F.col("b"))), F.lit(0.0)), 4).alias("similarity")))

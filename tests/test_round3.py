@@ -127,3 +127,30 @@ def test_triangles_without_rows_of_wedges(spark):
     got = graph.clustering(spark.createDataFrame([*pairs, *[(b, a) for a, b in list(pairs)[:50]]], "src long, dst long"))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" in plan and {r.account_id: (r.degree, r.triangles) for r in got.collect()} == want
+
+
+def test_template_likeness_in_numbers(spark):
+    """Trigrams are numbers of a row, not cut from an array of its characters; short, empty, NULL and far code points among the texts."""
+    texts = ["  Earn MONEY daily ", "ab", "", None, "𝒜𝒷𝒸𝒹 𝒜𝒷𝒸𝒹", "earn money dail", "ÄÖÜ äöü", "aaaaaaa"]
+    known = ["earn money daily", "𝒜𝒷𝒸", "ab", "äöü"]
+    cut = lambda s: {s[i : i + 3] for i in range(len(s) - 2)}
+    want = {i: max(round(len(a & b) / len(a | b), 4) if a | b else 0.0 for b in map(cut, known)) for i, a in enumerate(cut((t or "").strip(" ").lower()) for t in texts)}
+    got = similarity.template_similarity(spark.createDataFrame(list(enumerate(texts)), "account_id long, bio string"), known)
+    assert "array_distinct" not in got._jdf.queryExecution().toString() and {r.account_id: r.similarity for r in got.collect()} == want
+
+
+def test_topics_and_bios_meet_in_one_shuffle(spark):
+    from authscope.operators import identity, language
+
+    left, right = (spark.createDataFrame(rows, "account_id long, text string") for rows in ([(1, "red fox"), (2, None), (3, "one")], [(1, "red red dog"), (1, "fox"), (2, "cat")]))
+    got = language.topic_similarity(left, right)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.account_id: r.similarity for r in got.collect()} == {1: 0.8032, 2: 0.0, 3: 0.0}  # 3 / sqrt(2 * (5 + (ln(3 / 2) + 1)^2))
+    many = right.unionByName(spark.createDataFrame([(1, "fox dog"), (2, "")] * 20, right.schema))
+    got = language.topic_similarity(left, many)
+    assert "Generate" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.account_id: r.similarity for r in got.collect()} == {1: round(23 / (2 * (445 + 21**2 * (np.log(1.5) + 1) ** 2)) ** 0.5, 4), 2: 0.0, 3: 0.0}
+    rows = [(1, "a", "red fox"), (1, "b", "fox fox"), (1, "c", "!"), (1, "d", None), (2, "a", "one"), (3, "a", "x y"), (3, "b", "y x")]
+    got = identity.pair_likeness(spark.createDataFrame(rows, "identity long, platform string, bio string"))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.identity: round(r.bio_similarity, 6) for r in got.collect()} == {1: round(0.5**0.5 / 3, 6), 2: 1.0, 3: 1.0}
