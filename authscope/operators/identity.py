@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+from itertools import combinations
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from authscope.operators.writing import name_likeness
 
 
+def likeness(bios: list[dict]) -> float:
+    """The sum of the cosines of the word counts of each two platforms; words are separated by spaces."""
+    counts: dict[str, Counter] = {}
+    for b in bios:
+        if b["platform"] is not None and b["words"]:
+            counts.setdefault(b["platform"], Counter()).update(b["words"].split(" "))
+    size = {p: math.sqrt(sum(n * n for n in c.values())) for p, c in counts.items()}
+    return sum(sum(n * counts[q][t] for t, n in counts[p].items() if t in counts[q]) / (size[p] * size[q]) for p, q in combinations(sorted(counts), 2))
+
+
 def pair_likeness(accounts: DataFrame, key: str = "identity") -> DataFrame:
-    """(key, bio_similarity): mean cosine of word counts over all pairs of an identity's bios; accounts without a bio take no part."""
-    words = accounts.where("coalesce(bio, '') <> ''").select(key, "platform", F.explode(F.regexp_extract_all(F.lower("bio"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("t")).groupBy(key, "platform", "t").agg(F.count(F.lit(1)).alias("n"))
-    size = words.groupBy(key, "platform").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    a, b = words.alias("a"), words.alias("b")
-    dots = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.platform") < F.col("b.platform")))
-    dots = dots.groupBy(F.col(f"a.{key}").alias(key), F.col("a.platform").alias("p"), F.col("b.platform").alias("q")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("dot"))
-    met = dots.join(size.select(key, F.col("platform").alias("p"), F.col("size").alias("x")), [key, "p"]).join(size.select(key, F.col("platform").alias("q"), F.col("size").alias("y")), [key, "q"])
-    total = met.groupBy(key).agg(F.sum(F.col("dot") / (F.col("x") * F.col("y"))).alias("total"))
-    bios = accounts.where("coalesce(bio, '') <> ''").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return bios.join(total, key, "left").select(key, F.coalesce(F.try_divide(F.coalesce("total", F.lit(0.0)), F.col("n") * (F.col("n") - 1) / 2), F.lit(1.0)).alias("bio_similarity"))
+    """(key, bio_similarity): mean cosine of word counts over all pairs of an identity's bios; accounts without a bio take no part.
+
+    The bios of an identity, one a platform, meet in one place; their words are never rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([likeness(x.as_py()) for x in b.column("_b")], pa.float64()), b.column("n")], [key, "total", "n"])
+
+    words = F.array_join(F.regexp_extract_all(F.lower("bio"), F.lit("[a-z0-9_]+"), F.lit(0)), " ")
+    bios = accounts.where("coalesce(bio, '') <> ''").select(key, F.struct("platform", words.alias("words")).alias("_b")).groupBy(key).agg(F.collect_list("_b").alias("_b"), F.count(F.lit(1)).alias("n"))
+    met = bios.mapInArrow(run, f"{key} {accounts.schema[key].dataType.simpleString()}, total double, n long")
+    return met.select(key, F.coalesce(F.try_divide(F.col("total"), F.col("n") * (F.col("n") - 1) / 2), F.lit(1.0)).alias("bio_similarity"))
 
 
 def consistency(accounts: DataFrame, asked: DataFrame, checked: int, key: str = "identity") -> DataFrame:
