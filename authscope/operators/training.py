@@ -297,10 +297,12 @@ def stability(model, df: DataFrame, features: list[str], rounds: int = 3, share:
 
 def history(df: DataFrame, features: list[str], k: int = 5, least: int = 10, key: str = "account_id") -> DataFrame:
     """(platform, rows, accuracy, precision, recall, f1) of a logistic model for each platform, fitted on four fifths of its rows by a hash and measured on the rest."""
-    out = []
+    path = tables.shared_folder(df.sparkSession, "platforms")
+    df.select("platform", key, "y", *features).write.partitionBy("platform").parquet(path)  # once: a platform's many passes read its own files
+    df, out = df.sparkSession.read.schema(df.select("platform", key, "y", *features).schema).parquet(path), []
     for r in df.groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("c")).orderBy("platform").collect():  # a row a platform
         if r["n"] >= least and r["c"] == 2:
-            rows = df.where(F.col("platform") == r["platform"]).withColumn("_held", hashed(key, k) == 0)
+            rows = df.where(F.col("platform") == r["platform"]).coalesce(max(1, r["n"] // margins.ROWS)).withColumn("_held", hashed(key, k) == 0)
             numbers = rows.withColumns({f: F.col(f).cast("double") for f in features})
             model = Pipeline(stages=[*prepared(features), LogisticRegression(featuresCol="_x", labelCol="y", predictionCol="_pred")]).fit(numbers.where("not _held"))
             held = model.transform(numbers.where("_held")).select("y", F.col("_pred").cast("int").alias("pred"))

@@ -154,3 +154,29 @@ def test_topics_and_bios_meet_in_one_shuffle(spark):
     got = identity.pair_likeness(spark.createDataFrame(rows, "identity long, platform string, bio string"))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {r.identity: round(r.bio_similarity, 6) for r in got.collect()} == {1: round(0.5**0.5 / 3, 6), 2: 1.0, 3: 1.0}
+
+
+def test_fits_read_their_rows_few_times(spark):
+    """A platform's passes read what was written once; importances fit the forest alone."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    import __spark_entry__
+    from authscope.operators import training
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        seen.add(1)
+        return float((i * 37) % 101)
+
+    rows = spark.range(600).select(F.col("id").alias("account_id"), F.when(F.col("id") % 2 == 0, "x").otherwise("github").alias("platform"), value.asNondeterministic()("id").alias("a"), (F.col("id") % 7 < 3).cast("int").alias("y"))
+    assert training.history(rows, ["a"]).count() == 2 and 600 <= seen.value <= 1200
+    fitted, kept = [], training.fit
+    training.fit = lambda *a, **b: (fitted.append(kept(*a, **b)), fitted[-1])[1]
+    try:
+        assert __spark_entry__.queries()["mdl6_mdl17_importances"](spark, "/root/testdata/sf0.001").count() == 5
+    finally:
+        training.fit = kept
+    names = [type(m).__name__ for m in fitted[0].stages]
+    assert isinstance(fitted[0].stages[-1], RandomForestClassificationModel) and len(names) == 5
