@@ -81,7 +81,7 @@ def mdl1_mdl11_vote(spark, sf_dir):
 
 @query()
 def mdl6_mdl17_importances(spark, sf_dir):
-    return training.importances(training.fit(_examples(spark, sf_dir), FEATURES), FEATURES, spark)
+    return training.importances(training.fit(_examples(spark, sf_dir), FEATURES, votes=(0,)), FEATURES, spark)
 
 
 @query()

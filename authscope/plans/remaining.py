@@ -82,4 +82,4 @@ def top1_importances(spark, sf_dir):
     """The twenty most important features, ties by name."""
     from authscope.plans.modelling import FEATURES, _examples
 
-    return training.importances(training.fit(_examples(spark, sf_dir), FEATURES), FEATURES, spark).orderBy(F.desc("importance"), "feature").limit(20)
+    return training.importances(training.fit(_examples(spark, sf_dir), FEATURES, votes=(0,)), FEATURES, spark).orderBy(F.desc("importance"), "feature").limit(20)
