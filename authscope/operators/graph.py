@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from authscope.sources import tables
 
+#: Rows of a part of the edges: what a task sorts or holds, however many edges there are.
+PART = 500_000
+#: Bits of the ids that one list of neighbours spans, so it has no more of them, whatever a node's degree.
+SPAN = 20
+
 
 def reciprocity(edges: DataFrame) -> DataFrame:
     """(account_id, n_following, n_followers, reciprocity, mutual_ratio)."""
@@ -43,31 +48,53 @@ def clustering(edges: DataFrame) -> DataFrame:
     return degree.join(closed, "n", "left").select(F.col("n").alias("account_id"), "degree", t.alias("triangles"), F.round(F.when(F.col("degree") > 1, 2 * t / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0), 4).alias("coefficient"))
 
 
+def both_ways(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(src, dst) of every edge in both directions, dealt by dst to parts of about ``PART`` rows, and how many parts; copies stay. The edges are written once."""
+    edges = tables.settled(edges.select("src", "dst"))
+    parts = 1 + 2 * edges.count() // PART
+    return edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).repartition(parts, "dst"), parts
+
+
 def neighbour_share(edges: DataFrame, flags: DataFrame) -> DataFrame:
     """(account_id, share) of distinct neighbours whose ``flags(account_id, flag)`` is 1; absent counts as 0."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    return both.join(flags.select(F.col("account_id").alias("dst"), "flag"), "dst", "left").groupBy(F.col("src").alias("account_id")).agg(F.round(F.avg(F.coalesce("flag", F.lit(0))), 4).alias("share"))
+    both, _ = both_ways(edges)
+    known = flags.select(F.col("account_id").alias("dst"), "flag").hint("shuffle_hash")
+    return both.distinct().join(known, "dst", "left").groupBy(F.col("src").alias("account_id")).agg(F.round(F.avg(F.coalesce("flag", F.lit(0))), 4).alias("share"))
+
+
+def neighbour_lists(edges: DataFrame) -> tuple[DataFrame, int]:
+    """((dst, srcs), parts): each node's distinct neighbours but itself, those of 2 ** ``SPAN`` neighbouring ids a row, and the parts in which rows of single neighbours are dealt."""
+    both, parts = both_ways(edges.where("src <> dst"))
+    lists = both.groupBy("dst", F.shiftright("src", SPAN).alias("_list")).agg(F.array_distinct(F.collect_list("src")).alias("srcs"))
+    return tables.settled(lists.select("dst", "srcs")), parts
+
+
+def heard(lists: DataFrame, parts: int, labels: DataFrame) -> DataFrame:
+    """(src, community): a row for each neighbour of src, with its label; dealt by src. One shuffle of single neighbours."""
+    told = labels.select(F.col("account_id").alias("dst"), "community").hint("shuffle_hash")
+    return lists.join(told, "dst").select(F.explode("srcs").alias("src"), "community").repartition(parts, "src")
 
 
-def communities(edges: DataFrame, most: int = 10) -> tuple[DataFrame, int, int]:
-    """((account_id, community), rounds, changed) by label propagation: all nodes at once take the most frequent label among their neighbours, the least of equals.
+def communities(lists: DataFrame, parts: int, most: int = 10) -> tuple[DataFrame, int, int]:
+    """((account_id, community), rounds, changed) by label propagation over ``neighbour_lists``: all nodes at once take the most frequent label among their neighbours, the least of equals.
 
-    Rounds end when no label changes, or after ``most``, as labels may swing for ever between two sides of a graph; ``changed`` is how many the
-    last round changed, 0 if they have settled.
+    Labels are first the nodes' own ids, all different, so the first round takes the least neighbour. Rounds end when no label changes, or after
+    ``most``, as labels may swing for ever between two sides of a graph; ``changed`` is how many the last round changed, 0 if they have settled.
     """
-    both = tables.settled(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
-    labels, rounds, changed = tables.settled(both.select(F.col("src").alias("account_id")).distinct().withColumn("community", F.col("account_id"))), 0, 1
+    if most < 1:
+        return lists.select(F.col("dst").alias("account_id"), F.col("dst").alias("community")).distinct(), 0, 1
+    labels = tables.settled(lists.groupBy(F.col("dst").alias("account_id")).agg(F.min(F.array_min("srcs")).alias("community")))
+    rounds, changed = 1, labels.count()  # no node is its own neighbour
     while changed and rounds < most:
-        heard = both.join(labels.withColumnRenamed("account_id", "dst"), "dst").groupBy("src", "community").agg(F.count(F.lit(1)).alias("n"))
-        new = heard.groupBy(F.col("src").alias("account_id")).agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community"))
-        step = tables.settled(new.join(labels.withColumnRenamed("community", "_old"), "account_id"))
+        counts = heard(lists, parts, labels).sortWithinPartitions("src", "community").groupBy("src", "community").agg(F.count(F.lit(1)).alias("n"))
+        new = counts.groupBy(F.col("src").alias("account_id")).agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community"))
+        step = tables.settled(new.join(labels.withColumnRenamed("community", "_old").hint("shuffle_hash"), "account_id"))
         changed = step.where("community <> _old").count()
         labels, rounds = step.select("account_id", "community"), rounds + 1
     return labels, rounds, changed
 
 
-def same_community(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """(account_id, share) of distinct neighbours that are in the account's own community."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
-    own, other = groups.select(F.col("account_id").alias("src"), F.col("community").alias("x")), groups.select(F.col("account_id").alias("dst"), F.col("community").alias("y"))
-    return both.join(own, "src").join(other, "dst").groupBy(F.col("src").alias("account_id")).agg(F.round(F.avg((F.col("x") == F.col("y")).cast("int")), 4).alias("share"))
+def same_community(lists: DataFrame, parts: int, groups: DataFrame) -> DataFrame:
+    """(account_id, share) of the neighbours of ``neighbour_lists`` that are in the account's own community."""
+    own = groups.select(F.col("account_id").alias("src"), F.col("community").alias("x")).hint("shuffle_hash")
+    return heard(lists, parts, groups).join(own, "src").groupBy(F.col("src").alias("account_id")).agg(F.round(F.avg((F.col("x") == F.col("community")).cast("int")), 4).alias("share"))

@@ -23,9 +23,9 @@ _STILL = "CASE " + " ".join(f"WHEN d{i} = 0 THEN 0" for i in range(1, _MOST)) +
 @query(f"WITH {_E}, {', '.join(_ROUND(i) for i in range(_MOST))}, m AS MATERIALIZED (SELECT {_MOVED}) SELECT u.src AS account_id, round(avg(CAST(x.c = y.c AS INT)), 4) AS share, CAST(any_value({_RAN}) AS INT) AS rounds, any_value({_STILL}) AS changed FROM u JOIN l{_MOST} x ON x.n = u.src JOIN l{_MOST} y ON y.n = u.dst, m GROUP BY u.src")
 def jon10_same_community(spark, sf_dir):
     """Share of neighbours in the own community, by label propagation until labels settle, in six rounds at most; and how it ended."""
-    edges = load(spark, sf_dir, "v_edges")
-    labels, rounds, changed = graph.communities(edges, _MOST)
-    return graph.same_community(edges, labels).withColumns({"rounds": F.lit(rounds), "changed": F.lit(changed).cast("long")})
+    lists, parts = graph.neighbour_lists(load(spark, sf_dir, "v_edges"))
+    labels, rounds, changed = graph.communities(lists, parts, _MOST)
+    return graph.same_community(lists, parts, labels).withColumns({"rounds": F.lit(rounds), "changed": F.lit(changed).cast("long")})
 
 
 _HASH = "h AS (SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END for i in range(1, 65)]) AS p FROM embeddings), v AS (SELECT vec_id, p FROM h UNION ALL SELECT vec_id + 1000000000, xor(p, CAST(1 AS HUGEINT) << CAST(vec_id % 61 AS INT)) FROM h UNION ALL SELECT vec_id + 2000000000, xor(p, CAST(7 AS HUGEINT) << CAST(vec_id % 53 AS INT)) FROM h WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id + 3000000000, p FROM h WHERE vec_id % 4 = 0)"
