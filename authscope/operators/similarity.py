@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a part of the tables of hashes.
+PART = 1_000_000
+
+
 def closest(df: DataFrame, names: list[str], col: str = "username") -> DataFrame:
     """(account_id, brand, distance): nearest of a fixed list by edit distance, the first of equals. The list is part of the expression."""
     options = F.array(*[F.struct(F.levenshtein(F.lower(col), F.lit(n)).alias("distance"), F.lit(i).alias("at"), F.lit(n).alias("brand")) for i, n in enumerate(names)])
@@ -65,8 +69,9 @@ def hamming_tried(df: DataFrame, radius: int, blocks: int | None, by: tuple[str,
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     masks = [signed(sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in kept)) for kept in combinations(range(blocks), blocks - radius)]
     keys = F.array(*[F.struct(F.lit(k).alias("table"), F.col("phash").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(masks)])
-    rep = rep.repartition(1 + n * len(masks) // 1_000_000, "id")  # by number: small as they are, the hashes would else be one task, and all their tables
-    keyed = rep.select("id", "phash", *by, F.explode(keys).alias("k")).select("id", "phash", *by, "k.table", "k.key")
+    parts = 1 + n * len(masks) // PART
+    rep = rep.repartition(parts, "id")  # by number: small as they are, the hashes would else be one task, and all their tables
+    keyed = rep.select("id", "phash", *by, F.explode(keys).alias("k")).select("id", "phash", *by, "k.table", "k.key").repartition(parts, *by, "table", "key")  # as many parts as the tables' rows need: a task sorts one
     a, b, apart = keyed.alias("a"), keyed.alias("b"), F.col("a.phash").bitwiseXOR(F.col("b.phash"))
     same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "table", "key")])
     # merge: the rows stand so many times as there are tables, which the size of ``rep`` doesn't show: a broadcast would take them all through the driver

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from authscope.operators import graph
+from authscope.operators import graph, nearposts, similarity
 from authscope.sources import views
 
 
@@ -56,3 +56,33 @@ def test_communities_ask_lists_of_neighbours(spark, monkeypatch):
         assert {r.account_id: r.community for r in labels.collect()} == want and changed == moved and rounds <= most
         share = {r.account_id: r.share for r in graph.same_community(lists, parts, labels).collect()}
         assert all(abs(share[n] - sum(want[m] == want[n] for m in ms) / len(ms)) < 1e-4 for n, ms in near.items())
+
+
+def test_posts_of_small_accounts_cluster_without_tables_of_hashes(spark, monkeypatch):
+    """Accounts of few fingerprints never look for links, those of many do; both count as plain first leaders do."""
+    rows = [(a, 100 * a + i, (f"the quick brown fox jumps over lazy dog {a} " * 4) + "x" * (i % 7) + ("" if i % 3 else f" other words {i * a}")) for a in range(1, 13) for i in range(40 if a == 5 else 4)]
+    posts = spark.createDataFrame([*rows, (50, 5001, ""), (50, 5002, None), (51, 5101, "")], "account_id long, post_id long, text string")
+    nodes = {}
+    for r in nearposts.simhashes(posts).collect():
+        own = nodes.setdefault(r.account_id, {})
+        own[r.fp] = min(own.get(r.fp, r.post_id), r.post_id)
+    want = {}
+    for a, own in nodes.items():
+        led = []
+        for fp in sorted(own, key=own.get):
+            if all(((fp ^ other) & (1 << 64) - 1).bit_count() > 3 for other in led):
+                led.append(fp)
+        want[a] = len(led)
+    asked, kept = [], nearposts.hamming_links
+    monkeypatch.setattr(nearposts, "FEW", 8)
+    monkeypatch.setattr(nearposts, "hamming_links", lambda df, *a, **k: (asked.extend(r.account_id for r in df.collect()), kept(df, *a, **k))[1])
+    assert {r.account_id: r.clusters for r in nearposts.cluster_counts(posts).collect()} == want and max(want.values()) > 1
+    assert set(asked) == {a for a, own in nodes.items() if len(own) > 8} and asked
+
+
+def test_tables_of_hashes_are_dealt_to_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PART", 500)
+    df = spark.range(300).select(F.col("id").alias("vec_id"), F.xxhash64("id").alias("phash"))
+    tried = similarity.hamming_tried(df, 3, 5, ())  # 10 tables
+    tried.collect()
+    assert tried._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 4  # of each side the hashes and their tables
