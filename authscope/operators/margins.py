@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a part in the many small passes of a fit.
 ROWS = 50_000
+#: Rows whose random features a scoring task holds at a time.
+SLICE = 1024
 
 
 class Kernel(NamedTuple):
@@ -28,6 +30,10 @@ class Kernel(NamedTuple):
     def features(self, x: pd.Series) -> np.ndarray:
         return np.sqrt(2 / len(self.phases)) * np.cos(np.stack(x.to_list()) @ self.directions.T + self.phases)
 
+    def margins(self, x: pd.Series, weights: np.ndarray, biases: np.ndarray) -> np.ndarray:
+        """Margins of the rows of ``x`` by each machine; the features of ``SLICE`` rows are held at a time."""
+        return np.concatenate([self.features(x[i : i + SLICE]) @ weights.T for i in range(0, len(x), SLICE)]) + biases
+
 
 def mapped(inputs: str, kernel: Kernel) -> Column:
     @F.pandas_udf("array<double>")
@@ -92,7 +98,7 @@ class KernelMarginModel(Model):
         def probability(x: pd.Series) -> pd.Series:
             if not len(x):
                 return pd.Series([], dtype=float)
-            margins = kernel.features(x) @ weights.T + biases
+            margins = kernel.margins(x, weights, biases)
             return pd.Series((1 / (1 + np.exp(-np.clip(slope * margins + offset, -500, 500)))).mean(axis=1))
 
         p = probability(vector_to_array(self.inputs))

@@ -2,9 +2,11 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from authscope.operators import graph, nearposts, similarity
+from authscope.operators import graph, margins, nearposts, similarity
 from authscope.sources import views
 
 
@@ -86,3 +88,12 @@ def test_tables_of_hashes_are_dealt_to_parts_of_bounded_size(spark, monkeypatch)
     tried = similarity.hamming_tried(df, 3, 5, ())  # 10 tables
     tried.collect()
     assert tried._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 4  # of each side the hashes and their tables
+
+
+def test_scoring_holds_the_features_of_a_slice(monkeypatch):
+    random = np.random.default_rng(3)
+    kernel = margins.Kernel(random.normal(size=(16, 5)), random.uniform(size=16))
+    x, weights, biases = pd.Series(list(random.normal(size=(2500, 5)))), random.normal(size=(3, 16)), random.normal(size=3)
+    want, held, kept = kernel.features(x) @ weights.T + biases, [], margins.Kernel.features
+    monkeypatch.setattr(margins.Kernel, "features", lambda self, some: (held.append(len(some)), kept(self, some))[1])
+    assert np.allclose(kernel.margins(x, weights, biases), want, rtol=0, atol=1e-9) and held == [1024, 1024, 452]
