@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from authscope.functions import text as T
 from authscope.operators import language
+from authscope.sources import tables
 
 # Word lists and code-point ranges that results depend on.
 POSITIVE = ["good", "great", "love", "happy", "excellent", "amazing", "wonderful", "best", "awesome", "fantastic", "beautiful", "positive", "success", "win", "perfect", "nice", "brilliant", "enjoy", "thanks", "thank"]
@@ -27,6 +28,10 @@ BIO_EMOJI = [(0x1F300, 0x1FAFF), (0x2600, 0x27BF), (0xFE00, 0xFE0F), (0x1F000, 0
 SPAM_URL = r"(?i)https?://|www\.|bit\.ly|tinyurl|t\.co"
 
 
+#: Posts of an account up to which its words meet in one row.
+FEW = 16
+
+
 def tokens(c: Column) -> Column:
     return T.words(F.lower(c))
 
@@ -49,9 +54,10 @@ def topic_counts(posts: DataFrame, key: str = "account_id") -> DataFrame:
 
 
 def content_features(posts: DataFrame, key: str = "account_id") -> DataFrame:
-    """Grouped features of posts that are not blank: a row's own counts come first, so one shuffle of numbers and one of words does.
+    """Grouped features of posts that are not blank: a row's own counts come first.
 
-    Sentences are cut within a post.
+    The words of an account of ``FEW`` posts at most meet in one row with its counts, so a text is cut once; those of larger ones are rows of a
+    shuffle of their own. Sentences are cut within a post.
     """
     c = F.col("text")
     rows = posts.where(F.rlike(c, F.lit(r"\S"))).withColumn("_w", tokens(c))
@@ -61,12 +67,17 @@ def content_features(posts: DataFrame, key: str = "account_id") -> DataFrame:
         T.emoji_count(c, BIO_EMOJI).alias("emoji"), T.count(c, r"#[\p{L}\p{N}_]+").alias("tags"), T.count(c, r"\p{Lu}").alias("caps"), F.length(c).alias("chars"), T.flag(c, SPAM_URL).alias("url"),
         (F.size(F.filter("_w", lambda w: w.startswith("@"))) > 0.30 * F.size("_w")).cast("int").alias("mentions"),
     )
-    per = rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("posts"), *[F.sum(x).alias(x) for x in ("words", "sentences", "sentence_words", "emoji", "tags", "caps", "chars")], F.avg("url").alias("url"), F.avg("mentions").alias("mentions"), F.avg("mood").alias("mood"), F.var_pop("mood").alias("mood_var"),
-    )
-    kinds = rows.select(key, F.explode(F.array_distinct("_w")).alias("w")).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("kinds"))
+    sums = [F.count(F.lit(1)).alias("posts"), *[F.sum(x).alias(x) for x in ("words", "sentences", "sentence_words", "emoji", "tags", "caps", "chars")], F.avg("url").alias("url"), F.avg("mentions").alias("mentions"), F.avg("mood").alias("mood"), F.var_pop("mood").alias("mood_var")]
+    number = posts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))  # reads no text
+    large = tables.settled(number.where(F.col("n") > FEW).select(key))
+    many = not large.isEmpty()
+    some = rows.join(large, key, "left_anti") if many else rows
+    out = some.withColumn("_w", F.array_distinct("_w")).groupBy(key).agg(*sums, F.size(F.array_distinct(F.flatten(F.collect_list("_w")))).cast("long").alias("kinds"))
+    if many:
+        rows = rows.join(large, key, "left_semi")
+        kinds = rows.select(key, F.explode(F.array_distinct("_w")).alias("w")).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("kinds"))
+        out = out.unionByName(rows.groupBy(key).agg(*sums).join(kinds, key, "left").withColumn("kinds", F.coalesce("kinds", F.lit(0))))
     share = lambda a, b: F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 4)
-    out = per.join(kinds, key, "left").withColumn("kinds", F.coalesce("kinds", F.lit(0)))
     return out.select(
         key, share("kinds", "words").alias("vocabulary_richness"), share("sentence_words", "sentences").alias("avg_sentence_length"), F.round("mood", 4).alias("sentiment_mean"), F.round("mood_var", 4).alias("sentiment_variance"), share("emoji", "words").alias("emoji_ratio"),
         share("tags", "words").alias("hashtag_ratio"), share("caps", "chars").alias("caps_ratio"), F.round("url", 4).alias("url_spam_ratio"), F.round("mentions", 4).alias("mention_spam_ratio"),

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from authscope.operators import graph, margins, nearposts, similarity
+from authscope.operators import graph, margins, nearposts, similarity, writing
 from authscope.sources import views
 
 
@@ -97,3 +97,18 @@ def test_scoring_holds_the_features_of_a_slice(monkeypatch):
     want, held, kept = kernel.features(x) @ weights.T + biases, [], margins.Kernel.features
     monkeypatch.setattr(margins.Kernel, "features", lambda self, some: (held.append(len(some)), kept(self, some))[1])
     assert np.allclose(kernel.margins(x, weights, biases), want, rtol=0, atol=1e-9) and held == [1024, 1024, 452]
+
+
+def test_words_of_small_accounts_are_not_rows(spark, monkeypatch):
+    """The same features whether an account's words meet in one row or are rows; texts of small accounts are cut once."""
+    posts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 120").select(F.when(F.col("doc_id") % 3 == 0, 1).otherwise(F.col("doc_id") % 40).cast("long").alias("account_id"), F.when(F.col("doc_id") % 11 > 0, F.col("text")).alias("text"))
+    out = writing.content_features(posts.where("account_id <> 1"))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = []
+    for few in (16, 1, 1000):
+        monkeypatch.setattr(writing, "FEW", few)
+        got.append({r.account_id: r.asDict() for r in writing.content_features(posts).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) > 20
+    texts = [(r.account_id, r.text) for r in posts.collect() if r.text and r.text.strip()]
+    words = [w for a, t in texts if a == 1 for w in t.lower().split()]
+    assert abs(got[0][1]["vocabulary_richness"] - len(set(words)) / len(words)) < 2e-4
