@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import json
 import zlib
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, RobustScaler, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authscope.operators import calibration, knn, margins, monitor, reports, scaling
@@ -43,12 +47,25 @@ def voters(seed: int = 42) -> list:
     return [m.setPredictionCol(f"_p{k}").setRawPredictionCol(f"_r{k}").setProbabilityCol(f"_q{k}") for k, m in enumerate(named)] + [margins.KernelMargin(out="_q3", seed=seed)]
 
 
+#: Folds that are fitted at a time.
+AT_ONCE = 2
+
+
+def at_once(spark: SparkSession, jobs: list[Callable[[], Any]], most: int = AT_ONCE) -> list:
+    """What ``jobs`` return, ``most`` of them running: a fit is many short passes, which alone leave cores idle."""
+    with ThreadPool(min(most, len(jobs))) as pool:
+        return pool.map(lambda run: run(), [inheritable_thread_target(spark)(job) for job in jobs], chunksize=1)
+
+
 def fit(train: DataFrame, features: list[str], seed: int = 42, votes: tuple[int, ...] = (0, 1, 2, 3)):
     """Imputation, log step, scaling and the classifiers ``votes`` on rows of (y, features), classes weighed alike."""
-    weighed = train.join(F.broadcast(calibration.class_weights(train)).select("y", "weight"), "y").select("y", "weight", *[F.col(f).cast("double").alias(f) for f in features])  # one row a class
-    weighed = tables.settled(weighed)
-    stages = voters(seed)
-    return Pipeline(stages=[*prepared(features), *[stages[k] for k in votes]]).fit(weighed.coalesce(max(1, weighed.count() // margins.ROWS)))
+    numbers = tables.settled(train.where("y is not null").select("y", *[F.col(f).cast("double").alias(f) for f in features]))  # ``train`` is made once
+    classes = calibration.class_weights(numbers).collect()  # one row a class
+    weight = reduce(lambda c, r: F.when(F.col("y") == r["y"], F.lit(r["weight"])).otherwise(c), classes, F.lit(None).cast("double"))
+    weighed = numbers.withColumn("weight", weight).coalesce(max(1, sum(r["n"] for r in classes) // margins.ROWS))
+    ready = Pipeline(stages=prepared(features)).fit(weighed)
+    stages, rows = voters(seed), ready.transform(weighed)
+    return PipelineModel([*ready.stages, *at_once(train.sparkSession, [partial(stages[k].fit, rows) for k in votes], VOTERS)])  # no vote reads another
 
 
 def scored(model, df: DataFrame, features: list[str]) -> DataFrame:
@@ -97,11 +114,14 @@ def uniform(*keys) -> Column:
 def stacked(train: DataFrame, rows: DataFrame, features: list[str], k: int = 3, key: str = "account_id") -> DataFrame:
     """``rows`` with raw_proba by a logistic model whose inputs are the base classifiers' probabilities; it is fitted on out-of-fold ones."""
     probabilities = lambda model, df: model.transform(df.withColumns({f: F.col(f).cast("double") for f in features})).select(*df.columns, *[vector_to_array(f"_q{i}")[1].alias(f"_b{i}") for i in range(VOTERS)])
-    folded = train.withColumn("_fold", hashed(key, k))
-    out = [probabilities(fit(folded.where(F.col("_fold") != i).drop("_fold"), features), folded.where(F.col("_fold") == i)) for i in range(k)]
+    folded = tables.settled(train.withColumn("_fold", hashed(key, k)))
+    fits = [partial(fit, folded.where(F.col("_fold") != i).drop("_fold"), features) for i in range(k)] + [partial(fit, folded.drop("_fold"), features)]
+    *models, whole = at_once(train.sparkSession, fits)
+    out = [probabilities(models[i], folded.where(F.col("_fold") == i)).select("y", *[f"_b{j}" for j in range(VOTERS)]) for i in range(k)]
+    told = tables.settled(reduce(DataFrame.unionByName, out))  # scored once; the meta model's passes read what was told
     inputs = VectorAssembler(inputCols=[f"_b{i}" for i in range(VOTERS)], outputCol="_z")
-    meta = LogisticRegression(featuresCol="_z", labelCol="y", probabilityCol="_q", rawPredictionCol="_r", predictionCol="_p").fit(inputs.transform(reduce(lambda a, b: a.unionByName(b), out)))
-    scored_rows = meta.transform(inputs.transform(probabilities(fit(train, features), rows)))
+    meta = LogisticRegression(featuresCol="_z", labelCol="y", probabilityCol="_q", rawPredictionCol="_r", predictionCol="_p").fit(inputs.transform(told))
+    scored_rows = meta.transform(inputs.transform(probabilities(whole, rows)))
     return scored_rows.withColumn("raw_proba", vector_to_array("_q")[1]).select(*rows.columns, "raw_proba")
 
 
@@ -159,7 +179,8 @@ def out_of_fold(df: DataFrame, features: list[str], most: int = 5, votes: tuple[
     if len(sizes) < 2 or k < 2:
         raise ValueError("two classes of two rows each are needed")
     rows = tables.settled(calibration.folds(df.select(key, "y", *features), k, key))
-    parts = [scored(fit(rows.where(F.col("fold") != i).drop("fold"), features, votes=votes), rows.where(F.col("fold") == i), features) for i in range(k)]
+    models = at_once(df.sparkSession, [partial(fit, rows.where(F.col("fold") != i).drop("fold"), features, votes=votes) for i in range(k)])
+    parts = [scored(models[i], rows.where(F.col("fold") == i), features) for i in range(k)]
     return reduce(DataFrame.unionByName, parts).select(key, "fold", "y", "raw_proba", (F.col("raw_proba") >= 0.45).cast("int").alias("pred"))
 
 

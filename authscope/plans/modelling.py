@@ -74,7 +74,7 @@ def _examples(spark, sf_dir):
 @query()
 def mdl1_mdl11_vote(spark, sf_dir):
     """Trains on four folds of five by account and scores all rows: (account_id, y, held_out, prediction, confidence)."""
-    rows = _examples(spark, sf_dir).withColumn("held_out", F.pmod(F.xxhash64("account_id"), F.lit(5)) == 0)
+    rows = tables.settled(_examples(spark, sf_dir).withColumn("held_out", F.pmod(F.xxhash64("account_id"), F.lit(5)) == 0))  # read by the fit and by the scores
     model = training.fit(rows.where("not held_out"), FEATURES)
     return rules.decided(training.scored(model, rows, FEATURES)).select("account_id", "y", "held_out", "prediction", "confidence")
 
