@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from authscope.operators import calibration, graph, identity, monitor, rules, similarity, training
 from authscope.plans.registry import _SCORED, query, scored
+from authscope.sources import tables
 from authscope.sources.tables import shared_folder
 from authscope.sources.views import ctes, load
 from authscope.streaming import guild
@@ -154,7 +155,7 @@ def examples(spark, sf_dir):
 @query()
 def mdl2_stacking(spark, sf_dir):
     """A logistic model over out-of-fold probabilities of the base classifiers."""
-    rows = examples(spark, sf_dir).withColumn("held_out", F.pmod(F.xxhash64("account_id"), F.lit(5)) == 0)
+    rows = tables.settled(examples(spark, sf_dir).withColumn("held_out", F.pmod(F.xxhash64("account_id"), F.lit(5)) == 0))  # read by the fits and by the scores
     return rules.decided(training.stacked(rows.where("not held_out"), rows, FEATURES)).select("account_id", "y", "held_out", "prediction", "confidence")
 
 
