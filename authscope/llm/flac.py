@@ -261,9 +261,9 @@ def residuals(r, out, i, own, size, order, part, width, k, escaped, coefficients
     out[own, i] = residual + (guess >> shift[own])
 
 
-def decode_frames(buf: np.ndarray, pos: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Samples of the subframes that begin at bit ``pos`` in ``buf``, ``size`` each, and where they end."""
-    r, n = Reader(buf, pos.astype(np.int64)), len(pos)
+def decode_frames(r: Reader, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of the subframes that begin at the reader's bits, ``size`` each, and where they end."""
+    n = len(r.pos)
     rows = np.arange(n)
     head = r.take(rows, 8)
     kind = head >> 1
@@ -368,8 +368,36 @@ def frame_starts(stream: np.ndarray, begin: int) -> tuple[list[int], list[int]]:
     return starts, bodies
 
 
+def walked_starts(stream: np.ndarray, begin: int, size: int) -> tuple[list[int], list[int]]:
+    """As ``frame_starts``, but a frame starts where the samples of the one before it end, so samples that look like a header don't matter. A frame at a time."""
+    starts, bodies, at, r = [], [], begin, Reader(stream, np.zeros(1, np.int64))
+    while at < len(stream):
+        number = number_bytes(len(starts))
+        body = at + 4 + len(number) + 1
+        head = stream[at : body - 1].tobytes()
+        if head[:2] != b"\xff\xf8" or head[4:] != number or body >= len(stream) or header_crcs([head])[0] != stream[body - 1]:
+            raise ValueError("a frame's header is wrong")
+        r.pos = np.array([8 * body])
+        _, stop = decode_frames(r, size)
+        starts.append(at)
+        bodies.append(body)
+        at = int(stop[0] + 7) // 8 + 2
+    return starts, bodies
+
+
 def decode(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]]]]:
-    """Of each stream: the payload, and of each block its first sample and its byte offset in the stream. Raises on any failed check."""
+    """Of each stream: the payload, and of each block its first sample and its byte offset in the stream. Raises on any failed check.
+
+    Frames are looked for by their headers. About one byte in 2 ** 32 looks like the next one's and isn't, so where a check fails each stream is read alone, and
+    one that fails again frame by frame.
+    """
+    try:
+        return decoded(streams)
+    except ValueError:
+        return [decode([s])[0] for s in streams] if len(streams) > 1 else decoded(streams, True)
+
+
+def decoded(streams: list[bytes], walk: bool = False) -> list[tuple[bytes, list[tuple[int, int]]]]:
     starts, bodies, counts, base, infos = [], [], [], 0, []
     for s in streams:
         if s[:4] != b"fLaC":
@@ -382,7 +410,8 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]]]]:
         packed = int.from_bytes(info[10:18], "big")
         if info[:2] != info[2:4] or (packed >> 41 & 7, packed >> 36 & 31) != (0, 7):
             raise ValueError("only mono streams of 8 bits and a fixed block size are read")
-        a, b = frame_starts(np.frombuffer(s, np.uint8), at)
+        own = np.frombuffer(s, np.uint8)
+        a, b = walked_starts(own, at, int.from_bytes(info[:2], "big")) if walk else frame_starts(own, at)
         infos.append((int.from_bytes(info[:2], "big"), packed & (1 << 36) - 1, info[18:34], a, len(s)))
         starts += [base + x for x in a]
         bodies += [base + x for x in b]
@@ -402,7 +431,7 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]]]]:
     if len(sizes) > 1:
         raise ValueError("block sizes differ between streams of a batch")
     size = sizes.pop() if sizes else BLOCK
-    samples, stop = decode_frames(buf, np.array(bodies, np.int64) * 8, size) if starts else (np.zeros((0, size), np.int64), np.empty(0, np.int64))
+    samples, stop = decode_frames(Reader(buf, np.array(bodies, np.int64) * 8), size) if starts else (np.zeros((0, size), np.int64), np.empty(0, np.int64))
     if len(stop) and ((stop + 7) // 8 + 2 != ends).any():
         raise ValueError("a frame ends elsewhere than its samples")
     out = []
