@@ -31,21 +31,22 @@ def clustering(edges: DataFrame) -> DataFrame:
 
     A node's list is ordered by degree and goes to each node of it as far as it comes after that one, whose own list tells which of
     them close a triangle: an edge is a row, wedges are never rows. A list has the square root of twice the edges as members at most.
+    All joins are by sort and merge: files of lists are small, but what is sent of them isn't, and Spark would broadcast it by the files' size.
     """
     e = undirected(edges)
     ends = e.select(F.col("a").alias("n"), F.col("b").alias("m")).union(e.select("b", "a"))
     degree = tables.settled(ends.groupBy("n").agg(F.count(F.lit(1)).alias("degree")))
-    d = e.join(degree.select(F.col("n").alias("a"), F.col("degree").alias("da")), "a").join(degree.select(F.col("n").alias("b"), F.col("degree").alias("db")), "b")
+    d = e.join(degree.select(F.col("n").alias("a"), F.col("degree").alias("da")).hint("merge"), "a").join(degree.select(F.col("n").alias("b"), F.col("degree").alias("db")).hint("merge"), "b")
     swap = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") > F.col("b")))
     one, two = F.struct(F.col("da").alias("d"), F.col("a").alias("n")), F.struct(F.col("db").alias("d"), F.col("b").alias("n"))
     lists = d.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("u"), F.when(swap, one).otherwise(two).alias("v")).groupBy("u").agg(F.transform(F.sort_array(F.collect_list("v")), lambda x: x["n"]).alias("vs"))
     lists = tables.settled(lists)
     sent = lists.select("u", "vs", F.posexplode("vs").alias("i", "v")).where(F.col("i") + 1 < F.size("vs")).select("u", "v", F.slice("vs", F.col("i") + 2, F.size("vs")).alias("later"))
-    met = sent.join(lists.select(F.col("u").alias("v"), F.col("vs").alias("own")), "v").select("u", "v", F.array_intersect("later", "own").alias("w")).where(F.size("w") > 0)
+    met = sent.join(lists.select(F.col("u").alias("v"), F.col("vs").alias("own")).hint("merge"), "v").select("u", "v", F.array_intersect("later", "own").alias("w")).where(F.size("w") > 0)
     closed = met.select(F.explode(F.concat(F.array(F.struct(F.col("u").alias("n"), F.size("w").alias("k")), F.struct(F.col("v").alias("n"), F.size("w").alias("k"))), F.transform("w", lambda x: F.struct(x.alias("n"), F.lit(1).alias("k"))))).alias("c"))
     closed = closed.groupBy("c.n").agg(F.sum("c.k").alias("t"))
     t = F.coalesce("t", F.lit(0))
-    return degree.join(closed, "n", "left").select(F.col("n").alias("account_id"), "degree", t.alias("triangles"), F.round(F.when(F.col("degree") > 1, 2 * t / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0), 4).alias("coefficient"))
+    return degree.join(closed.hint("merge"), "n", "left").select(F.col("n").alias("account_id"), "degree", t.alias("triangles"), F.round(F.when(F.col("degree") > 1, 2 * t / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0), 4).alias("coefficient"))
 
 
 def both_ways(edges: DataFrame) -> tuple[DataFrame, int]:
